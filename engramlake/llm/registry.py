@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_pairs, with_canonical
 from engramlake.llm.leaks import find_leaks, leak_report
 from engramlake.llm.tokenize import encode_corpus
 from engramlake.session import table
@@ -32,7 +33,24 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p9_tiles(spark, sf_dir))
 
 
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people told the assistant: src, row_id, content of both tables, rows delivered twice still twice."""
+    memories = table(spark, sf_dir, "memories").select(F.lit("memories").alias("src"), F.col("id").alias("row_id"), "content")
+    messages = table(spark, sf_dir, "messages").select(F.lit("messages").alias("src"), F.col("msg_id").alias("row_id"), "content")
+    return memories.unionByName(messages)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(told(spark, sf_dir), "row_id", "content", by=["src"])
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_canonical(told(spark, sf_dir).distinct(), "content").select("src", "row_id", "canonical")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_forms": p6_forms,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_tiles": p9_tiles,
@@ -51,7 +69,34 @@ _LEAKS = (
     " found AS (SELECT DISTINCT d.k AS doc_id, i.k AS item_id FROM d JOIN i ON d.gram = i.gram)"
 )
 
-ORACLE: dict[str, str] = {"p9_found": _LEAKS + " SELECT * FROM found"}
+
+def _form_sql(text: str) -> str:
+    """The canonical form in SQL: joiners that show are set aside, then characters are translated and composed."""
+    ones = {k: v for k, v in build_map().items() if len(v) == 1}
+    longer = {k: v for k, v in build_map().items() if len(v) > 1}
+    set_aside = text
+    for joiner, mark in (("\u200c", "\ue000"), ("\u200d", "\ue001")):
+        for _ in range(2):  # neighbours overlap
+            set_aside = f"regexp_replace({set_aside}, '([{JOINING}]){joiner}([{JOINING}])', '\\1{mark}\\2', 'g')"
+    sql = f"translate(nfd({set_aside}), '{''.join(ones)}{INVISIBLE}', '{''.join(ones.values()).replace(chr(39), chr(39) * 2)}')"
+    for k, v in longer.items():
+        sql = f"replace({sql}, '{k}', '{v}')" if k in "\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06" else sql
+    return f"replace(replace(nfc_normalize({sql}), '\ue000', '\u200c'), '\ue001', '\u200d')"
+
+
+_TOLD = """told AS (
+  SELECT DISTINCT 'memories' AS src, id AS row_id, content FROM memories
+  UNION ALL SELECT DISTINCT 'messages', msg_id, content FROM messages
+)"""
+_FORMS = "WITH " + _TOLD + ", form AS (SELECT *, CASE WHEN regexp_matches(content, '[^\\x00-\\x7F]') THEN " + _form_sql("content").replace("nfd(", "(") + " ELSE content END AS canonical FROM told)"
+
+ORACLE: dict[str, str] = {
+    "p9_found": _LEAKS + " SELECT * FROM found",
+    "p6_forms": _FORMS + " SELECT src, row_id, canonical FROM form",
+    "p6_found": _FORMS
+    + " SELECT a.src, least(a.row_id, b.row_id) AS id_a, greatest(a.row_id, b.row_id) AS id_b FROM form a JOIN form b"
+    " ON a.src = b.src AND a.canonical = b.canonical AND a.row_id < b.row_id AND a.content <> b.content",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
