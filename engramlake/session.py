@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,10 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files.
+    """Write ``df`` as a table to the shared folder and go on from its files.
 
     The lineage ends there, so iterative plans stay small and a lost executor
-    costs a re-read, not a recomputation of all rounds.
+    costs a re-read, not a recomputation of all rounds. A written table rather
+    than ``checkpoint()``: it is compressed, later reads prune columns, and the
+    optimiser does not carry the constraints of all earlier rounds along. The
+    tables of a session lie in one folder and go with it.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
