@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_pairs, with_canonical
 from engramlake.llm.leaks import find_leaks, leak_report
+from engramlake.llm.near import group_pairs, near_groups
 from engramlake.llm.tokenize import encode_corpus
 from engramlake.session import table
 
@@ -40,6 +41,14 @@ def told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories.unionByName(messages)
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "memories"), "id", "domain", "content")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_pairs(p5_groups(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(told(spark, sf_dir), "row_id", "content", by=["src"])
 
@@ -49,6 +58,8 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p8_ids": p8_ids,
