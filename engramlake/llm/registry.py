@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_pairs, with_canonical
+from engramlake.llm.knn import neighbour_pairs, neighbours
 from engramlake.llm.leaks import find_leaks, leak_report
 from engramlake.llm.near import group_pairs, near_groups
 from engramlake.llm.tokenize import encode_corpus
@@ -18,6 +19,15 @@ from engramlake.session import table
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def p7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours(table(spark, sf_dir, "memories"), "id", "embedding")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(neighbours(table(spark, sf_dir, "memories"), "id", "embedding"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str, vocabulary: str = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken") -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), vocabulary)
 
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_tiles": p9_tiles,
