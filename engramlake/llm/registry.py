@@ -12,6 +12,7 @@ from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_p
 from engramlake.llm.knn import neighbour_pairs, neighbours
 from engramlake.llm.leaks import find_leaks, leak_report
 from engramlake.llm.near import group_pairs, near_groups
+from engramlake.llm.sentences import fit_on, split_sentences
 from engramlake.llm.tokenize import encode_corpus
 from engramlake.session import table
 
@@ -67,6 +68,11 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_canonical(told(spark, sf_dir).distinct(), "content").select("src", "row_id", "canonical")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return split_sentences(docs, fit_on(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_forms": p6_forms,
     "p7_found": p7_found,
     "p7_neighbours": p7_neighbours,
+    "p10_found": p10_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_tiles": p9_tiles,
