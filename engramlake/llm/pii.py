@@ -1,0 +1,331 @@
+"""Personal information inside free text (problem 2).
+
+Anchor expansion: one Aho-Corasick pass over a text finds at-signs, schemes,
+street words and the cues that introduce names, numbers and papers. Around
+each anchor a local parser for its kind expands to the boundaries of what
+stands there and validates it; nothing else of the text is looked at. Texts
+written with look-alikes, full-width forms or invisible characters are parsed
+in their canonical form, with positions kept for the replacement.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import cache
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from engramlake.llm.canonical import INVISIBLE, LOOK_ALIKES, transducer
+
+#: Characters around an anchor that its parser may look at.
+REACH_BACK, REACH_ON = 72, 112
+
+KINDS = ("person", "email", "phone", "id_number", "address")
+
+# The cues of each kind, in lower case. A parser decides what they are worth.
+ANCHORS = {
+    "email": ("@", "(at)", "[at]", "{at}", " at ", "mailto:", " arroba ", " arobase "),
+    "phone": (
+        "phone", "tel", "call", "mobile", "number is", "text me", "whatsapp", "fax", "handy", "móvil", "portable", "appelez", "llama",
+        "手机", "电话", "微信", "打", "+", "555", "０", "0044", "0049", "0033", "0086",
+    ),
+    "id_number": (
+        "ssn", "social", "passport", "passeport", "pasaporte", "reisepass", "id card", "resident id", "identity", "national id", "id no", "dni", "nie ",
+        "ausweis", "sécurité sociale", "steuer-id", "身份证", "证件", "护照",
+    ),
+    "address": (
+        " road", " rd", " street", " st", " avenue", " ave", " lane", " ln", " close", " court", " ct", " blvd", " boulevard", " drive", " square", " terrace",
+        " crescent", " way", " place", " grove", "rue ", "avenue ", "boulevard ", "chemin ", "allée ", "impasse ", "quai ", "calle ", "c/", "avenida", "avda", "plaza ", "paseo ",
+        "straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "路", "街", "巷", "大道", "弄", "胡同",
+    ),
+    "person": (
+        "name is", "name's", "i'm ", "i am ", "signed,", "this is ", "cc ", "talk to ", "ask for ", "registered as", "me llamo", "m'appelle", "heiße ", "heisse ",
+        "name ist", "nombre es", "nom est", "sister ", "brother ", "mother ", "father ", "wife ", "husband ", "daughter ", "son ", "boss ", "friend ", "neighbour ", "neighbor ", "colleague ",
+        "jefa", "jefe", "dr. ", "dr ", "prof. ", "prof ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "frau ", "herr ", "herrn ", "sr. ", "sra. ", "señor ", "señora ", "mme ", "m. ",
+        "(my ", "wrote ", "said to", "has the key", "lo sabe", "我叫", "名字是", "落款", "签字", "老师", "联系人", "女士", "先生", "我是",
+        "妹妹", "姐姐", "哥哥", "弟弟", "妈妈", "爸爸", "母亲", "父亲", "老婆", "妻子", "丈夫", "老公", "女儿", "儿子", "同事", "朋友", "邻居", "老板", "经理", "上司", "医生",
+    ),
+}
+
+# Words of spoken digits.
+_SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
+_STREETS = "road|rd|street|st|avenue|ave|lane|ln|close|court|ct|blvd|boulevard|drive|square|terrace|crescent|way|place|grove"
+
+_DOT = r"(?:\.|\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{\s?dot\s?\})\s?|\s+(?:dot|punto|point|punkt)\s+)"
+_LOC = r"A-Za-z0-9À-ɏ_+%\-"
+_EMAIL = re.compile(
+    rf"(?:mailto:)?(?<![A-Za-z0-9_.+])[{_LOC}]+(?:{_DOT}[{_LOC}]+)*?"
+    rf"(?:\s?@\s?[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}}"
+    rf"|\s?(?:\(\s?at\s?\)|\[\s?at\s?\]|\{{\s?at\s?\}})\s?[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}}"
+    rf"|\s+(?:at|arroba|arobase)\s+[\w\-]+(?:\s+(?:dot|punto|point|punkt)\s+[\w\-]+)+)",
+    re.I,
+)
+
+_NUM = r"\(?(?<![\w#=.,:-])(?:\+|00)?\(?\d[\d\s().\-/]{5,22}\d(?!\w)(?:,?\s*(?:ext|extension|x|poste|durchwahl)\.?\s*\d{1,5})?"
+_PHONE_CUED = re.compile(
+    rf"(?:phone|tel|telephone|call|mobile|number\s+is|text\s+me(?:\s+on)?|whatsapp|fax|handy|móvil|portable|appelez|llama)\b[\s:.]*(?:no\.?|number|me|is|at|on|[:.])*\s*(?P<n>{_NUM})"
+    rf"|(?:手机号?码?|电话号?码?|微信(?:同号|号)?|打)\s*(?:是|为|[:：])?\s*(?P<c>(?:\+?86[\s-]?)?\(?[01]\d[\d\s-]{{6,14}}\d)",
+    re.I,
+)
+_PHONE_SPOKEN = re.compile(rf"\b(?:(?:{_SPOKEN}|double|triple)[\s,\-]+){{6,}}(?:{_SPOKEN})\b", re.I)
+# National forms that are telephone numbers without a cue.
+_PHONE_FORMS = re.compile(
+    r"(?<![\w#=.,:/+-])(?:"
+    r"\+\d{1,3}[\s.\-]?\(?0?\)?[\s.\-]?\d(?:[\s.\-/()]{0,2}\d){6,12}"
+    r"|(?:\+?1[\s.\-])?\(\d{3}\)\s?\d{3}[\s.\-]\d{4}|(?:1[\s.\-])?\d{3}[\s.\-]555[\s.\-]?\d{4}"
+    r"|0\d(?:[\s.]\d{2}){4}|020\s\d{4}\s\d{4}|1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}"
+    r")(?!\w|-\d|\.\d)"
+)
+
+_ID_FORMS = re.compile(
+    r"(?<![\w-])(?:"
+    r"[1-9]\d{5}\s?(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\s?\d{3}[\dXx]"
+    r"|\d{3}-\d{2}-\d{4}|\d{8}-[A-Za-z]|[XYZxyz]-?\d{7}-?[A-Za-z]"
+    r"|[12]\s\d{2}\s\d{2}\s\d{2}\s\d{3}\s\d{3}(?:\s\d{2})?"
+    r")(?!\w|-\d)"
+)
+_ID_CUED = re.compile(
+    r"(?:\bssn|social(?:\s+security)?(?:\s+(?:number|no\.?))?)\b[\s:.#(]*(?:is\b)?[\s:.#(]*\d{3}[-\s.]?\d{2}[-\s.]?\d{4}(?!\d)"
+    r"|(?:passport|passeport|pasaporte|reisepass)[\s-]*(?:number|no|nr|n°|nº|nummer)?[\s:.#]*(?:is\b)?\s*[A-Z]{1,3}\s?\d{6,9}\b"
+    r"|(?:ausweis(?:nummer|nr)?|personalausweis)[\s:.#]*(?:ist\b)?\s*[A-Z0-9]{2}[A-Z0-9]{6,9}\b"
+    r"|\b(?:dni|nie)\b[\s:.#]*(?:es\b)?\s*[A-Z]?\d{7,8}[\s-]?[A-Z]\b"
+    r"|(?:id\s+card|resident\s+id|identity\s+(?:card|number)|national\s+id|id\s+no)\b[\s:.#]*(?:number|no\.?|is)?[\s:.#]*[A-Z]{0,2}\d[\d\s]{6,18}[\dX](?!\w)"
+    r"|(?:身份证|证件|护照)(?:号码|号)?\s*(?:是|为|[:：])?\s*[A-Z]{0,2}\d[\d\s]{5,18}[\dX](?![\dA-Z])"
+    r"|(?:sécurité\s+sociale|steuer-id)[\s:.#]*(?:est|ist)?\s*\d[\d\s]{8,18}\d",
+    re.I,
+)
+
+_CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]+"
+_ADDRESS = re.compile(
+    rf"(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?(?<![\w.])\d{{1,5}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?i:{_STREETS})\b(?:,?\s*(?:apt|flat|unit)\.?\s*\d+\w?)?"
+    rf"|(?<![\w.])(?:{_CAP}\s+){{1,3}}(?:{'|'.join(w.capitalize() for w in _STREETS.split('|'))})\.?\s+\d{{1,5}}[A-Za-z]?(?:,\s*(?:first|second|third|fourth|fifth)\s+floor)?(?![\w:])"
+    r"|(?i:(?<![\w.])\d{1,5}\s*(?:bis|ter|quater)?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|allée|impasse|quai|route)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?[\w'’\-]+)"
+    r"|(?i:\b(?:calle|avenida|avda\.?|plaza|paseo)\s+|\bc/\s*)(?:[\w'’]+\s+){0,4}[\w'’]+,?\s*(?:n\.?\s?[º°]\s*|núm\.?\s*)?\d{1,4}(?:,\s*\d{1,2}\s?[ºª°]\s?\w?)?(?!\w)"
+    r"|(?<!\w)[A-Za-zÄÖÜäöü][\w-]*(?:(?<=\w)(?i:straße|strasse|str\.|weg|platz|allee|gasse))\s+\d{1,4}\s?[a-zA-Z]?(?!\w)(?:,\s*\d{4,5}\s+\w+)?"
+    r"|[一-鿿]{1,6}?(?:大道|路|街|巷|胡同)(?:\d+弄)?\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室户])?"
+)
+_ADDRESS_CUED = re.compile(
+    rf"(?:live\s+at|lives\s+at|address:?|ship\s+it\s+to|parcels\s+go\s+to|meet\s+me\s+at|keys\s+are\s+at|deliver\s+to|send\s+it\s+to|moved\s+to)\s+(?P<n>(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?"
+    rf"(?:\d{{1,5}}[a-z]?\s+(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\b|(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\s+\d{{1,5}}[a-z]?(?!\w)))",
+    re.I,
+)
+
+# a name: first name and surname, initial and surname, or one of them; after a certain cue case does not matter
+_WORD = r"[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*"
+_FULL = rf"(?:{_WORD}|[^\W\d_]\.)(?:\s+(?:[^\W\d_]\.\s+)?{_WORD})?"
+_TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herrn?|Sra?|Señora?|Mme|M)"
+_ROLE = r"(?:sister|brother|mother|father|wife|husband|daughter|son|boss|friend|neighbou?r|colleague|manager|doctor)"
+_NAMES = re.compile(
+    rf"(?i:(?:my\s+name\s+is|my\s+name's|me\s+llamo|je\s+m['’]appelle|ich\s+hei(?:ß|ss)e|mein\s+name\s+ist|mi\s+nombre\s+es|mon\s+nom\s+est)\s+(?P<a>{_FULL}))"
+    rf"|(?i:\bI['’]m\s+(?P<b>{_FULL}),\s+by\s+the\s+way)"
+    rf"|\bI\s?['’]?a?m\s+(?P<c>{_CAP}\s+{_CAP})(?=[,.;]|\s+and\b|\s+-)"
+    rf"|(?i:\bsigned,\s+(?P<d>{_FULL}))(?=\s*(?:[,.;。，；!)]|-|$|\s+and\b))"
+    rf"|(?i:\bthis\s+is\s+(?P<e>{_FULL})\s+(?:again|speaking|here)\b)"
+    rf"|(?i:\bcc\s+(?P<f>{_FULL})\s+(?:please|pls)\b)"
+    rf"|(?i:\bask\s+for\s+(?P<g>{_FULL})\s+at\s+the\b)"
+    rf"|(?i:\bregistered\s+as\s+(?P<h>{_WORD},\s+{_WORD}))"
+    rf"|(?i:\bmy\s+{_ROLE}\s+(?P<i>{_FULL})\s+(?:knows|said|says|has|will|agreed|told)\b)"
+    rf"|(?i:\bmi\s+jef[ae],\s+(?P<j>{_FULL}),)"
+    rf"|(?i:(?P<k>{_FULL})\s+\(my\s+{_ROLE}\))"
+    rf"|(?i:(?P<l>(?:[^\W\d_]\.\s+)?{_WORD}(?:\s+{_WORD})?)\s+(?:wrote\s+the\s+first\s+draft|said\s+to\s+rest|has\s+the\s+key\b))"
+    rf"|(?i:\btalk\s+to\s+(?:{_TITLE}\.?\s+)?(?P<m>{_FULL})\s+about\b)"
+    rf"|\b{_TITLE}\.?\s+(?P<n>(?:[A-Z]\.\s+)*{_CAP}(?:\s+{_CAP})?)"
+    r"|(?:我叫|我的名字是|名字叫|落款[：:]\s*)(?P<o>[一-鿿]{2,4})(?=[，。；,;！!）)\s]|$)"
+    r"|找(?P<p>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生|同学)|联系人[是：:]\s*(?P<q>[一-鿿]{2,4}?)(?:老师|女士|先生|经理|医生|[，。；,;]|$)"
+    r"|我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|母亲|父亲|老婆|妻子|丈夫|老公|女儿|儿子|同事|朋友|邻居|老板|经理|上司|医生)(?P<s>[一-鿿]{2,4}?)(?=知道|说|有|会|同意|要|在|把|已)"
+    r"|(?:^|(?<=[，。；,;！!\s]))(?P<t>[一-鿿]{2,4})[（(]我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|同事|朋友|邻居|老板|经理|上司|医生|老师|室友)[）)]"
+    r"|我是(?P<r>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生)"
+)
+# Words a name cannot begin or end with.
+_NO_NAME = set("the a an and or but not so to of in at on for my our your his her their this that it i we you they he she is was who what when how again please very".split())
+
+
+@cache
+def automaton() -> ahocorasick.Automaton:
+    """All cues of all kinds in one automaton; a cue may belong to several kinds."""
+    kinds: dict[str, list[str]] = defaultdict(list)
+    for kind, cues in ANCHORS.items():
+        for c in cues:
+            kinds[c].append(kind)
+    out = ahocorasick.Automaton()
+    for cue, of in kinds.items():
+        out.add_word(cue, (len(cue), tuple(of)))
+    out.make_automaton()
+    return out
+
+
+_SCHEMES = re.compile(r"\d{3}-\d{2}-\d{4}|\d{15}|\d{6} \d{8} \d|\d{11}|\d{8}-[A-Za-z]\b|\d[\s.\-)]{1,2}\d{3}[\s.\-]\d{4}|0\d[. ]\d\d[. ]\d\d|020 \d{4}|(?:zero|one|two|three|four|five|six|seven|eight|nine) (?:zero|one|two|three|four|five|six|seven|eight|nine)", re.I)
+_ODD = re.compile(rf"[{re.escape(INVISIBLE)}{re.escape(''.join(k for k in LOOK_ALIKES if not k.isascii()))}\u00a0\u2000-\u200a\u202f\u2010\u2011\ufb00-\ufb06\uff01\uff03-\uff07\uff0a\uff0b\uff0d-\uff19\uff20-\uff5a\u0300-\u036f]|（(?=\d)")
+
+
+def readable(text: str) -> tuple[str, list[int] | None]:
+    """(text to parse, source position of each of its characters and of its end; None: the same)."""
+    if text.isascii() or not _ODD.search(text):
+        return text, None
+    to = transducer()
+    out: list[str] = []
+    at: list[int] = []
+    last = 0
+    for m in to.pattern.finditer(text):
+        a, b = m.span()
+        out.append(text[last:a])
+        at.extend(range(last, a))
+        new = m.group() if m.lastgroup == "shown" or m.group() in "，。；：！？" else to.cluster(m.group())
+        out.append(new)
+        at.extend([a] * len(new))
+        last = b
+    out.append(text[last:])
+    at.extend(range(last, len(text)))
+    at.append(len(text))
+    return "".join(out), at
+
+
+def _person(m: re.Match) -> tuple[int, int] | None:
+    group = m.lastgroup
+    a, b = m.span(group)
+    name = m.group(group)
+    if group in "opqrst":
+        return (a, b)
+    words = name.replace(",", " ").split()
+    if group in "kl":  # whatever stands before: at most the last two words, not common ones
+        while words and words[0].lower() in _NO_NAME:
+            a += len(words[0]) + 1
+            words = words[1:]
+        if any(w[0].isupper() for w in words):
+            while words and not words[0][0].isupper():
+                a += len(words[0]) + 1
+                words = words[1:]
+    if not words or words[0].lower() in _NO_NAME or words[-1].lower() in _NO_NAME:
+        return None
+    return (a, b)
+
+
+_VALUE = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]{1,3}(?=\s?\d{5}))?\d[\w\s.\-]*$|(?<![A-Za-z])[A-Za-z]{1,3}\d[\w\s.\-]*$")
+_PLACED = re.compile(r"^[一-鿿]*?(?:住在|寄到|送到|搬到|寄给|地址|到|在)(?=[一-鿿]{2,}?(?:大道|路|街|巷|胡同))")
+
+
+def _bounds(kind: str, m: re.Match) -> tuple[int, int] | None:
+    """Where the information itself stands in a parser's match: without its cue."""
+    a, b = m.span()
+    if kind == "person":
+        return _person(m)
+    if kind == "email":
+        return (a + 7, b) if m.group()[:7].lower() == "mailto:" else (a, b)
+    if kind == "id_number" and (v := _VALUE.search(m.group())):
+        return a + v.start(), b
+    if kind == "address":
+        if m.re.groups and m.group("n"):
+            return m.span("n")
+        if v := _PLACED.match(m.group()):
+            return a + v.end(), b
+    return a, b
+
+
+def _phones(part: str) -> Iterator[tuple[int, int]]:
+    for m in _PHONE_CUED.finditer(part):
+        group = "n" if m.group("n") else "c"
+        digits = sum(c.isdigit() for c in re.split(r"(?i)ext|x", m.group(group))[0])
+        if 7 <= digits <= 15:
+            yield m.span(group)
+    for pattern in (_PHONE_FORMS, _PHONE_SPOKEN):
+        for m in pattern.finditer(part):
+            yield m.span()
+
+
+def _windows(spots: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
+    a = b = -1
+    for x, y in sorted(spots):
+        x, y = max(0, x - REACH_BACK), min(size, y + REACH_ON)
+        if x <= b:
+            b = max(b, y)
+        else:
+            if b >= 0:
+                yield a, b
+            a, b = x, y
+    if b >= 0:
+        yield a, b
+
+
+def find(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all personal information of a text, in its own positions, without overlaps."""
+    if not text:
+        return []
+    plain, at = readable(text)
+    spots: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    lower = plain.lower()
+    if len(lower) != len(plain):
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
+    for end, (size, kinds) in automaton().iter(lower):
+        for kind in kinds:
+            spots[kind].append((end + 1 - size, end + 1))
+    for m in _SCHEMES.finditer(plain):
+        spots["phone"].append(m.span())
+        spots["id_number"].append(m.span())
+    found: list[tuple[int, int, str]] = []
+
+    def add(kind: str, a: int, b: int) -> None:
+        if not any(x < b and a < y for x, y, _ in found):
+            found.append((a, b, kind))
+
+    # papers before numbers, numbers before streets and names: what is taken is not taken again
+    for kind, patterns in (("email", (_EMAIL,)), ("id_number", (_ID_CUED, _ID_FORMS)), ("phone", ()), ("address", (_ADDRESS, _ADDRESS_CUED)), ("person", (_NAMES,))):
+        if kind not in spots:
+            continue
+        for a, b in _windows(spots[kind], len(plain)):
+            part = plain[a:b]
+            if kind == "phone":
+                for x, y in _phones(part):
+                    add(kind, a + x, a + y)
+                continue
+            for pattern in patterns:
+                for m in pattern.finditer(part):
+                    if span := _bounds(kind, m):
+                        add(kind, a + span[0], a + span[1])
+    found.sort()
+    if at is not None:
+        found = [(at[x], at[y - 1] + 1 if at[y] <= at[y - 1] else at[y], k) for x, y, k in found]
+    return found
+
+
+def redact(text: str | None, found: list[tuple[int, int, str]] | None = None) -> str | None:
+    """The text with a typed placeholder, e.g. ``[EMAIL]``, in place of everything found."""
+    if not text:
+        return text
+    out, last = [], 0
+    for a, b, kind in find(text) if found is None else found:
+        out += [text[last:a], f"[{kind.upper()}]"]
+        last = b
+    return "".join(out) + text[last:]
+
+
+def scan_pii(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, found array<struct<start, end, kind>>, redacted string.
+
+    One row per input row: repeated rows stay, null texts give null, empty
+    texts give an empty list. Positions count characters of the stored text.
+    Nothing is shuffled; very long texts are only looked at around anchors.
+    """
+    rows = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        for batch in batches:
+            texts = batch.column(len(keep)).to_pylist()
+            found = [None if t is None else find(t) for t in texts]
+            lists = pa.array([None if f is None else [{"start": a, "end": b, "kind": k} for a, b, k in f] for f in found], kind)
+            new = pa.array([t if not f else redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists, new], [*keep, "found", "redacted"])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", found array<struct<start: int, end: int, kind: string>>, redacted string"
+    return rows.mapInArrow(run, schema)
+
+
+def kinds_found(scanned: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per ``keep`` values and kind found in the row."""
+    return scanned.select(*keep, F.explode(F.array_distinct("found.kind")).alias("kind")).distinct()

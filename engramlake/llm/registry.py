@@ -12,6 +12,7 @@ from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_p
 from engramlake.llm.knn import neighbour_pairs, neighbours
 from engramlake.llm.leaks import find_leaks, leak_report
 from engramlake.llm.near import group_pairs, near_groups
+from engramlake.llm.pii import kinds_found, scan_pii
 from engramlake.llm.sentences import fit_on, split_sentences
 from engramlake.llm.tokenize import encode_corpus
 from engramlake.session import table
@@ -52,6 +53,15 @@ def told(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memories.unionByName(messages)
 
 
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_pii(told(spark, sf_dir), "content", ["src", "row_id"])
+    return scanned.select("src", "row_id", F.size("found").alias("n_found"), "redacted").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kinds_found(scan_pii(told(spark, sf_dir), "content", ["src", "row_id"]), ["src", "row_id"])
+
+
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "memories"), "id", "domain", "content")
 
@@ -74,6 +84,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
@@ -120,7 +132,18 @@ _TOLD = """told AS (
 )"""
 _FORMS = "WITH " + _TOLD + ", form AS (SELECT *, CASE WHEN regexp_matches(content, '[^\\x00-\\x7F]') THEN " + _form_sql("content").replace("nfd(", "(") + " ELSE content END AS canonical FROM told)"
 
+_NEAR = """WITH RECURSIVE m AS (
+  SELECT DISTINCT id, domain, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS t FROM memories WHERE content IS NOT NULL AND domain <> ''
+),
+g AS (SELECT id, domain, list_distinct(list_transform(generate_series(1, length(t) - 3), lambda i: substr(t, i, 4))) AS s FROM m WHERE length(t) >= 4),
+c AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) AS n FROM g a JOIN g b ON a.domain = b.domain AND a.id < b.id),
+link AS (SELECT x, y FROM c WHERE i >= 0.6 * (n - i)),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+r AS (SELECT x AS a, y AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": _NEAR + " SELECT a AS id_a, b AS id_b FROM r WHERE a < b",
+    "p5_groups": _NEAR + " SELECT a AS id, min(b) AS group_id FROM r GROUP BY a",
     "p9_found": _LEAKS + " SELECT * FROM found",
     "p6_forms": _FORMS + " SELECT src, row_id, canonical FROM form",
     "p6_found": _FORMS
