@@ -30,20 +30,25 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
 
 
-def successor(df: DataFrame, keys: list[str], at: str, out: str, slice_s: float = SLICE_S) -> DataFrame:
-    """Add ``out``: the next value of the double column ``at`` within ``keys`` (null for the last).
+def successor(
+    df: DataFrame, keys: list[str], at: str, out: str, slice_s: float = SLICE_S, tie: str | None = None, value: str | None = None
+) -> DataFrame:
+    """Add ``out``: ``value`` (default ``at``) of the next row of ``keys`` in the order of ``at``; null for the last.
 
-    Values of ``at`` must be distinct within a key. No task gets more of one
-    key than a time slice, plus one row per slice.
+    Rows of one key with equal ``at`` need a ``tie`` column that orders them.
+    No task gets more of one key than a time slice, plus one row per slice.
     """
+    value = value or at
+    order = [at] + ([tie] if tie else [])
     sliced = df.withColumn("_slice", F.floor(F.col(at) / slice_s))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(at)
-    rows = sliced.withColumn("_next", F.lead(at).over(inside))
-    heads = sliced.groupBy(*keys, "_slice").agg(F.min(at).alias("_head"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = sliced.withColumn("_more", F.lead(at).over(inside).isNotNull()).withColumn("_next", F.lead(value).over(inside))
+    heads = sliced.groupBy(*keys, "_slice").agg(F.min_by(value, F.struct(*order)).alias("_head"))
     between = Window.partitionBy(*keys).orderBy("_slice")
     heads = heads.withColumn("_after", F.lead("_head").over(between)).drop("_head")
     joined = rows.join(heads, _same(rows, heads, [*keys, "_slice"]), "left")
-    return joined.select(*[rows[c] for c in df.columns], F.coalesce(rows["_next"], heads["_after"]).alias(out))
+    following = F.when(rows["_more"], rows["_next"]).otherwise(heads["_after"])
+    return joined.select(*[rows[c] for c in df.columns], following.alias(out))
 
 
 def _number(c: str) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engramlake.plans import data_problems
+from engramlake.plans import data_problems, memory_queries
 
-_MODULES = [data_problems]
+_MODULES = [data_problems, memory_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
