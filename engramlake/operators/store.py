@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramlake.session import cut
+
 
 ACTIVE, ARCHIVED = "active", "archived"
 FACT, PATTERN, PRINCIPLE = 0, 1, 2
@@ -74,7 +76,8 @@ def _numbered(rows: DataFrame, top: DataFrame) -> DataFrame:
     Rows are ranked inside ranges; the ranges' sizes, one row each, are summed up.
     """
     ordered = rows.repartitionByRange(F.col("ts"), F.col("content"), F.col("domain")).sortWithinPartitions("ts", "content", "domain")
-    placed = ordered.withColumn("_m", F.monotonically_increasing_id())
+    # written once: the ranges must be the same ones for the ranks and for the sums
+    placed = cut(ordered.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     inside = placed.withColumn("_p", part).withColumn("_i", F.col("_m") - F.shiftleft(part, 33) + 1)
     sizes = inside.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))

@@ -72,13 +72,13 @@ def front_matter(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     pairs = F.transform(head, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), strip(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
 
     def field(name: str):
-        return F.coalesce(F.element_at(F.filter(pairs, lambda p: p["k"] == name), -1)["v"], F.lit(""))
+        return F.coalesce(F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"], F.lit(""))
 
     lines = F.transform(F.split("body", "\n"), strip)
 
     def last_line(name: str):
         found = F.filter(lines, lambda x: x.startswith(name + ":"))
-        return F.when(F.size(found) > 0, strip(F.substring(F.element_at(found, -1), len(name) + 2, 1 << 30))).otherwise("")
+        return F.when(F.size(found) > 0, strip(F.substring(F.try_element_at(found, F.lit(-1)), len(name) + 2, 1 << 30))).otherwise("")
 
     # a fold over the lines: whether inside a fix, and its parts so far
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("parts"))
@@ -106,12 +106,12 @@ def front_matter(texts: DataFrame, key: str, text_col: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Whole text files: file (name), text."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """A registry file {"projects": {name: {...}}}: one row per project, name and its fields as JSON."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     found = F.from_json(F.get_json_object("value", "$.projects"), "map<string,string>")
     return rows.select(F.explode(found).alias("name", "about"))
