@@ -102,7 +102,7 @@ _ID_CUED = re.compile(
 
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]+"
 _ADDRESS = re.compile(
-    rf"(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?(?<![\w.])\d{{1,5}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?i:{_STREETS})\b(?:,?\s*(?:apt|flat|unit)\.?\s*\d+\w?)?"
+    rf"(?i:(?:flat|apt|unit)\s+\d+\w?,\s*)?(?<![\w.])\d{{1,5}}[A-Za-z]?\s+(?:{_CAP}\s+){{1,3}}(?i:{_STREETS})\b(?i:,?\s*(?:apt|flat|unit)\.?\s*\d+\w?)?"
     rf"|(?<![\w.])(?:{_CAP}\s+){{1,3}}(?:{'|'.join(w.capitalize() for w in _STREETS.split('|'))})\.?\s+\d{{1,5}}[A-Za-z]?(?:,\s*(?:first|second|third|fourth|fifth)\s+floor)?(?![\w:])"
     r"|(?i:(?<![\w.])\d{1,5}\s*(?:bis|ter|quater)?,?\s+(?:rue|avenue|av\.|boulevard|bd\.?|place|chemin|allée|impasse|quai|route)\s+(?:de\s+la\s+|de\s+l['’]|du\s+|des\s+|de\s+|d['’])?[\w'’\-]+)"
     r"|(?i:\b(?:calle|avenida|avda\.?|plaza|paseo)\s+|\bc/\s*)(?:[\w'’]+\s+){0,4}[\w'’]+,?\s*(?:n\.?\s?[º°]\s*|núm\.?\s*)?\d{1,4}(?:,\s*\d{1,2}\s?[ºª°]\s?\w?)?(?!\w)"
