@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramlake.functions.text import tokens
 from engramlake.functions.vectors import DIM, bind, encode, similarity
@@ -23,27 +28,74 @@ def encoded(habits: DataFrame, text_col: str = "description", dim: int = DIM) ->
     return habits.withColumn("hv", pair_vector(first_word(F.col(text_col)), F.col(text_col), dim))
 
 
+def _counters(packed: np.ndarray) -> np.ndarray:
+    """(rows, words) packed signs to (rows, 64 * words) of +1 and -1."""
+    bits = np.unpackbits(np.ascontiguousarray(packed).view(np.uint8), axis=1, bitorder="little")
+    return 1 - 2 * bits.astype(np.int32)
+
+
+def _pack(sums: np.ndarray) -> np.ndarray:
+    """Signs of (rows, dim) sums, +1 on a tie, as (rows, dim / 64) packed numbers."""
+    return np.packbits(sums < 0, axis=1, bitorder="little").view(np.int64)
+
+
+def _majority(dim: int):
+    def run(words: pd.Series) -> pd.Series:
+        none = np.zeros(dim // 64, np.int64)
+        return pd.Series([none if w is None or not len(w) else _pack(_counters(np.asarray(w, np.int64).reshape(-1, dim // 64)).sum(0, keepdims=True))[0] for w in words])
+
+    return F.pandas_udf(run, T.ArrayType(T.LongType()))
+
+
 def bag_encoded(habits: DataFrame, id_col: str, text_col: str = "description", dim: int = DIM) -> DataFrame:
-    """(id, hv): the bundle of a text's distinct words, so texts with common words are similar."""
-    words = habits.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("w"))
-    return bundle(words.select(id_col, encode(F.col("w"), dim).alias("hv")), [id_col], dim)
+    """(id, hv): the bundle of a text's distinct words, so texts with common words are similar.
+
+    Words are hashed in generated code; one vectorised call bundles a row's.
+    """
+    words = F.flatten(F.transform(F.array_distinct(tokens(F.col(text_col))), lambda w: encode(w, dim)))
+    return habits.select(id_col, _majority(dim)(words).alias("hv"))
+
+
+#: Groups whose counters a task holds before it passes them on.
+HELD_GROUPS = 2_000
 
 
 def bundle(vectors: DataFrame, by: list[str], dim: int = DIM) -> DataFrame:
     """The bundle of each group's vectors (column hv): the sign of the sums, +1 on a tie.
 
-    Every vector becomes ``dim`` counters; counters are summed on the map side
-    first, so what is shuffled is groups times dim, whatever the group's size.
+    Each task adds its vectors up to one row of ``dim`` counters per group, and
+    only those rows are shuffled, whatever the size of a group.
     """
-    from engramlake.functions.vectors import signs
-
-    each = vectors.select(*by, F.posexplode(signs(F.col("hv"))).alias("at", "s"))
-    sums = each.groupBy(*by, "at").agg(F.sum("s").alias("s"))
-    word = sums.select(*by, F.floor(F.col("at") / 64).alias("w"), (F.col("at") % 64).alias("b"), (F.col("s") < 0).alias("minus"))
-    # one bit each, so their sum is their union; the highest bit wraps to the sign
-    packed = word.groupBy(*by, "w").agg(F.bit_or(F.when(F.col("minus"), F.expr("shiftleft(1L, b)")).otherwise(F.lit(0).cast("long"))).alias("v"))
-    rows = packed.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("w", "v"))).alias("ws"))
-    return rows.select(*by, F.col("ws.v").alias("hv"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = pd.DataFrame([(*k, v) for k, v in held.items()], columns=[*by, "sums"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            signs = _counters(np.stack(pdf["hv"].to_numpy()).astype(np.int64))
+            groups = pdf.groupby(by, dropna=False, sort=False).indices.items() if by else [((), np.arange(len(pdf)))]
+            for key, at in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                held[key] = held.get(key, 0) + signs[at].sum(0)
+                if len(held) >= HELD_GROUPS:
+                    yield rows()
+        if held:
+            yield rows()
+
+    types = dict(vectors.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "sums array<int>"])
+    parts = vectors.where(F.col("hv").isNotNull()).select(*by, "hv").mapInPandas(partial, schema)
+    sums = parts.select(*by, F.posexplode("sums").alias("at", "s")).groupBy(*by, "at").agg(F.sum("s").alias("s"))
+    rows = sums.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("c"))  # dim counters a group
+    bit = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i)
+    word = lambda w: F.aggregate(bit, F.lit(0).cast("long"), lambda v, i: v.bitwiseOR(F.when(F.get(F.col("c.s"), w * 64 + i) < 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    return rows.select(*by, F.transform(F.sequence(F.lit(0), F.lit(dim // 64 - 1)), word).alias("hv"))
 
 
 def nearest(habits: DataFrame, query: Column, k: int = 5, least: float | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions.text import Node, ascii_lower, parse_query, sanitize_query, tokens
 from engramlake.operators.store import PATTERN, active
+from engramlake.session import cut
 
 # BM25 parameters, and the weight of terms in more than half of the documents.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -111,6 +112,10 @@ def visible(search_domain: str | None) -> Column:
 def _merged(store: DataFrame, query: str, fts: int, like: int) -> DataFrame:
     """Both kinds of hits, each memory once: full text before substring."""
     both = search_fts(store, query, fts).withColumn("src", F.lit(0)).unionByName(search_like(store, query, like).withColumn("src", F.lit(1)))
+    return _once(both)
+
+
+def _once(both: DataFrame) -> DataFrame:
     w = Window.partitionBy("id").orderBy("src", "pos")
     return both.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
@@ -136,9 +141,14 @@ def pyramid_search(store: DataFrame, query: str, limit: int = 10, domain: str |
     before it is filtered. Privacy holds for all hits and children.
     """
     allowed = visible(domain)
+    # the narrower limits are the first places of the widest, so both searches run once
+    widest = 10
+    found = search_fts(store, query, 2 * widest).withColumn("src", F.lit(0)).unionByName(search_like(store, query, widest).withColumn("src", F.lit(1)))
+    found = cut(found)
 
     def level_hits(level: int, n: int) -> DataFrame:
-        hits = _merged(store, query, 2 * n, n).where(F.col("level") == level)
+        near = found.where(F.col("pos") <= F.when(F.col("src") == 0, 2 * n).otherwise(n))
+        hits = _once(near).where(F.col("level") == level)
         if domain is not None:
             hits = hits.where(F.col("domain") == domain)
         w = Window.partitionBy(F.lit(0)).orderBy("src", "pos")

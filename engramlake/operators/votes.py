@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Days in which a score halves, weight of a negative vote.
@@ -45,3 +45,13 @@ def scores(votes: DataFrame, now: float) -> DataFrame:
 def top(votes: DataFrame, now: float, n: int = 20) -> DataFrame:
     """The n entries with the highest score."""
     return scores(votes, now).orderBy(F.desc(F.round("final_score", 6)), "entry_id").limit(n)
+
+
+def proven(uses: int = 5, score: float = 8.0) -> Column:
+    """Whether a scored entry is used and liked enough."""
+    return (F.col("usage_count") >= uses) & (F.col("final_score") >= score)
+
+
+def stale(days: float = 180.0, uses: int = 10) -> Column:
+    """Whether a scored entry is old and never voted for, or used without a positive score."""
+    return ((F.col("age_days") > days) & (F.col("last_vote") == 0)) | ((F.col("usage_count") >= uses) & (F.col("final_score") <= 0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import rules as R
 from engramlake.functions import text as X
 from engramlake.functions import vectors as V
+from engramlake.functions.embedding import embed
 from engramlake.operators import gate as G
 from engramlake.operators import habits as H
 from engramlake.operators import refine as E
@@ -17,6 +18,7 @@ from engramlake.operators import search as S
 from engramlake.operators import store as ST
 from engramlake.operators import triples as TR
 from engramlake.operators import votes as VO
+from engramlake.operators.history import SINGLE_VALUED
 from engramlake.session import table
 from engramlake.sources import readers as RD
 from engramlake.streaming import ingest as IN
@@ -27,7 +29,7 @@ ORACLE: dict[str, str] = {}
 
 #: The time queries run at, and what they look for.
 NOW = 1_751_500_000.0
-WORD, OTHER, PHRASE, SUBSTRING, DOMAIN, AS_OF, SUBJECT = "kettle", "harbour", "night market", "Tea House", "health", 1_700_000_000.0, "user"
+WORD, OTHER, PHRASE, SUBSTRING, DOMAIN, AS_OF, SUBJECT = "kettle", "harbour", "night market", "Tea House", "work", 1_700_000_000.0, "user"
 
 MEMORY_COLUMNS = ["id", "content", "domain", "ts", "level", "parent_id", "status", "privacy", "hit_count", "last_hit_at", "decay_count", "created_at", "metadata"]
 
@@ -456,12 +458,12 @@ def triples_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return TR.as_of(TR.closed(tris(spark, sf)), AS_OF).select("id", "subject", "relation", "object")
 
 
-@query("triples_asof_join", _CLOSED + ", e AS (SELECT DISTINCT id AS event_id, subject, created_at AS at FROM tri WHERE created_at IS NOT NULL) SELECT e.event_id, c.id, c.relation FROM e JOIN c ON c.subject = e.subject AND c.valid_from <= e.at AND (c.valid_until IS NULL OR c.valid_until > e.at) WHERE c.relation = 'located_in'")
+@query("triples_asof_join", _CLOSED + ", e AS (SELECT DISTINCT id AS event_id, subject, created_at AS at FROM tri WHERE created_at IS NOT NULL) SELECT e.event_id, c.id, c.relation FROM e JOIN c ON c.subject = e.subject AND c.valid_from <= e.at AND (c.valid_until IS NULL OR c.valid_until > e.at) WHERE c.relation IN ('name_is', 'works_at', 'located_in', 'currently_doing')")
 def triples_asof_join(spark: SparkSession, sf: str) -> DataFrame:
     rows = tris(spark, sf)
     events = rows.where("created_at IS NOT NULL").select(F.col("id").alias("event_id"), "subject", F.col("created_at").alias("at"))
-    places = TR.closed(rows).where("relation = 'located_in'").select("id", "subject", "relation", "valid_from", "valid_until")
-    return TR.asof_join(events, places).select("event_id", "id", "relation")
+    states = TR.closed(rows.where(F.col("relation").isin(*SINGLE_VALUED))).select("id", "subject", "relation", "valid_from", "valid_until")
+    return TR.asof_join(events, states).select("event_id", "id", "relation")
 
 
 @query("query_relation", f"WITH {_TRI} SELECT id, subject, object FROM tri WHERE valid_until IS NULL AND relation = 'works_at'")
@@ -511,6 +513,16 @@ def score_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("score_verify", _SCORES + " SELECT entry_id FROM z WHERE usage_count >= 5 AND final_score >= 8")
+def score_verify(spark: SparkSession, sf: str) -> DataFrame:
+    return VO.scores(votes(spark, sf), NOW).where(VO.proven()).select("entry_id")
+
+
+@query("score_archivable", _SCORES + f" SELECT entry_id FROM z WHERE (last_vote = 0 AND first_seen > 0 AND ({NOW} - first_seen) / 86400.0 > 180) OR (usage_count >= 10 AND final_score <= 0)")
+def score_archivable(spark: SparkSession, sf: str) -> DataFrame:
+    return VO.scores(votes(spark, sf), NOW).where(VO.stale()).select("entry_id")
+
+
 # RE2 has no look-around and only ASCII classes: the first two rules' neighbours are matched and cut off
 _RE2 = {
     "phone_cn": (r"(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)", 1),
@@ -639,6 +651,27 @@ def engine_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy().agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n, _ in parts])
 
 
+@query("preferences", "SELECT habit_id FROM habits WHERE " + " OR ".join(f"contains(description, '{w}')" for w in E.PREFERENCE_WORDS))
+def preferences(spark: SparkSession, sf: str) -> DataFrame:
+    return E.preferences(table(spark, sf, "habits")).select("habit_id")
+
+
+def _topic_sql(col: str) -> str:
+    clean = f"replace(replace(lower({col}), '.md', ''), '-', ' ')"
+    return "CASE " + " ".join(f"WHEN contains({clean}, '{a}') THEN '{b}'" for a, b in R.TOPIC_DOMAINS) + " ELSE 'general' END"
+
+
+@query("infer_domain", f"SELECT doc_id, {_topic_sql('source')} AS domain FROM documents WHERE source IS NOT NULL")
+def infer_domain(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where("source IS NOT NULL").select("doc_id", R.topic_domain(F.col("source")).alias("domain"))
+
+
+@query("text_embedding")
+def text_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "habits").select("habit_id", "description")
+    return rows.select("habit_id", embed(F.col("description")).alias("embedding"))
+
+
 # --- hypervectors -----------------------------------------------------------
 
 
@@ -710,7 +743,7 @@ def habit_query_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and streams ----------------------------------------------------
 
 _LINES = (
-    "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL AND kind = 'topic'),"
+    "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),"
     f" ln AS (SELECT *, {_STRIP.format('raw')} AS line FROM raw),"
     f" sec AS (SELECT *, coalesce(last_value(CASE WHEN starts_with(line, '##') THEN {_STRIP.format(chr(114) + 'egexp_replace(line, ' + chr(39) + '^#+' + chr(39) + ', ' + chr(39) * 2 + ')')} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), CAST(doc_id AS VARCHAR)) AS section FROM ln)"
 )
@@ -718,7 +751,7 @@ _LINES = (
 
 @query("topic_lines", f"WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line AS content, '' AS source_project, section FROM sec WHERE line <> '' AND NOT starts_with(line, '#') AND length(line) > 5")
 def topic_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return RD.topic_lines(table(spark, sf, "documents").where("text IS NOT NULL AND kind = 'topic'"), "doc_id", "text")
+    return RD.topic_lines(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
 _HEAD = r"regexp_extract(t, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n', 1)"

@@ -166,6 +166,23 @@ def test_model_answers():
     assert len(E.digest({"name": "x" * 900}, {}, {}, 0, [], 100)) <= 200
 
 
+def test_sql_functions_and_embeddings(spark):
+    import numpy as np
+
+    from engramlake.functions.embedding import embed
+    from engramlake.functions.register import register
+
+    register(spark)
+    rows = spark.sql("SELECT a.k, p.* FROM (SELECT 1 AS k, 'INSIGHT: x\\nCONFIDENCE: 2' AS t) a, LATERAL parse_insights(a.t) p").collect()
+    assert [tuple(r) for r in rows] == [(1, "x", 1.0)]
+    assert [r.type for r in spark.sql("SELECT * FROM parse_actions('DECAY: 3 a')").collect()] == ["decay"]
+    df = spark.createDataFrame([("tea and cake",), ("cake and tea",), ("",), (None,)], "t string")
+    a, b, empty, none = [r.v for r in df.select(embed(F.col("t")).alias("v")).collect()]
+    assert a == b and abs(np.dot(a, b) - 1) < 1e-5 and empty is None and none is None
+    own = [r.v for r in df.select(embed(F.col("t"), lambda ts: [np.ones(2)] * len(ts)).alias("v")).collect()]
+    assert own == [[1.0, 1.0], [1.0, 1.0], [1.0, 1.0], None]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"role": "user", "content": "hi"}\n\n{"role": "assistant", "content": "yo"}\n')
     assert RD.read_messages(spark, str(tmp_path / "m.jsonl")).count() == 2
