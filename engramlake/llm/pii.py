@@ -111,7 +111,7 @@ _ADDRESS = re.compile(
 )
 _ADDRESS_CUED = re.compile(
     rf"(?:live\s+at|lives\s+at|address:?|ship\s+it\s+to|parcels\s+go\s+to|meet\s+me\s+at|keys\s+are\s+at|deliver\s+to|send\s+it\s+to|moved\s+to)\s+(?P<n>(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?"
-    rf"(?:\d{{1,5}}[a-z]?\s+(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\b|(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\s+\d{{1,5}}[a-z]?(?!\w)))",
+    rf"(?:\d{{1,5}}[a-z]?\s+(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\b|(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\.?\s+\d{{1,5}}[a-z]?(?!\w)))",
     re.I,
 )
 
