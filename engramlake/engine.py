@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.operators import gate as g
+from engramlake.operators import habits as h
 from engramlake.operators import refine as r
 from engramlake.operators import search as s
 from engramlake.operators import store as st
@@ -55,6 +56,14 @@ class Memory:
     def search_pyramid(self, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
         return s.pyramid_search(self.store, query, limit, domain).select("id", "content", "domain", "level", "score", "method", "stage")
 
+    def prefetch(self, query: str, memories: int = 5, habits: int = 3) -> str:
+        """Text for a prompt: the best memories and the habits nearest to the query."""
+        lines = [f"- {x.content}" for x in self.search(query, memories).collect()]
+        bags = h.bag_encoded(self.habits.where("description <> ''"), "habit_id")
+        asked = h.bag_encoded(self.spark.createDataFrame([(0, query)], "habit_id bigint, description string"), "habit_id")
+        near = h.nearest(bags.crossJoin(F.broadcast(asked.select(F.col("hv").alias("q")))), F.col("q"), habits, 0.1)
+        return "\n".join(lines + [f"- {x.description}" for x in near.join(self.habits, "habit_id").orderBy(F.desc("similarity"), "habit_id").collect()])
+
     def learn(self, text: str, ts: float = 0.0) -> int:
         """Store a text as it is, unless an active memory has it."""
         return self.add([{"role": "user", "content": f"remember: {text}", "ts": ts}])

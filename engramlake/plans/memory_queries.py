@@ -523,20 +523,28 @@ def score_archivable(spark: SparkSession, sf: str) -> DataFrame:
     return VO.scores(votes(spark, sf), NOW).where(VO.stale()).select("entry_id")
 
 
-# RE2 has no look-around and only ASCII classes: the first two rules' neighbours are matched and cut off
+# RE2 has no look-around and only ASCII classes: the neighbours of a match are matched too, classes are spelled out
+_NO_DIGIT, _NO_WORD = (r"(?:^|[^\p{Nd}])", r"(?:$|[^\p{Nd}])"), (r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])")
 _RE2 = {
-    "phone_cn": (r"(?:^|[^0-9])(1[3-9][0-9]{9})(?:[^0-9]|$)", 1),
-    "phone_us": (r"(?:^|[^0-9])([0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4})(?:[^0-9]|$)", 1),
-    "email": (r"(?:^|[^\p{L}\p{N}_])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})", 1),
-    "ssn_us": (r"(?:^|[^\p{L}\p{N}_])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^\p{L}\p{N}_]|$)", 1),
+    "phone_cn": r"1[3-9]\p{Nd}{9}".join(_NO_DIGIT),
+    "phone_us": r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}".join(_NO_DIGIT),
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}".join(_NO_WORD),
+    "id_card_cn": r"\p{Nd}{15,18}[Xx]?".join(_NO_WORD),
+    "ssn_us": r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}".join(_NO_WORD),
+    "file_path": r"/(?:Users|home)/[^/\s]+",
+    "api_key": r"(?:sk-|api[_-]?key[=:]\s*)[A-Za-z0-9_-]{20,}",
+    "password": r"(?:password|passwd|pwd)[=:]\s*\S+",
 }
 
 
-@query("detect_pii", _WITH + "SELECT id, " + ", ".join(f"regexp_matches(content, '{p}') AS {k}" for k, (p, _) in _RE2.items() if k in ("phone_cn", "phone_us")) + " FROM mem WHERE content IS NOT NULL")
+def _pii_sql(col: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, '{p}')" for p in _RE2.values()) + ")"
+
+
+@query("detect_pii", _WITH + "SELECT id, " + ", ".join(f"regexp_matches(content, '{p}') AS {k}" for k, p in _RE2.items()) + " FROM mem WHERE content IS NOT NULL")
 def detect_pii(spark: SparkSession, sf: str) -> DataFrame:
-    rules = dict((k, p) for p, k in R.SHARING_PII)
     text = mem(spark, sf, "content").where("content IS NOT NULL")
-    return text.select("id", *[(F.size(R.pii_hits(F.col("content"), [(rules[k], k)])) > 0).alias(k) for k in ("phone_cn", "phone_us")])
+    return text.select("id", *[(F.size(R.pii_hits(F.col("content"), [(p, k)])) > 0).alias(k) for p, k in R.SHARING_PII])
 
 
 _CUT = r"regexp_replace(regexp_replace(regexp_replace(text, '\[(?:source|来源):?\s*[\p{L}\p{N}_]+\]', '', 'g'), '~/[^\s]+', '', 'g'), '/Users/[\p{L}\p{N}_]+/[^\s]+', '', 'g')"
@@ -547,7 +555,11 @@ def scrub_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", R.scrub(F.col("text")).alias("clean"))
 
 
-@query("training_scrub")
+def _clean_sql(col: str) -> str:
+    return _STRIP.format(_CUT.replace("(text,", f"({col},"))
+
+
+@query("training_scrub", _WITH + f"SELECT id, CASE WHEN {_pii_sql('content')} THEN '' ELSE {_clean_sql('content')} END AS clean FROM mem WHERE content IS NOT NULL")
 def training_scrub(spark: SparkSession, sf: str) -> DataFrame:
     return mem(spark, sf, "content").where("content IS NOT NULL").select("id", R.training_scrub(F.col("content")).alias("clean"))
 
@@ -558,7 +570,13 @@ def contributor_hash(spark: SparkSession, sf: str) -> DataFrame:
     return ids.select("entry_id", R.contributor_hash(F.col("entry_id")).alias("hash"))
 
 
-@query("contribute_funnel")
+@query(
+    "contribute_funnel",
+    _WITH + f", h AS (SELECT DISTINCT ON (habit_id) * FROM habits), t AS (SELECT *, {_clean_sql('description')} AS text FROM h), e AS (SELECT *, CASE WHEN confidence IS NULL OR confidence < 0.7 THEN 'low_confidence'"
+    " WHEN EXISTS (SELECT 1 FROM mem WHERE privacy = 'sealed' AND list_contains(t.source_ids, mem.id)) THEN 'sealed'"
+    f" WHEN {_pii_sql('description')} THEN 'pii' WHEN description IS NULL OR length(text) < 10 THEN 'short' END AS early FROM t)"
+    " SELECT habit_id, text, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early IS NULL, text ORDER BY habit_id) > 1 THEN 'duplicate' ELSE 'shared' END) AS outcome FROM e",
+)
 def contribute_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return E.contribution_funnel(table(spark, sf, "habits"), mem(spark, sf, "privacy"))
 
@@ -767,6 +785,18 @@ def frontmatter_body(spark: SparkSession, sf: str) -> DataFrame:
     return RD.front_matter(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text").select("doc_id", "context", "symptom", "fix")
 
 
+@query(
+    "import_counts",
+    f"WITH {_LINES} SELECT 'topic' AS source, count(*) AS imported FROM sec WHERE line <> '' AND NOT starts_with(line, '#') AND length(line) > 5"
+    r" UNION ALL SELECT 'document', count(*) FROM documents WHERE regexp_matches(replace(text, chr(13) || chr(10), chr(10)), '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n')",
+)
+def import_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    lines = RD.topic_lines(docs, "doc_id", "text").agg(F.count(F.lit(1)).alias("imported")).select(F.lit("topic").alias("source"), "imported")
+    heads = RD.front_matter(docs, "doc_id", "text").agg(F.count(F.lit(1)).alias("imported")).select(F.lit("document").alias("source"), "imported")
+    return lines.unionByName(heads)
+
+
 @query("events_tumbling", "SELECT date_trunc('day', ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     rows = IN.tumbling(table(spark, sf, "events"))

@@ -237,5 +237,6 @@ def test_facade(spark):
     assert [r.id for r in m.search("tea").collect()] == [2] or m.search("tea").count() == 1
     assert "小明" in m.digest() and m.stats()["total_active"] == 2
     assert m.refine() == [("drinks tea", 0.9)] and m.habits.count() == 1
+    assert "drinks tea" in m.prefetch("tea") and "green tea" in m.prefetch("tea")
     assert m.apply("ARCHIVE: 1 old") and m.stats()["archived"] == 1
     assert m.search_pyramid("tea").count() in (0, 1)
