@@ -141,7 +141,17 @@ link AS (SELECT x, y FROM c WHERE i >= 0.6 * (n - i)),
 e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 r AS (SELECT x AS a, y AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)"""
 
+_BEST = """WITH v AS (
+  SELECT DISTINCT ON (id) id, CAST(embedding AS DOUBLE[]) AS e FROM memories WHERE id IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+c AS (SELECT a.id, b.id AS neighbour, round(list_dot_product(a.e, b.e) / (a.n * b.n), 12) AS s FROM u a JOIN u b ON a.id <> b.id),
+best AS (SELECT * FROM c WHERE s >= 0.9 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) <= 5)"""
+
 ORACLE: dict[str, str] = {
+    "p7_neighbours": _BEST + " SELECT id, neighbour, round(s, 6) AS similarity FROM best",
+    "p7_found": _BEST + " SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best",
     "p5_found": _NEAR + " SELECT a AS id_a, b AS id_b FROM r WHERE a < b",
     "p5_groups": _NEAR + " SELECT a AS id, min(b) AS group_id FROM r GROUP BY a",
     "p9_found": _LEAKS + " SELECT * FROM found",
