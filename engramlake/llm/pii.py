@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.canonical import INVISIBLE, LOOK_ALIKES, transducer
+from engramlake.llm.names import GIVEN, HAN_DOUBLE, HAN_SURE, ONLY_SURNAMES, SHARED, SURNAMES
 
 #: Characters around an anchor that its parser may look at.
 REACH_BACK, REACH_ON = 72, 112
@@ -32,11 +33,11 @@ ANCHORS = {
     "email": ("@", "(at)", "[at]", "{at}", " at ", "mailto:", " arroba ", " arobase "),
     "phone": (
         "phone", "tel", "call", "mobile", "number is", "text me", "whatsapp", "fax", "handy", "móvil", "portable", "appelez", "llama",
-        "手机", "电话", "微信", "打", "+", "555", "０", "0044", "0049", "0033", "0086",
+        "手机", "电话", "微信", "打", "+", "555", "０", "0044", "0049", "0033", "0086", "numéro", "nummer", "número", "móvil", "ruf mich", "joindre", "座机", "热线", "号码",
     ),
     "id_number": (
         "ssn", "social", "passport", "passeport", "pasaporte", "reisepass", "id card", "resident id", "identity", "national id", "id no", "dni", "nie ",
-        "ausweis", "sécurité sociale", "steuer-id", "身份证", "证件", "护照",
+        "ausweis", "sécurité sociale", "steuer-id", "身份证", "证件", "护照", "identité", "cni", "seguridad social", "cédula", "nif ", "versicherungsnummer", "identifikationsnummer", "national insurance", "社保",
     ),
     "address": (
         " road", " rd", " street", " st", " avenue", " ave", " lane", " ln", " close", " court", " ct", " blvd", " boulevard", " drive", " square", " terrace",
@@ -47,8 +48,18 @@ ANCHORS = {
         "name is", "name's", "i'm ", "i am ", "signed,", "this is ", "cc ", "talk to ", "ask for ", "registered as", "me llamo", "m'appelle", "heiße ", "heisse ",
         "name ist", "nombre es", "nom est", "sister ", "brother ", "mother ", "father ", "wife ", "husband ", "daughter ", "son ", "boss ", "friend ", "neighbour ", "neighbor ", "colleague ",
         "jefa", "jefe", "dr. ", "dr ", "prof. ", "prof ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "frau ", "herr ", "herrn ", "sr. ", "sra. ", "señor ", "señora ", "mme ", "m. ",
-        "(my ", "wrote ", "said to", "has the key", "lo sabe", "我叫", "名字是", "落款", "签字", "老师", "联系人", "女士", "先生", "我是",
+        "(my ", "我叫", "名字是", "落款", "签字", "老师", "联系人", "女士", "先生", "我是",
         "妹妹", "姐姐", "哥哥", "弟弟", "妈妈", "爸爸", "母亲", "父亲", "老婆", "妻子", "丈夫", "老公", "女儿", "儿子", "同事", "朋友", "邻居", "老板", "经理", "上司", "医生",
+        "miss ", "mx ", "dra. ", "srta", "señorita", "mlle", "madame", "monsieur", "mademoiselle", "maître", "docteur", "doctor", "doktor", "profes", "don ", "doña ", "uncle ", "aunt ",
+        "spoke ", "speak ", "talk", "regards,", "cheers,", "dear ", "hablar con", "hablé con", "habla con", "estimad", "querid", "parler ", "parlé ", "cher ", "chère ", "cordialement", "sprich mit", "gesprochen mit", "frag", "liebe", "geehrte", "grüße", "saludos", "firmado", "signé", "gezeichnet", "atentamente",
+        "cousin", "sister", "brother", "mother", "father", "stepm", "stepf", "wife", "husband", "daughter", " my son", "mom ", "mum ", "dad ", "partner", "niece", "nephew", "grandm", "grandp", "grandf", "girlfriend", "boyfriend", "fianc", "boss", "friend", "neighbo", "colleague", "coworker", "co-worker", "manager", "dentist", "therapist", "teacher", "lawyer", "landl", "roommate", "flatmate", "housemate", "supervisor", "my coach", "assistant", "secretary", "tutor", "mentor",
+        "sœur", "soeur", "frère", " mère", " père", "maman", "ma femme", "épouse", " mari ", " mari,", "compagn", " fille", " fils", " tante", "oncle", "neveu", "copine", "copain", " chef", "patron", " ami ", " amie", " ami,", "voisin", "collègue", "médecin", "avocat", "propriétaire", "colocataire",
+        "herman", "madre", "padre", "mamá", "papá", "mi mujer", "espos", "marido", "novi", " hij", " prim", " tía", " tío", "sobrin", "abuel", " amig", "vecin", "coleg", "compañer", "médic", "abogad", "maestr", "suegr", "cuñad",
+        "schwester", "bruder", "mutter", "vater", " mama ", "e mann", "mein mann", "ehefrau", "ehemann", "freund", "tochter", "sohn", "onkel", "neffe", " oma ", " opa ", "nachbar", "kolleg", "arzt", "ärztin", "anwalt", "anwältin", "lehrer", "vermieter", "mitbewohner", "schwieger", "großm", "großv", "schwager", "schwäger",
+        " said", " says", " told ", " asked ", " asks ", " wrote", " writes", " called", " calls ", " replie", " mentioned", " suggest", " phoned", "mailed", " texted", " answered", " explained", " promised", " agree", " insist", " warned", " reminded", " knows", " complained", " joked", " laughed", " whispered", " invited", " recommended", " thinks",
+        " dit", " écrit", " appel", " répond", " racont", " promis", " expliqu", " proposé", " téléphon", " pense ", " sait ", " dijo", " dice ", " pregunt", " escrib", " llam", " contó", " cuenta", " explicó", " sugirió", " piensa", " sabe", " cree ",
+        " sagt", " schrieb", " schreibt", " fragt", " rief", " ruft", " meint", " antwortete", " erzähl", " erklärte", " versprach", " glaubt", " weiß ",
+        "表姐", "表妹", "表哥", "表弟", "堂姐", "堂妹", "堂哥", "堂弟", "室友", "同学", "男友", "女友", "阿姨", "叔叔", "舅舅", "姑姑", "奶奶", "爷爷", "外婆", "外公", "房东", "律师", "教授", "护士", "主任", "师傅", "小姐", "博士", "总监", "说", "告诉", "问我", "写道", "回复", "提醒", "答应", "通知", "建议",
     ),
 }
 
@@ -68,16 +79,17 @@ _EMAIL = re.compile(
 
 _NUM = r"\(?(?<![\w#=.,:-])(?:\+|00)?\(?\d[\d\s().\-/]{5,22}\d(?!\w)(?:,?\s*(?:ext|extension|x|poste|durchwahl)\.?\s*\d{1,5})?"
 _PHONE_CUED = re.compile(
-    rf"(?:phone|tel|telephone|call|mobile|number\s+is|text\s+me(?:\s+on)?|whatsapp|fax|handy|móvil|portable|appelez|llama)\b[\s:.]*(?:no\.?|number|me|is|at|on|[:.])*\s*(?P<n>{_NUM})"
-    rf"|(?:手机号?码?|电话号?码?|微信(?:同号|号)?|打)\s*(?:是|为|[:：])?\s*(?P<c>(?:\+?86[\s-]?)?\(?[01]\d[\d\s-]{{6,14}}\d)",
+    rf"(?:phone|tel|t[eé]l[eé]phone|tel[eé]fono|telefon(?:nummer)?|rufnummer|handynummer|mobilnummer|call|mobile|number\s+is|text\s+me(?:\s+on)?|whatsapp|fax|handy|m[oó]vil|celular|portable|appelez|appelle|llama(?:me|d)?|ll[aá]mame"
+    rf"|(?:mon|le)\s+num[eé]ro|mi\s+n[uú]mero|meine\s+nummer|ruf\s+mich(?:\s+an)?|joindre)\b[\s:.]*(?:(?:no|number|me|moi|is|at|on|au|al|est|es|ist|lautet|unter|an)\b\.?|[\s:.])*\s*(?P<n>{_NUM})"
+    rf"|(?:手机号?码?|电话号?码?|座机|热线|号码|微信(?:同号|号)?|打)\s*(?:是|为|[:：])?\s*(?P<c>(?:\+?86[\s-]?)?\(?[01]\d[\d\s-]{{6,14}}\d)",
     re.I,
 )
 _PHONE_SPOKEN = re.compile(rf"\b(?:(?:{_SPOKEN}|double|triple)[\s,\-]+){{6,}}(?:{_SPOKEN})\b", re.I)
 # National forms that are telephone numbers without a cue.
 _PHONE_FORMS = re.compile(
     r"(?<![\w#=.,:/+-])(?:"
-    r"\+\d{1,3}[\s.\-]?\(?0?\)?[\s.\-]?\d(?:[\s.\-/()]{0,2}\d){6,12}"
-    r"|(?:\+?1[\s.\-])?\(\d{3}\)\s?\d{3}[\s.\-]\d{4}|(?:1[\s.\-])?\d{3}[\s.\-]555[\s.\-]?\d{4}"
+    r"(?:\+\d{1,3}|00[1-9]\d{0,2}(?=[\s.\-(]))[\s.\-]?\(?0?\)?[\s.\-]?\d(?:[\s.\-/()]{0,2}\d){6,12}"
+    r"|(?:\+?1[\s.\-])?\(\d{3}\)\s?\d{3}[\s.\-]\d{4}|(?:1[\s.\-])?(?:\d{3}[\s.\-]555[\s.\-]?\d{4}|[2-9]\d{2}(?P<g>[\s.\-])[2-9]\d{2}(?P=g)\d{4})"
     r"|0\d(?:[\s.]\d{2}){4}|020\s\d{4}\s\d{4}|1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}"
     r")(?!\w|-\d|\.\d)"
 )
@@ -96,7 +108,12 @@ _ID_CUED = re.compile(
     r"|\b(?:dni|nie)\b[\s:.#]*(?:es\b)?\s*[A-Z]?\d{7,8}[\s-]?[A-Z]\b"
     r"|(?:id\s+card|resident\s+id|identity\s+(?:card|number)|national\s+id|id\s+no)\b[\s:.#]*(?:number|no\.?|is)?[\s:.#]*[A-Z]{0,2}\d[\d\s]{6,18}[\dX](?!\w)"
     r"|(?:身份证|证件|护照)(?:号码|号)?\s*(?:是|为|[:：])?\s*[A-Z]{0,2}\d[\d\s]{5,18}[\dX](?![\dA-Z])"
-    r"|(?:sécurité\s+sociale|steuer-id)[\s:.#]*(?:est|ist)?\s*\d[\d\s]{8,18}\d",
+    r"|(?:s[eé]curit[eé]\s+sociale|steuer-id|(?:steuer)?identifikationsnummer)[\s:.#]*(?:est|ist)?\s*\d[\d\s]{8,18}\d"
+    r"|(?:carte\s+(?:nationale\s+)?d['’]identit[eé]|\bcni)\b[\s:.#]*(?:num[eé]ro|n°|nº|no)?[\s:.#]*(?:est\b)?\s*(?=[A-Z]*\d)[A-Z0-9]{9,12}\b"
+    r"|(?:seguridad\s+social|c[eé]dula|\bnif\b)[\s:.#]*(?:n[uú]mero|n\.?[ºo])?[\s:.#]*(?:es\b)?\s*\d[\d\s/.\-]{5,14}\d(?:-?[A-Z])?(?!\w)"
+    r"|(?:sozial|renten)versicherungsnummer[\s:.#]*(?:ist\b|lautet\b)?\s*\d{2}\s?\d{6}\s?[A-Z]\s?\d{3}\b"
+    r"|national\s+insurance(?:\s+(?:number|no\.?))?[\s:.#]*(?:is\b)?\s*[A-Z]{2}(?:\s?\d{2}){3}\s?[A-D]\b"
+    r"|(?:社保卡?|社会保障)(?:号码?|编号)?\s*(?:是|为|[:：])?\s*\d[\d\s]{7,18}[\dX](?![\dA-Z])",
     re.I,
 )
 
@@ -110,7 +127,7 @@ _ADDRESS = re.compile(
     r"|[一-鿿]{1,6}?(?:大道|路|街|巷|胡同)(?:\d+弄)?\d+号(?:\d+[栋幢座])?(?:\d+单元)?(?:\d+[室户])?"
 )
 _ADDRESS_CUED = re.compile(
-    rf"(?:live\s+at|lives\s+at|address:?|ship\s+it\s+to|parcels\s+go\s+to|meet\s+me\s+at|keys\s+are\s+at|deliver\s+to|send\s+it\s+to|moved\s+to)\s+(?P<n>(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?"
+    rf"(?:live\s+at|lives\s+at|living\s+at|address(?:\s+is)?:?|ship\s+it\s+to|parcels\s+go\s+to|meet\s+me\s+at|keys\s+are\s+at|deliver\s+to|send\s+it\s+to|moved\s+to)\s+(?P<n>(?:(?:flat|apt|unit)\s+\d+\w?,\s*)?"
     rf"(?:\d{{1,5}}[a-z]?\s+(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\b|(?:[\w'’]+\s+){{1,3}}(?:{_STREETS})\.?\s+\d{{1,5}}[a-z]?(?!\w)))",
     re.I,
 )
@@ -132,7 +149,6 @@ _NAMES = re.compile(
     rf"|(?i:\bmy\s+{_ROLE}\s+(?P<i>{_FULL})\s+(?:knows|said|says|has|will|agreed|told)\b)"
     rf"|(?i:\bmi\s+jef[ae],\s+(?P<j>{_FULL}),)"
     rf"|(?i:(?P<k>{_FULL})\s+\(my\s+{_ROLE}\))"
-    rf"|(?i:(?P<l>(?:[^\W\d_]\.\s+)?{_WORD}(?:\s+{_WORD})?)\s+(?:wrote\s+the\s+first\s+draft|said\s+to\s+rest|has\s+the\s+key\b))"
     rf"|(?i:\btalk\s+to\s+(?:{_TITLE}\.?\s+)?(?P<m>{_FULL})\s+about\b)"
     rf"|\b{_TITLE}\.?\s+(?P<n>(?:[A-Z]\.\s+)*{_CAP}(?:\s+{_CAP})?)"
     r"|(?:我叫|我的名字是|名字叫|落款[：:]\s*)(?P<o>[一-鿿]{2,4})(?=[，。；,;！!）)\s]|$)"
@@ -144,6 +160,156 @@ _NAMES = re.compile(
 # Words a name cannot begin or end with.
 _NO_NAME = set("the a an and or but not so to of in at on for my our your his her their this that it i we you they he she is was who what when how again please very".split())
 
+# Words that say who somebody is, and what only people do, in the languages of the data.
+_ROLES = {
+    "en": "sister|brother|mother|father|mom|mum|dad|wife|husband|partner|daughter|son|cousin|aunt|uncle|niece|nephew|grandmother|grandma|grandfather|grandpa|girlfriend|boyfriend|fianc[ée]e?|boss|friend|neighbou?r|colleague|co-?worker|manager|doctor|dentist"
+    "|therapist|teacher|lawyer|landlord|landlady|roommate|flatmate|housemate|supervisor|coach|assistant|secretary|tutor|mentor|stepmother|stepfather|(?:mother|father|sister|brother)-in-law",
+    "fr": "sœur|soeur|frère|mère|père|maman|femme|épouse|mari|compagne|compagnon|fille|fils|cousine?|tante|oncle|nièce|neveu|grand-mère|grand-père|copine|copain|chef|cheffe|patronne?|amie?|voisine?|collègue|médecin|dentiste|avocate?|professeure?|propriétaire|colocataire|belle-mère|beau-père|belle-sœur|beau-frère",
+    "es": "hermana|hermano|madre|padre|mamá|papá|mujer|esposa|esposo|marido|novia|novio|hija|hijo|prima|primo|tía|tío|sobrina|sobrino|abuela|abuelo|jefa|jefe|amiga|amigo|vecina|vecino|colega|compañera|compañero|médica|médico|doctora?|dentista|abogada|abogado|profesora?|maestra|maestro|suegra|suegro|cuñada|cuñado",
+    "de": "schwester|bruder|mutter|vater|mama|papa|frau|mann|ehefrau|ehemann|partnerin|partner|freundin|freund|tochter|sohn|cousine|cousin|tante|onkel|nichte|neffe|neffen|oma|opa|großmutter|großvater|chefin|chef|nachbarin|nachbarn?|kollegin|kollegen?|ärztin|arzt|zahnärztin|zahnarzt|anwältin|anwalt|lehrerin|lehrer|vermieterin|vermieter|mitbewohnerin|mitbewohner|schwiegermutter|schwiegervater|schwägerin|schwager",
+}
+_MINE = {"en": "my|our|his|her|their|your", "fr": "ma|mon|notre|sa|son|leur|ta|ton|votre", "es": "mi|su|nuestra|nuestro|tu", "de": "(?:mein|unser|sein|ihr|dein)(?:e[mnrs]?)?"}
+_SAYS = (
+    r"said|says|told|asked|asks|wrote|writes|called|calls|replied|replies|mentioned|suggested|suggests|thinks|phoned|e-?mailed|texted|answered|explained|promised|agreed|agrees|insisted|insists|warned|reminded|knows|complained|joked|laughed|whispered|invited|recommended"
+    r"|(?:(?:m['’]|nous\s+|lui\s+)?a\s+)?(?:dit|demandé|écrit|appelé|répondu|raconté|promis|expliqué|proposé|téléphoné)|demande|appelle|raconte|répond|pense|sait"
+    r"|(?:(?:me|nos|le|lo)\s+)?(?:ha\s+)?(?:dijo|dice|preguntó|pregunta|escribió|escribe|llamó|llama|respondió|contó|cuenta|explicó|sugirió|piensa|cree|sabe)"
+    r"|sagt|sagte|schrieb|schreibt|fragte|fragt|rief|ruft|meinte|meint|antwortete|erzählte|erzählt|erklärte|versprach|glaubt|weiß"
+)
+_ALONE = r"said|says|told|asked|replied|phoned|texted|whispered|laughed|dijo|preguntó|respondió|a\s+dit|a\s+répondu|sagte|meinte|antwortete"
+_HOLDS = r"has|had|will|can|is|was|brought|took|keeps|wants|hat|ist|war|will|kann|kommt|wohnt|est|habite|vient|tiene|es|vive|viene|va|vendrá"
+_TITLES = (
+    r"Dr|Dra|Prof|Mr|Mrs|Ms|Miss|Mx|Frau|Herrn?|Sra?|Srta|Señor(?:a|ita)?|Mme|Mlle|Madame|Monsieur|Mademoiselle|Maître|Docteure?|Doctora?|Doktor|Professor(?:in)?|Profesora?|Don|Doña|Uncle|Aunt"
+)
+_ASK = (
+    r"talk(?:ed|ing)?\s+(?:to|with)|sp(?:eak|oke|oken)\s+(?:to|with)|ask(?:ed)?\s+for|cc|regards,|cheers,|dear|hablar\s+con|hablé\s+con|habla\s+con|pregunt(?:ar|a|e)\s+por|estimad[oa]|querid[oa]|parler\s+(?:à|avec)|parlé\s+(?:à|avec)|demande[rz]|ch[eè]re?|cordialement,"
+    r"|sprich\s+mit|gesprochen\s+mit|frag(?:\s+nach|e)|liebe[r]?|sehr\s+geehrte[r]?|grüße,?|saludos,|firmado,?|signé,?|gezeichnet,?|atentamente,"
+)
+_PART = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
+_LINK = r"(?:[A-Z]\.\s+|(?:de\s+la|de\s+los|del|de|van\s+der|van|von|du|le|di|da)\s+)"
+_WHOLE = rf"(?:[A-Z]\.\s?)*{_PART}(?:\s+{_LINK}?{_PART}){{0,2}}"
+_NAMES_CUED = re.compile(
+    "|".join(rf"(?i:\b(?:{_MINE[lang]})\s+(?:[a-zà-ÿ]+\s+)?(?:{_ROLES[lang]}))(?:\s*,)?\s+(?P<role_{lang}>{_WHOLE})" for lang in _ROLES)
+    + rf"|(?P<back>{_WHOLE})\s*[,(]\s*(?i:{'|'.join(rf'(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})' for lang in _ROLES)})\b"
+    + rf"|(?i:\b(?:{'|'.join(rf'(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})' for lang in _ROLES)}),?\s+(?P<low>{_FULL}),?\s+(?:{_SAYS}|{_HOLDS})\b)"
+    + rf"|(?i:(?<![\w.])(?P<initial>(?:[^\W\d_]\.\s+)+{_WORD})\s+(?:{_SAYS}|{_HOLDS})\b)|(?<![\w.])(?P<initials>(?:[A-Z]\.\s?)+\s?{_PART})(?=\s*[,;.!?)]|\s+[a-zà-ÿ]|$)"
+    + rf"|\b(?i:{_TITLES})\.?\s+(?P<titled>(?:[A-Z]\.\s?)*{_PART}(?:\s+{_LINK}?{_PART})?)"
+    + rf"|(?i:(?<!\w)(?:dr|prof|mr|mrs|frau|herrn?|sra|señora?|mme)\.?\s+(?P<titlelow>(?:[^\W\d_]\.\s+)*{_WORD}(?:\s+{_WORD})?)\s+(?:{_SAYS}|{_HOLDS})\b)"
+    + rf"|\b(?i:{_ASK})\s+(?:(?i:{_TITLES})\.?\s+)?(?P<asked>{_WHOLE})"
+    + rf"|(?P<says>{_PART}\s+{_LINK}?{_PART})\s+(?:{_SAYS})\b|(?P<alone>{_PART})\s+(?:{_ALONE})\b"
+)
+_HAN_ROLE = "妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|母亲|父亲|老婆|妻子|丈夫|老公|女儿|儿子|表姐|表妹|表哥|表弟|堂姐|堂妹|堂哥|堂弟|同事|朋友|邻居|老板|经理|上司|医生|老师|室友|同学|男友|女友|男朋友|女朋友|阿姨|叔叔|舅舅|姑姑|奶奶|爷爷|外婆|外公|房东|律师"
+_HAN_TITLE = "老师|女士|先生|经理|医生|教授|律师|阿姨|叔叔|护士|主任|师傅|小姐|同学|博士|总监"
+_HAN_SAYS = "说|告诉|问我|打电话|打来|写道|回复|提醒|答应|通知|建议"
+_HAN_NEXT = "说打来在是有会把的了和跟去给要想没不很也都已告让叫问发写知同提答通建回昨今明刚住带从到对送做"
+_HAN_NAMES = re.compile(
+    rf"(?:{_HAN_ROLE})[，：:、]?(?P<s>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿](?:(?![{_HAN_NEXT}])[一-鿿])?)(?=[{_HAN_NEXT}，。；,;！!？?）)\s]|$)"
+    rf"|(?:^|[^一-鿿]|[和跟找给问请叫让由对向从与是见])(?P<t>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿]{{0,2}}?)(?={_HAN_TITLE})"
+    rf"|(?:^|[^一-鿿]|昨天|今天|早上|晚上|刚才|上周|听|和|跟|找|给|问|请|叫)(?P<u>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿](?:(?![{_HAN_NEXT}])[一-鿿])?)(?={_HAN_SAYS})"
+    rf"|(?:^|[^一-鿿]|[和跟找给问请叫让])(?P<v>[小老](?:[{HAN_SURE}]))(?={_HAN_SAYS})"
+)
+_HAN_NOT = set("高兴 周末 方便 安全 成功 常常 经常 平时 金额 许多 程序 程度 黄金 黄色 何时 任何 严重 孔子 谢谢 张罗 于是 任课 罗列 唐突 江湖 白天 马上 温度 叶子 段落 应该 卢布 周围 周日 周一 周二 周三 周四 周五 周六 孟子 陈述 陈列 许可 曹操 莫非 莫名 顾客 顾问 余额 严格 范围 史诗 施工 章节 方案".split())
+# Words a name does not contain, and words beside a name that make it something else.
+_NOT_NAMES = set(
+    "the a an and or but not so to of in at on for from with by my our your his her their this that these those it its i we you they he she who what when where why how if then there here no yes ok please very again still maybe also only just never always every some any all none both each"
+    " nobody somebody someone everybody everyone anybody anyone people others guests doctors users user assistant system team support nothing everything something them him us me staff management customers reviewers today tomorrow yesterday tonight later first second next last new old good bad"
+    " monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december english german french spanish chinese"
+    " montag dienstag mittwoch donnerstag freitag samstag sonntag januar februar märz mai juni juli oktober dezember der die das den dem des ein eine einen einem einer und oder aber nicht ich du er sie es wir ihr man jemand niemand alle heute morgen gestern kaffee"
+    " le la les un une des et ou mais pas je tu il elle on nous vous ils elles qui que el los las una unos y o pero no yo él ella usted ustedes nosotros ellos quien alguien nadie todos todo hoy ayer mañana lundi mardi mercredi jeudi vendredi samedi dimanche lunes martes miércoles jueves viernes sábado domingo"
+    " customer customers colleagues siri alexa google chatgpt claude copilot twitter reddit wikipedia slack github jira amazon apple microsoft sir madam all".split()
+)
+_OFTEN_ELSE = re.compile(r"(?i:demand|frag|liebe|cher|chère|querid)")  # cues that often stand before something else
+_THING_BEFORE = re.compile(r"(?i:project|projekt|proyecto|projet|operation|code\s?name|branch|cluster|server|release|san|santa|santo|sankt|saint|sainte|st\.?|lake|mount|port|fort|hotel|café|hurricane|place|rue|calle|avenue|plaza|university|universidad|team|app|tool|library|package)\s+$")
+_THING_AFTER = re.compile(r"(?i:['’]?\s+(?:street|road|avenue|lane|square|project|server|cluster|county|island|university|airport|hospital|beach|bay|branch|release|library|framework|api|app)\b)")
+_KNOWN = re.compile(rf"(?<![\w@/.#_\-])(?:(?:[A-Z]\.\s?)+)?({_PART})(?![\w@/_]|\.\w)")
+_KNOWN_LOW = re.compile(r"(?<![\w@/.#_\-])([^\W\d_]{2,})\s+([^\W\d_]{3,})(?![\w@/_]|\.\w)")
+_NEXT_PART = re.compile(rf"\s+{_LINK}?({_PART})(?![\w@/_]|\.\w)")
+
+
+_LETTER = re.compile(r"[A-Za-zÀ-ɏ]{2}")
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """A span of words without those at either end that no name has."""
+    words = [(m.start() + a, m.end() + a) for m in re.finditer(r"\S+", text[a:b])]
+    while words and text[slice(*words[0])].strip("'’,").lower() in _NOT_NAMES:
+        words.pop(0)
+    while words and text[slice(*words[-1])].strip("'’,").lower() in _NOT_NAMES:
+        words.pop()
+    if not words or any(text[slice(*w)].strip("'’,").lower() in _NOT_NAMES for w in words):
+        return None
+    return words[0][0], words[-1][1]
+
+
+def _cued(text: str, m: re.Match) -> tuple[int, int] | None:
+    group = m.lastgroup
+    a, b = m.span(group)
+    words = [w.lower() for w in text[a:b].split()]
+    known = any(w in GIVEN or w in SHARED or w in SURNAMES for w in words)
+    if group == "initial" and text[a].islower() and words[-1] != text[a:b].split()[-1]:
+        return None
+    if group in ("low", "initial", "titlelow"):
+        return None if any(w in _NOT_NAMES or w in _NO_NAME for w in words) or (group == "low" and not known) else (a, b)
+    if not known:
+        after = re.match(rf"\s*(?:[,.;:!?)]|$)|\s+(?:{_SAYS}|{_HOLDS})\b", text[b:])
+        if not after and (group == "role_de" or text[:a].rstrip().endswith(",")):  # every noun is capitalised; a new clause
+            return None
+        if text[a:b].isupper() and re.search(r"\w[A-ZÄÖÜ]", text[m.start() : a]):
+            return None
+        if group == "asked" and _OFTEN_ELSE.match(m.group()):
+            return None
+        if text[a:b].isupper() and text[max(0, a - 12) : a].isupper() or text[b : b + 12].isupper() and text[a:b].isupper():
+            return None  # capitals say nothing in a text of capitals
+    if _THING_BEFORE.search(text[max(0, a - 16) : a]) or _THING_AFTER.match(text, b):
+        return None
+    return _trimmed(text, a, b)
+
+
+def _known(text: str) -> Iterator[tuple[int, int]]:
+    """Names that the lists tell: a known given name with what belongs to it, or a known surname."""
+    last = 0
+    before: re.Match | None = None
+    for m in _KNOWN.finditer(text):
+        word = m.group(1).lower()
+        given, shared = word in GIVEN or (("-" in word) and word.split("-")[0] in GIVEN), word in SHARED
+        if m.start() >= last and (given or shared or word in ONLY_SURNAMES):
+            a, b = m.span()
+            n = _NEXT_PART.match(text, b)
+            if n and (n.group(1).lower() in _NOT_NAMES or text[a:b].isupper() != n.group(1).isupper()):
+                n = None
+            if word in ONLY_SURNAMES and not given and not shared:
+                if before and text[before.end() : a].isspace() and before.group(1).lower() not in _NOT_NAMES and not text[a:b].isupper():
+                    a = max(last, before.start())
+            elif shared:
+                b = n.end() if n and n.group(1).lower() in SURNAMES else -1
+            elif n and (n.group(1).lower() in SURNAMES or not text[a:b].isupper()):
+                b = n.end()
+                if (f := _NEXT_PART.match(text, b)) and f.group(1).lower() in SURNAMES:
+                    b = f.end()
+            if b > 0 and not _THING_BEFORE.search(text[max(0, a - 16) : a]) and not _THING_AFTER.match(text, b):
+                last = b
+                yield a, b
+        before = m
+    for m in _KNOWN_LOW.finditer(text) if text.islower() else ():
+        if m.group(1) in GIVEN and m.group(2) in SURNAMES:
+            yield m.span()
+
+
+def _names(text: str, windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names after or before a cue, then names of the lists."""
+    for a, b in windows:
+        part = text[a:b]
+        for m in _NAMES.finditer(part):
+            if span := _person(m):
+                yield a + span[0], a + span[1]
+        for m in _NAMES_CUED.finditer(part) if _LETTER.search(part) else ():
+            if span := _cued(part, m):
+                yield a + span[0], a + span[1]
+        for m in () if part.isascii() else _HAN_NAMES.finditer(part):
+            if m.group(m.lastgroup)[:2] not in _HAN_NOT:
+                x, y = m.span(m.lastgroup)
+                yield a + x, a + y
+    yield from _known(text)
+
 
 @cache
 def automaton() -> ahocorasick.Automaton:
@@ -159,7 +325,7 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-_SCHEMES = re.compile(r"\d{3}-\d{2}-\d{4}|\d{15}|\d{6} \d{8} \d|\d{11}|\d{8}-[A-Za-z]\b|\d[\s.\-)]{1,2}\d{3}[\s.\-]\d{4}|0\d[. ]\d\d[. ]\d\d|020 \d{4}|(?:zero|one|two|three|four|five|six|seven|eight|nine) (?:zero|one|two|three|four|five|six|seven|eight|nine)", re.I)
+_SCHEMES = re.compile(r"\b00[1-9]\d{0,2}[ .(-]|\d{3}-\d{2}-\d{4}|\d{15}|\d{6} \d{8} \d|\d{11}|\d{8}-[A-Za-z]\b|\d[\s.\-)]{1,2}\d{3}[\s.\-]\d{4}|0\d[. ]\d\d[. ]\d\d|020 \d{4}|(?:zero|one|two|three|four|five|six|seven|eight|nine) (?:zero|one|two|three|four|five|six|seven|eight|nine)", re.I)
 _ODD = re.compile(rf"[{re.escape(INVISIBLE)}{re.escape(''.join(k for k in LOOK_ALIKES if not k.isascii()))}\u00a0\u2000-\u200a\u202f\u2010\u2011\ufb00-\ufb06\uff01\uff03-\uff07\uff0a\uff0b\uff0d-\uff19\uff20-\uff5a\u0300-\u036f]|（(?=\d)")
 
 
@@ -192,7 +358,7 @@ def _person(m: re.Match) -> tuple[int, int] | None:
     if group in "opqrst":
         return (a, b)
     words = name.replace(",", " ").split()
-    if group in "kl":  # whatever stands before: at most the last two words, not common ones
+    if group == "k":  # whatever stands before: at most the last two words, not common ones
         while words and words[0].lower() in _NO_NAME:
             a += len(words[0]) + 1
             words = words[1:]
@@ -205,15 +371,13 @@ def _person(m: re.Match) -> tuple[int, int] | None:
     return (a, b)
 
 
-_VALUE = re.compile(r"(?<![A-Za-z])(?:[A-Za-z]{1,3}(?=\s?\d{5}))?\d[\w\s.\-]*$|(?<![A-Za-z])[A-Za-z]{1,3}\d[\w\s.\-]*$")
+_VALUE = re.compile(r"(?<![A-Za-z])[A-Za-z]{2}\s?(?:\d{2}\s?){3}[A-Da-d]$|(?<![A-Za-z])(?:[A-Za-z]{1,3}(?=\s?\d{5}))?\d[\w\s.\-]*$|(?<![A-Za-z])[A-Za-z]{1,3}\d[\w\s.\-]*$")
 _PLACED = re.compile(r"^[一-鿿]*?(?:住在|寄到|送到|搬到|寄给|地址|到|在)(?=[一-鿿]{2,}?(?:大道|路|街|巷|胡同))")
 
 
 def _bounds(kind: str, m: re.Match) -> tuple[int, int] | None:
     """Where the information itself stands in a parser's match: without its cue."""
     a, b = m.span()
-    if kind == "person":
-        return _person(m)
     if kind == "email":
         return (a + 7, b) if m.group()[:7].lower() == "mailto:" else (a, b)
     if kind == "id_number" and (v := _VALUE.search(m.group())):
@@ -251,6 +415,9 @@ def _windows(spots: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int
         yield a, b
 
 
+_PERSON = ("person",)
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal information of a text, in its own positions, without overlaps."""
     if not text:
@@ -261,8 +428,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if len(lower) != len(plain):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
     for end, (size, kinds) in automaton().iter(lower):
+        a = end + 1 - size
+        if kinds == _PERSON and a and lower[a].isalpha() and lower[a - 1].isalpha() and lower[a] < "一":
+            continue  # the end of another word
         for kind in kinds:
-            spots[kind].append((end + 1 - size, end + 1))
+            spots[kind].append((a, end + 1))
     for m in _SCHEMES.finditer(plain):
         spots["phone"].append(m.span())
         spots["id_number"].append(m.span())
@@ -273,7 +443,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             found.append((a, b, kind))
 
     # papers before numbers, numbers before streets and names: what is taken is not taken again
-    for kind, patterns in (("email", (_EMAIL,)), ("id_number", (_ID_CUED, _ID_FORMS)), ("phone", ()), ("address", (_ADDRESS, _ADDRESS_CUED)), ("person", (_NAMES,))):
+    for kind, patterns in (("email", (_EMAIL,)), ("id_number", (_ID_CUED, _ID_FORMS)), ("phone", ()), ("address", (_ADDRESS, _ADDRESS_CUED)), ("person", ())):
+        if kind == "person":
+            for x, y in _names(plain, list(_windows(spots[kind], len(plain)))):
+                add(kind, x, y)
+            continue
         if kind not in spots:
             continue
         for a, b in _windows(spots[kind], len(plain)):

@@ -66,3 +66,40 @@ def test_table(spark):
     kinds = sorted((r.row_id or 0, r.kind) for r in kinds_found(out, ["row_id"]).collect())
     assert kinds == [(0, "email"), (1, "id_number"), (1, "phone"), (4, "phone")]
     assert scan_pii(df.limit(0).withColumnRenamed("kind", "row_id"), "content", ["row_id"]).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("yesterday Maria Lopez brought the keys", "yesterday [PERSON] brought the keys"),
+        ("my cousin Anna Weber called", "my cousin [PERSON] called"),
+        ("hier ma soeur Claire Dupont a dit oui", "hier ma soeur [PERSON] a dit oui"),
+        ("gestern hat meine Schwester Anna Weber angerufen", "gestern hat meine Schwester [PERSON] angerufen"),
+        ("meine Chefin, Jolela Bramwick, weiß es", "meine Chefin, [PERSON], weiß es"),
+        ("mi hermana Veswyn me llamó", "mi hermana [PERSON] me llamó"),
+        ("mon voisin Torben Quist habite ici", "mon voisin [PERSON] habite ici"),
+        ("then Jolela Bramwick told us a story", "then [PERSON] told us a story"),
+        ("we met Thomas for lunch", "we met [PERSON] for lunch"),
+        ("the parcel is for Rodriguez", "the parcel is for [PERSON]"),
+        ("I spoke with Adyina Greenmoor yesterday", "I spoke with [PERSON] yesterday"),
+        ("con la señorita Valecombe", "con la señorita [PERSON]"),
+        ("t. norholt agreed to it", "[PERSON] agreed to it"),
+        ("昨天李明告诉我", "昨天[PERSON]告诉我"),
+        ("我表姐王芳打电话来", "我表姐[PERSON]打电话来"),
+        ("call 617-234-0138 today", "call [PHONE] today"),
+        ("it rang from 617-234-0138 again", "it rang from [PHONE] again"),
+        ("von 0043 1 234 5678 kam nichts", "von [PHONE] kam nichts"),
+        ("mi teléfono es 912 345 678", "mi teléfono es [PHONE]"),
+        ("meine Handynummer ist 0151 2345 6789", "meine Handynummer ist [PHONE]"),
+        ("carte d'identité : 880692310285", "carte d'identité : [ID_NUMBER]"),
+        ("my national insurance number is QQ 12 34 56 C", "my national insurance number is [ID_NUMBER]"),
+        ("Sozialversicherungsnummer: 65 170839 J 008", "Sozialversicherungsnummer: [ID_NUMBER]"),
+    ],
+)
+def test_any_sentence(text, want):
+    assert redact(text) == want
+
+
+@pytest.mark.parametrize("text", ["Project Maria ships in May", "the trip to San Diego", "von meiner Tante besser umschreiben kann", "nobody said so", "MY SISTER KNOWS THE WAY", "Nobody told me", "Demander Wyrsuzuri de sécher", "周末说好了", "任何老师都行", "Ich liebe Kaffee"])
+def test_no_person(text):
+    assert find(text) == []
