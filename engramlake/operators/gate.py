@@ -63,16 +63,10 @@ def profile_latest(facts: DataFrame, by: list[str], facets: tuple[str, ...] = ("
     return rows.groupBy(*by, "facet", "key").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
 
 
-#: Values of one key that a profile keeps, the latest ones; a profile is a prompt, not a store.
-HOW_VALUES = 50
-
-
-def profile_how(facts: DataFrame, by: list[str], most: int = HOW_VALUES) -> DataFrame:
-    """Preferences of each key in order of time, joined by '; '; a value contained in the text so far is left out."""
+def profile_how(facts: DataFrame, by: list[str]) -> DataFrame:
+    """All preferences of each key in order of time, joined by '; '; a value contained in the text so far is left out."""
     rows = facts.where(F.col("facet") == "how").groupBy(*by, "key", "value").agg(F.min("ts").alias("ts"))
-    w = Window.partitionBy(*by, "key").orderBy(F.desc("ts"), "value")
-    few = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    listed = few.groupBy(*by, "key").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("vs"))
+    listed = rows.groupBy(*by, "key").agg(F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("vs"))
     joined = F.aggregate(
         "vs",
         F.lit(""),

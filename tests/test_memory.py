@@ -240,3 +240,9 @@ def test_facade(spark):
     assert "drinks tea" in m.prefetch("tea") and "green tea" in m.prefetch("tea")
     assert m.apply("ARCHIVE: 1 old") and m.stats()["archived"] == 1
     assert m.search_pyramid("tea").count() in (0, 1)
+
+
+def test_a_profile_keeps_every_preference(spark):
+    rows = [("how", "likes", f"thing {k:03d}", k) for k in range(120)] + [("how", "likes", "thing 00", 500)]
+    facts = spark.createDataFrame(rows, "facet string, key string, value string, ts bigint")
+    assert [r.value for r in G.profile_how(facts, []).collect()] == ["; ".join(f"thing {k:03d}" for k in range(120))]
