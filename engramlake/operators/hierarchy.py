@@ -215,6 +215,36 @@ def descendants(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _around(loops: DataFrame) -> DataFrame:
+    """(id, above, steps) for the other members of each loop, given its (id, parent_id) edges; steps double each round."""
+    pairs = cut(loops.where("id <> parent_id").select("id", F.col("parent_id").alias("above"), F.lit(1).alias("steps")))
+    n, far = pairs.count(), 1
+    while True:
+        ends = pairs.where(F.col("steps") == far)
+        on = pairs.select(F.col("id").alias("above"), F.col("above").alias("_next"), F.col("steps").alias("_s"))
+        more = ends.join(on, "above").select("id", F.col("_next").alias("above"), (F.col("steps") + F.col("_s")).cast("int").alias("steps"))
+        pairs = cut(pairs.unionByName(more.where("id <> above")).groupBy("id", "above").agg(F.min("steps").alias("steps")))
+        now = pairs.count()
+        if now == n:
+            return pairs
+        n, far = now, far * 2
+
+
+def all_descendants(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``descendants``, and the pairs of the trees that hang off loops: below each of their nodes and below every loop member.
+
+    Members of a loop are not listed as beneath each other; ``cycle_members`` has them.
+    """
+    edges = cut(edges)
+    nodes = cut(resolve_children(edges, local_edges))
+    hanging = nodes.where("root_id = -1 AND n_below <> -1").select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
+    loose = cut(resolve_children(hanging, local_edges))  # a loop member is a root there
+    around = _around(cycle_members(edges, nodes))
+    tops = loose.select("root_id", F.col("id").alias("_low"), "depth").join(around, F.col("root_id") == F.col("id"))
+    beyond = tops.select(F.col("above").alias("ancestor_id"), F.col("_low").alias("id"), (F.col("depth") + F.col("steps")).cast("int").alias("distance"))
+    return descendants(nodes).unionByName(descendants(loose)).unionByName(beyond)
+
+
 def cycle_members(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The nodes that lie on a cycle themselves (n_below -1), with their parent."""
     on = nodes.where("n_below = -1").select("id")

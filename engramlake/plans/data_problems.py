@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.operators.hierarchy import cycle_members, descendants, hierarchy, parent_edges, resolve_children
+from engramlake.operators.hierarchy import all_descendants, cycle_members, descendants, hierarchy, parent_edges, resolve_children
 from engramlake.operators.history import attribute_history
 from engramlake.operators.references import Referrer, orphan_counts, orphan_references
 from engramlake.session import cut, table
@@ -27,6 +27,11 @@ def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(resolve_children(edges))
 
 
+def p1_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = parent_edges(table(spark, sf_dir, "memories"))
+    return all_descendants(edges)
+
+
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = parent_edges(table(spark, sf_dir, "memories"))
     edges = cut(edges)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
     "p1_descendants": p1_descendants,
+    "p1_below": p1_below,
     "p1_cycles": p1_cycles,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
@@ -157,6 +163,18 @@ SELECT n.id, coalesce(w.root_id, -1) AS root_id, CAST(coalesce(w.depth, -1) AS I
   CAST(CASE WHEN n.id IN (SELECT id FROM looped) THEN -1 WHEN w.id IS NULL THEN coalesce(l.n, 0) ELSE coalesce(c.n, 0) END AS BIGINT) AS n_below
 FROM n LEFT JOIN walk w ON w.id = n.id LEFT JOIN cnt c ON c.ancestor_id = n.id LEFT JOIN loose l ON l.anc = n.id""",
     "p1_descendants": _NODES + _PAIRS + " SELECT ancestor_id, id, CAST(distance AS INTEGER) AS distance FROM pair",
+    "p1_below": _NODES
+    + _PAIRS
+    + _LOOP
+    + """,
+up AS (
+  SELECT id AS start, parent_id AS cur, [parent_id] AS seen FROM edge WHERE id NOT IN (SELECT id FROM walk) AND id NOT IN (SELECT id FROM looped)
+  UNION ALL
+  SELECT u.start, e.parent_id, list_append(u.seen, e.parent_id) FROM up u JOIN edge e ON e.id = u.cur WHERE NOT list_contains(u.seen, e.parent_id)
+)
+SELECT ancestor_id, id, CAST(distance AS INTEGER) AS distance FROM pair
+UNION ALL
+SELECT cur, start, CAST(len(seen) AS INTEGER) FROM up""",
     "p1_cycles": _NODES + _LOOP + " SELECT e.id, e.parent_id FROM edge e WHERE e.id IN (SELECT id FROM looped)",
     "p3_found": _REFS + " SELECT * FROM cases WHERE kind IS NOT NULL",
     "p3_counts": _REFS + " SELECT ref_table, kind, period, count(*) AS n FROM cases WHERE kind IS NOT NULL GROUP BY ALL",

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from engramlake.operators.hierarchy import cycle_members, descendants, hierarchy, parent_edges, resolve_children
+from engramlake.operators.hierarchy import all_descendants, cycle_members, descendants, hierarchy, parent_edges, resolve_children
 
 SCHEMA = "id bigint, parent_id bigint, level int, child string"
 
@@ -70,3 +70,19 @@ def test_empty_and_only_roots(spark):
 def test_only_cycles_beyond_the_local_bound(spark):
     df = spark.createDataFrame([(1, 2), (2, 1), (3, 4), (4, 3)], "id bigint, parent_id bigint")
     assert all(r.root_id == -1 and r.path == "" for r in hierarchy(df, local_edges=1).collect())
+
+
+@pytest.mark.parametrize("local_edges", [0, 10_000])
+def test_all_descendants_below_loops(spark, local_edges):
+    pairs = [(1, None), (2, 1), (11, 12), (12, 13), (13, 11), (20, 11), (21, 20), (22, 21), (30, 30), (31, 30)]
+    _, edges = parent_edges(spark.createDataFrame(pairs, "id bigint, parent_id bigint"))
+    up = {i: p for i, p in pairs if p}
+    want = {(1, 2, 1)}
+    for i in (20, 21, 22, 31):
+        at, seen = up[i], []
+        while at not in seen:
+            seen.append(at)
+            want.add((at, i, len(seen)))
+            at = up[at]
+    got = [tuple(r) for r in all_descendants(edges, local_edges).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
