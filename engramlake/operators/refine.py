@@ -180,6 +180,52 @@ def training_examples(store: DataFrame, language: str = "en", principles: int =
     return level(PRINCIPLE, "principle", principles).unionByName(level(PATTERN, "pattern", patterns))
 
 
+# Question and answer of each habit-based example; {} is the text or the domain.
+_ASK_HABITS = {
+    "en": {"habit_summary": ("What do you know about me?", "Based on our interactions, {}"), "preferences": ("What are my preferences?", "{}"), "habits_list": ("Remind me about my habits.", "{}"), "pattern_summary": ("What patterns have you noticed about me?", "{}"), "domain": ("What should I keep in mind about {}?", "{}")},
+    "zh": {"habit_summary": ("你了解我什么？", "根据我们的交流，{}"), "preferences": ("我有什么偏好？", "{}"), "habits_list": ("提醒我一下我的习惯。", "{}"), "pattern_summary": ("你发现了我什么规律？", "{}"), "domain": ("关于{}我需要注意什么？", "{}")},
+}
+
+
+def habit_examples(store: DataFrame, habits: DataFrame, language: str = "en") -> DataFrame:
+    """Question and answer examples from habits, preferences, patterns and the largest domains, as in the reference.
+
+    kind, id, messages. Texts are scrubbed; a text with personal information is left out, an example without text too.
+    The system prompt carries five habits and all domains.
+    """
+
+    def first(rows: DataFrame, order: list, k: int, by: list[str], sep: str, lead: str = "") -> DataFrame:
+        clean = rows.where(F.col("_t") != "").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k)
+        texts = F.transform(F.sort_array(F.collect_list(F.struct("_r", "_t"))), lambda x: F.concat(F.lit(lead), x["_t"]))
+        return clean.groupBy(*by).agg(F.array_join(texts, sep).alias("_a"))
+
+    own = habits.withColumn("_t", training_scrub(F.col("description")))
+    liked = preferences(habits).withColumn("_t", training_scrub(F.col("description")))
+    notes = active(store).withColumn("_t", training_scrub(F.col("content")))
+    newest_first, by_id = [F.desc("ts"), F.col("id")], [F.col("habit_id")]
+    patterns = notes.where(F.col("level") == PATTERN)
+    single = {
+        "habit_summary": first(own, by_id, 10, [], "；"),
+        "preferences": first(liked, by_id, 5, [], "；"),
+        "habits_list": first(own, by_id, 10, [], "\n", "- "),
+        "pattern_summary": first(patterns, newest_first, 5, [], "\n", "- "),
+    }
+    domains = domain_counts(store).where(F.col("domain") != "")
+    top = domains.orderBy(F.desc("memory_count"), "domain").limit(3).select("domain", F.row_number().over(Window.orderBy(F.desc("memory_count"), "domain")).cast("long").alias("id"))
+    of = notes.where(F.col("level").isin(PATTERN, FACT)).join(top.select("domain"), "domain", "left_semi")
+    insight = first(of, newest_first, 3, ["domain", "level"], "；").groupBy("domain").agg(F.max_by("_a", "level").alias("_a"))
+    ask = _ASK_HABITS[language]
+    rows = top.join(insight, "domain").select(F.lit("domain").alias("kind"), "id", F.replace(F.lit(ask["domain"][0]), F.lit("{}"), F.col("domain")).alias("_q"), "_a")
+    for kind, df in single.items():
+        q, a = ask[kind]
+        rows = rows.unionByName(df.select(F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(q).alias("_q"), F.replace(F.lit(a), F.lit("{}"), F.col("_a")).alias("_a")).where(df["_a"] != ""))
+    active_in = domains.agg(F.array_join(F.array_sort(F.collect_list("domain")), ", ").alias("_d"))
+    about = first(own, by_id, 5, [], "；").withColumnRenamed("_a", "_h").crossJoin(active_in)
+    prompt = F.concat(F.lit("You know this person from earlier conversations.\nHabits: "), F.col("_h"), F.lit("\nActive domains: "), F.col("_d"))
+    said = [F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in (("system", prompt), ("user", F.col("_q")), ("assistant", F.col("_a")))]
+    return rows.crossJoin(about).select("kind", "id", F.array(*said).alias("messages"))
+
+
 def train_valid(examples: DataFrame, key: str = "id", valid_share: int = 5) -> DataFrame:
     """``examples`` with split: every ``valid_share``-th by hash of the key is validation."""
     return examples.withColumn("split", F.when(F.pmod(F.xxhash64("kind", key), F.lit(valid_share)) == 0, "valid").otherwise("train"))

@@ -651,7 +651,8 @@ ORACLE["parse_insights"] = "SELECT habit_id, 0 AS pos, trim(replace(description,
 
 @query("training_examples")
 def training_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return E.training_examples(mem(spark, sf))
+    store = mem(spark, sf)
+    return E.training_examples(store).unionByName(E.habit_examples(store, table(spark, sf, "habits")))
 
 
 @query("engine_stats", _WITH + f", {_TRI} SELECT (SELECT count(*) FROM mem WHERE {_ACTIVE}) AS memories, (SELECT count(*) FROM tri WHERE valid_until IS NULL) AS triples, (SELECT count(DISTINCT habit_id) FROM habits) AS habits, (SELECT count(DISTINCT vote_id) FROM votes) AS votes")

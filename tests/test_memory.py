@@ -246,3 +246,11 @@ def test_a_profile_keeps_every_preference(spark):
     rows = [("how", "likes", f"thing {k:03d}", k) for k in range(120)] + [("how", "likes", "thing 00", 500)]
     facts = spark.createDataFrame(rows, "facet string, key string, value string, ts bigint")
     assert [r.value for r in G.profile_how(facts, []).collect()] == ["; ".join(f"thing {k:03d}" for k in range(120))]
+
+
+def test_habit_examples(spark, small):
+    habits = spark.createDataFrame([(1, "I like long walks"), (2, "reads at night")], "habit_id bigint, description string")
+    got = {(r.kind, r.id): [m.content for m in r.messages] for r in E.habit_examples(small, habits).collect()}
+    assert got["habit_summary", 0][2] == "Based on our interactions, I like long walks；reads at night"
+    assert got["preferences", 0][2] == "I like long walks" and got["habits_list", 0][2] == "- I like long walks\n- reads at night"
+    assert {k for k, _ in got} >= {"pattern_summary", "domain"} and "reads at night" in got["domain", 1][0]
