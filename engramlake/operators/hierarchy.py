@@ -6,10 +6,12 @@ subtree sizes of their children to the parents. What no round can take lies on
 a cycle. In reverse peel order each child then extends its parent's path.
 
 Rounds are distributed joins. Real trees lose most of their nodes in the first
-rounds and keep a thin residue of long chains; as soon as that residue is at
-most ``local_edges`` edges (counted, not assumed) one task peels all of it, so
-a chain of depth d does not cost d Spark jobs. A larger residue goes on in
-distributed rounds, whatever their number.
+rounds and keep a thin residue of long chains. Peeling goes on while a round
+takes away at least a third of the edges, so what all rounds write, down and
+back, is a geometric series of the table's size. The residue then goes one of
+two ways with equal results: at most ``local_edges`` edges (counted, not
+assumed) are peeled by one task; a larger residue is resolved by pointer
+doubling, whose rounds grow with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.session import cut
+from engramlake.session import cut, drop
 
 #: Edges that one task may peel by itself; 65,536 edges are about 10 MB there.
 LOCAL_EDGES = 65_536
+#: Peeling goes on while a round leaves at most this share of the edges.
+PEEL_LEAVES = 2 / 3
 
 _RESOLVED = "id bigint, parent_id bigint, root_id bigint, depth int, path string, n_below bigint"
 
@@ -122,6 +126,67 @@ def _below_parent(layer: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
+def _climbed(up: DataFrame, extra: dict[str, tuple[Column, Column]], most: int | None, sizes: bool = False) -> DataFrame:
+    """``up`` (child, parent, top, done, steps, ...) after doubling its climbs until all are done or longer than ``most``.
+
+    A climb is done when ``top`` has no parent. ``extra`` says how a column
+    goes on at the top: (the top's column under a new name, the combination of
+    both). With ``sizes``, n_below grows by what lies as far below as climbs
+    reach, so in the end it is the whole subtree.
+    """
+    reach = 1
+    while True:
+        if (most is not None and reach > most) or up.where("NOT done").isEmpty():
+            return up
+        above = up.select(F.col("child").alias("_a"), F.col("top").alias("_top"), F.col("done").alias("_done"), F.col("steps").alias("_steps"), *[a for a, _ in extra.values()])
+        new = up.join(above, ~F.col("done") & (F.col("top") == F.col("_a")), "left")
+        if sizes:
+            # of the sums on a cycle nothing is kept, so they may overflow
+            sent = up.where("NOT done").groupBy(F.col("top").alias("_t")).agg(F.try_sum(F.col("n_below") + 1).alias("_sent"))
+            new = new.join(sent, F.col("child") == F.col("_t"), "left")
+        changed = {
+            "top": F.coalesce("_top", "top"),
+            "done": F.coalesce("_done", "done"),
+            "steps": F.col("steps") + F.coalesce("_steps", F.lit(0)),
+            "n_below": F.try_add("n_below", F.coalesce("_sent", F.lit(0))) if sizes else F.col("n_below"),
+            **{c: how for c, (_, how) in extra.items()},
+        }
+        new = cut(new.select(*[changed.get(c, F.col(c)).alias(c) for c in up.columns]))
+        drop(up)
+        up, reach = new, 2 * reach
+
+
+def _doubled(rest: DataFrame, left: int) -> DataFrame:
+    """``resolve_children`` for ``left`` edges (child, parent, n_below) by pointer doubling.
+
+    First without paths: a climb of more steps than there are edges never
+    ends, and the nodes such climbs are at are the cycles. Then the paths of
+    those that end.
+    """
+    ends = rest.select(F.col("child").alias("_c"))
+    up = cut(
+        rest.join(ends, F.col("parent") == F.col("_c"), "left").select(
+            "child", "parent", F.col("parent").alias("top"), F.col("_c").isNull().alias("done"), F.lit(1).cast("long").alias("steps"), "n_below"
+        )
+    )
+    known = _climbed(up, {}, left, sizes=True)
+    endless = known.where("NOT done")
+    loops = endless.select(F.col("top").alias("_l")).distinct()
+    lost = endless.join(loops, F.col("child") == F.col("_l"), "left").select(
+        F.col("child").alias("id"), F.col("parent").alias("parent_id"), F.lit(-1).cast("long").alias("root_id"), F.lit(-1).alias("depth"), F.lit("").alias("path"),
+        F.when(F.col("_l").isNotNull(), -1).otherwise(F.col("n_below")).cast("long").alias("n_below"),
+    )
+    finite = known.where("done").select("child", "parent", F.col("parent").alias("top"), (F.col("steps") == 1).alias("done"), F.lit(1).cast("long").alias("steps"), "n_below", F.col("child").cast("string").alias("path"))
+    longer = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat_ws("/", "_path", "path"))
+    paths = _climbed(cut(finite), {"path": (F.col("path").alias("_path"), longer)}, None)
+    return lost.unionByName(
+        paths.select(
+            F.col("child").alias("id"), F.col("parent").alias("parent_id"), F.col("top").alias("root_id"), F.col("steps").cast("int").alias("depth"),
+            F.concat_ws("/", F.col("top").cast("string"), "path").alias("path"), "n_below",
+        )
+    )
+
+
 def resolve_children(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """One row per edge (child, parent): id, parent_id, root_id, depth, path, n_below.
 
@@ -136,9 +201,7 @@ def resolve_children(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFr
         fan_in = rest.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")).withColumnRenamed("parent", "_p")
         marked = cut(rest.join(fan_in, F.col("child") == F.col("_p"), "left").drop("_p"))
         leaves = marked.where(F.col("kids").isNull()).drop("kids")
-        sizes = (
-            leaves.groupBy("parent").agg(F.sum(F.col("n_below") + 1).alias("_sent")).withColumnRenamed("parent", "_p")
-        )
+        sizes = leaves.groupBy("parent").agg(F.sum(F.col("n_below") + 1).alias("_sent")).withColumnRenamed("parent", "_p")
         inner = (
             marked.where(F.col("kids").isNotNull())
             .drop("kids")
@@ -146,20 +209,14 @@ def resolve_children(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFr
             .select("child", "parent", (F.col("n_below") + F.coalesce("_sent", F.lit(0))).alias("n_below"))
         )
         inner = cut(inner)
-        now = inner.count()
-        if now == left:  # nothing was a leaf: only cycles remain
-            break
+        now, before = inner.count(), left
         layers.append(leaves)
+        drop(rest)
         rest, left = inner, now
+        if now > PEEL_LEAVES * before:
+            break
     if left > local_edges:
-        resolved = rest.select(
-            F.col("child").alias("id"),
-            F.col("parent").alias("parent_id"),
-            F.lit(-1).cast("long").alias("root_id"),
-            F.lit(-1).alias("depth"),
-            F.lit("").alias("path"),
-            F.lit(-1).cast("long").alias("n_below"),
-        )
+        resolved = _doubled(rest, left)
     elif left:
         resolved = rest.coalesce(1).mapInArrow(_peel_here, _RESOLVED)
     else:

@@ -1,20 +1,21 @@
 """History of changing attributes (problem 4).
 
-Each key (subject, relation) has a snapshot at every moment its observed state
-may change: the starts of observations and the ends that come before the next
-start. Consecutive snapshots of a key are compared by a null-safe full outer
-join; keys that are inserted, changed or deleted between them give change
-events, equal ones give none. The validity of an event ends at the next event.
+Each key (subject, relation) has a state at every moment: the observation that
+started last, until the next one starts or its own end comes before that. The
+state that starts at a moment and the state that stops there are consecutive
+snapshots of the key; a null-safe full outer join on (key, moment) compares
+them: only the new one is there (inserted), only the old one (deleted), both
+with different values (changed), or the same value goes on (no event). The
+validity of an event ends at the key's next event, by lead.
 
 The join's key contains the moment, so a key with a third of all rows spreads
 over all tasks. The successor of a moment is found in two steps (inside a time
-slice, then between slices of the same key) for the same reason.
+slice, then between slices of the same key) for the same reason. Keys are made
+non-null once, so the joins are plain ones and keep the partitioning.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +27,6 @@ SINGLE_VALUED = ("name_is", "works_at", "located_in", "currently_doing")
 SLICE_S = 30 * 86_400.0
 
 
-def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
-
-
 def successor(
     df: DataFrame, keys: list[str], at: str, out: str, slice_s: float = SLICE_S, tie: str | None = None, value: str | None = None
 ) -> DataFrame:
@@ -40,15 +37,18 @@ def successor(
     """
     value = value or at
     order = [at] + ([tie] if tie else [])
-    sliced = df.withColumn("_slice", F.floor(F.col(at) / slice_s))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # two columns per key: its value without null, and whether it is null
+    plain = [c for k in keys for c in (f"_v_{k}", f"_n_{k}")]
+    filled = {f"_v_{k}": F.coalesce(k, F.lit("").cast(dict(df.dtypes)[k])) for k in keys} | {f"_n_{k}": F.col(k).isNull() for k in keys}
+    sliced = df.withColumns(filled | {"_slice": F.coalesce(F.floor(F.col(at) / slice_s), F.lit(-(1 << 62)))})
+    inside = Window.partitionBy(*plain, "_slice").orderBy(*order)
     rows = sliced.withColumn("_more", F.lead(at).over(inside).isNotNull()).withColumn("_next", F.lead(value).over(inside))
-    heads = sliced.groupBy(*keys, "_slice").agg(F.min_by(value, F.struct(*order)).alias("_head"))
-    between = Window.partitionBy(*keys).orderBy("_slice")
+    # the first row of each slice, as the windows left it: no further shuffle
+    heads = rows.withColumn("_r", F.row_number().over(inside)).where("_r = 1").select(*plain, "_slice", F.col(value).alias("_head"))
+    between = Window.partitionBy(*plain).orderBy("_slice")
     heads = heads.withColumn("_after", F.lead("_head").over(between)).drop("_head")
-    joined = rows.join(heads, _same(rows, heads, [*keys, "_slice"]), "left")
-    following = F.when(rows["_more"], rows["_next"]).otherwise(heads["_after"])
-    return joined.select(*[rows[c] for c in df.columns], following.alias(out))
+    joined = rows.join(heads, [*plain, "_slice"], "left")
+    return joined.select(*df.columns, F.when(F.col("_more"), F.col("_next")).otherwise(F.col("_after")).alias(out))
 
 
 def _number(c: str) -> Column:
@@ -67,37 +67,31 @@ def observations(triples: DataFrame) -> DataFrame:
     )
 
 
-def snapshots(obs: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
-    """The moments of each key: subject, relation, at, object, held (false: nothing holds from here on)."""
-    keys = ["subject", "relation"]
-    led = successor(obs, keys, "start", "next_start", slice_s)
-    ends = (F.col("own_end") > F.col("start")) & (F.col("next_start").isNull() | (F.col("own_end") < F.col("next_start")))
-    starts = F.struct(F.col("start").alias("at"), F.col("object").alias("object"), F.lit(True).alias("held"))
-    stops = F.struct(F.col("own_end").alias("at"), F.lit(None).cast("string").alias("object"), F.lit(False).alias("held"))
-    moments = F.when(ends, F.array(starts, stops)).otherwise(F.array(starts))
-    return led.select(*keys, F.explode(moments).alias("m")).select(*keys, "m.at", "m.object", "m.held")
+def states(obs: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
+    """What held when: subject, relation, object, start, stop (null: to this day)."""
+    led = successor(obs, ["subject", "relation"], "start", "next_start", slice_s)
+    own = (F.col("own_end") > F.col("start")) & (F.col("next_start").isNull() | (F.col("own_end") < F.col("next_start")))
+    return led.select("subject", "relation", "object", "start", F.when(own, F.col("own_end")).otherwise(F.col("next_start")).alias("stop"))
 
 
-def change_events(snaps: DataFrame, slice_s: float = SLICE_S) -> DataFrame:
-    """What each snapshot changes against the one before: subject, relation, at, object, held, change.
-
-    change is ``inserted``, ``changed`` or ``deleted``; equal neighbours give no event.
-    """
-    keys = ["subject", "relation"]
-    led = successor(snaps, keys, "at", "next_at", slice_s)
-    old = led.where(F.col("next_at").isNotNull()).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("next_at").alias("_at"), F.col("object").alias("_object"), F.col("held").alias("_held")
-    )
-    pairs = snaps.join(
-        old, snaps["subject"].eqNullSafe(old["_subject"]) & snaps["relation"].eqNullSafe(old["_relation"]) & (snaps["at"] == old["_at"]), "full_outer"
+def change_events(held: DataFrame) -> DataFrame:
+    """Events of the states: subject, relation, at, object, change (inserted, changed, deleted)."""
+    new = held.select("subject", "relation", F.col("start").alias("at"), F.struct("object").alias("_new"))
+    old = held.where(F.col("stop").isNotNull()).select(
+        F.col("subject").alias("_s"), F.col("relation").alias("_r"), F.col("stop").alias("_at"), F.struct("object").alias("_old")
     )
-    was = F.coalesce("_held", F.lit(False))
+    same_key = new["subject"].eqNullSafe(old["_s"]) & (new["relation"] == old["_r"]) & (new["at"] == old["_at"])
+    pairs = new.join(old, same_key, "full_outer")
     change = (
-        F.when(F.col("held") & ~was, "inserted")
-        .when(~F.col("held") & was, "deleted")
-        .when(F.col("held") & ~F.col("object").eqNullSafe(F.col("_object")), "changed")
+        F.when(F.col("_old").isNull(), "inserted")
+        .when(F.col("_new").isNull(), "deleted")
+        .when(~F.col("_new.object").eqNullSafe(F.col("_old.object")), "changed")
     )
-    return pairs.select(*keys, "at", "object", "held", change.alias("change")).where(F.col("change").isNotNull())
+    gone = F.col("_new").isNull()
+    return pairs.select(
+        F.when(gone, F.col("_s")).otherwise(F.col("subject")).alias("subject"), F.coalesce("relation", "_r").alias("relation"),
+        F.coalesce("at", "_at").alias("at"), F.col("_new.object").alias("object"), change.alias("change"),
+    ).where(F.col("change").isNotNull())
 
 
 def attribute_history(triples: DataFrame, relations: tuple[str, ...] = SINGLE_VALUED, slice_s: float = SLICE_S) -> DataFrame:
@@ -109,10 +103,10 @@ def attribute_history(triples: DataFrame, relations: tuple[str, ...] = SINGLE_VA
     like any other, repeated rows count once, an empty table gives no rows.
     """
     wanted = triples.where(F.col("relation").isin(*relations))
-    snaps = cut(snapshots(observations(wanted), slice_s))
-    events = successor(change_events(snaps, slice_s), ["subject", "relation"], "at", "until", slice_s)
+    events = change_events(cut(states(observations(wanted), slice_s)))
     return (
-        events.where("held")
+        successor(events, ["subject", "relation"], "at", "until", slice_s)
+        .where(F.col("change") != "deleted")
         .select(
             "subject",
             "relation",

@@ -22,6 +22,11 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(table(spark, sf_dir, "memories"))
 
 
+def p1_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p1_nodes`` as a residue of any size comes about: by distributed rounds and doubling alone, no task peels by itself."""
+    return hierarchy(table(spark, sf_dir, "memories"), local_edges=0)
+
+
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = parent_edges(table(spark, sf_dir, "memories"))
     return descendants(resolve_children(edges))
@@ -73,6 +78,7 @@ def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_nodes": p1_nodes,
+    "p1_rounds": p1_rounds,
     "p1_descendants": p1_descendants,
     "p1_below": p1_below,
     "p1_cycles": p1_cycles,
@@ -182,3 +188,4 @@ SELECT cur, start, CAST(len(seen) AS INTEGER) FROM up""",
     "p4_changes": _HISTORY
     + " SELECT relation, change, count(*) AS n, count(*) FILTER (until_s = -1) AS n_open FROM period GROUP BY ALL",
 }
+ORACLE["p1_rounds"] = ORACLE["p1_nodes"]

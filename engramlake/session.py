@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,15 +43,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``, which counts whenever it
+    is set; else the folder the session was given counts. A temporary folder of
+    this machine is made only where driver and executors are one process; on a
+    cluster without the setting this raises, since each executor would write
+    to a disk of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="engramlake-ckpt-"))
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="engramlake-ckpt-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folder of this session's written tables, by application; deleted when Python ends.
+_FOLDERS: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/engramlake-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_leave, spark, app)
+    return _FOLDERS[app]
+
+
+def _leave(spark: SparkSession, app: str) -> None:
+    folder = _FOLDERS.pop(app, None)
+    try:
+        _delete(spark, folder)
+    except Exception:  # the session is gone already: only a folder of this machine can still be deleted
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,10 +91,24 @@ def cut(df: DataFrame) -> DataFrame:
     costs a re-read, not a recomputation of all rounds. A written table rather
     than ``checkpoint()``: it is compressed, later reads prune columns, and the
     optimiser does not carry the constraints of all earlier rounds along. The
-    tables of a session lie in one folder and go with it.
+    tables of a session lie in one folder, which is deleted at its end; tables
+    of rounds that are over go earlier, by ``drop``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables ``cut`` has written that no later plan reads; other DataFrames are left alone."""
+    for df in tables:
+        path = _TABLES.pop(df, None) if df is not None else None
+        if path is not None:
+            _delete(df.sparkSession, path)

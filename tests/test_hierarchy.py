@@ -86,3 +86,14 @@ def test_all_descendants_below_loops(spark, local_edges):
             at = up[at]
     got = [tuple(r) for r in all_descendants(edges, local_edges).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_deep_residue_is_doubled(spark):
+    """A chain of 5,000, a loop with a chain beneath it and another loop, far beyond what one task may peel."""
+    pairs = [(k, k - 1) for k in range(1, 5001)]  # 0 has no row: 1 is a root
+    pairs += [(9001, 9002), (9002, 9003), (9003, 9001), (9100, 9001)] + [(9100 + k, 9099 + k) for k in range(1, 300)] + [(9900, 9900)]
+    got = resolve(spark, pairs, 10)
+    for k in (1, 2, 17, 2500, 5000):
+        assert got[k] == (1, k - 1, "/".join(map(str, range(1, k + 1))), 5000 - k)
+    assert all(got[k] == (-1, -1, "", -1) for k in (9001, 9002, 9003, 9900))
+    assert all(got[9100 + k] == (-1, -1, "", 299 - k) for k in range(300))
