@@ -42,13 +42,13 @@ def successor(
     filled = {f"_v_{k}": F.coalesce(k, F.lit("").cast(dict(df.dtypes)[k])) for k in keys} | {f"_n_{k}": F.col(k).isNull() for k in keys}
     sliced = df.withColumns(filled | {"_slice": F.coalesce(F.floor(F.col(at) / slice_s), F.lit(-(1 << 62)))})
     inside = Window.partitionBy(*plain, "_slice").orderBy(*order)
-    rows = sliced.withColumn("_more", F.lead(at).over(inside).isNotNull()).withColumn("_next", F.lead(value).over(inside))
-    # the first row of each slice, as the windows left it: no further shuffle
-    heads = rows.withColumn("_r", F.row_number().over(inside)).where("_r = 1").select(*plain, "_slice", F.col(value).alias("_head"))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sliced.withColumns({"_more": F.lead(at).over(inside).isNotNull(), "_next": F.lead(value).over(inside), "_head": F.first(value).over(so_far)})
+    within = rows.where("_more").select(*df.columns, F.col("_next").alias(out))
+    # the last row of each slice, which knows its slice's first, looks at the key's next slice
     between = Window.partitionBy(*plain).orderBy("_slice")
-    heads = heads.withColumn("_after", F.lead("_head").over(between)).drop("_head")
-    joined = rows.join(heads, [*plain, "_slice"], "left")
-    return joined.select(*df.columns, F.when(F.col("_more"), F.col("_next")).otherwise(F.col("_after")).alias(out))
+    last = rows.where("NOT _more").withColumn("_after", F.lead("_head").over(between)).select(*df.columns, F.col("_after").alias(out))
+    return within.unionByName(last)
 
 
 def _number(c: str) -> Column:
