@@ -333,16 +333,14 @@ def readable(text: str) -> tuple[str, list[int] | None]:
     """(text to parse, source position of each of its characters and of its end; None: the same)."""
     if text.isascii() or not _ODD.search(text):
         return text, None
-    to = transducer()
     out: list[str] = []
     at: list[int] = []
     last = 0
-    for m in to.pattern.finditer(text):
-        a, b = m.span()
-        out.append(text[last:a])
+    for a, b, new in transducer().edits(text):
+        if text[a:b] in ("，", "。", "；", "：", "！", "？"):  # they end Chinese clauses
+            continue
+        out += (text[last:a], new)
         at.extend(range(last, a))
-        new = m.group() if m.lastgroup == "shown" or m.group() in "，。；：！？" else to.cluster(m.group())
-        out.append(new)
         at.extend([a] * len(new))
         last = b
     out.append(text[last:])

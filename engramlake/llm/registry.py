@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.canonical import INVISIBLE, JOINING, build_map, look_alike_pairs, with_canonical
+from engramlake.llm.canonical import look_alike_pairs, with_canonical
 from engramlake.llm.knn import neighbour_pairs, neighbours
 from engramlake.llm.leaks import find_leaks, leak_report
-from engramlake.llm.near import group_pairs, near_groups
+from engramlake.llm.near import group_pairs, group_sizes, near_groups
 from engramlake.llm.pii import kinds_found, scan_pii
 from engramlake.llm.sentences import fit_on, split_sentences
 from engramlake.llm.tokenize import encode_corpus
@@ -66,6 +66,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "memories"), "id", "domain", "content")
 
 
+def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_sizes(p5_groups(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(p5_groups(spark, sf_dir))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_redacted": p2_redacted,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p5_sizes": p5_sizes,
     "p6_found": p6_found,
     "p6_forms": p6_forms,
     "p7_found": p7_found,
@@ -112,17 +117,30 @@ _LEAKS = (
 )
 
 
+# Fixed values of the SQL, kept apart from the operator's generated table so that one checks the other: pairs of rows, each character of the first prints like that below it.
+_SQL_LETTERS = (
+    ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))),  # full width
+    ("｡｢｣､･ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝ", "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン"),
+    ("АВЕКМНОРСТХЅІЈ", "ABEKMHOPCTXSIJ"),
+    ("аеорсухѕіјёЁїЇ", "aeopcyxsijëËïÏ"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp"),
+    ("‐‑‒−", "----"),
+    ("\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000", " " * 16),
+)
+_SQL_UNSEEN = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff\u3164"
+_SQL_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
+_SQL_JOINING = "\u0600-\u08ff\u0900-\u0dff\u2600-\u27bf\ufe0f\U0001f000-\U0001faff"
+
+
 def _form_sql(text: str) -> str:
-    """The canonical form in SQL: joiners that show are set aside, then characters are translated and composed."""
-    ones = {k: v for k, v in build_map().items() if len(v) == 1}
-    longer = {k: v for k, v in build_map().items() if len(v) > 1}
-    set_aside = text
+    """The form in SQL: joiners that show are set aside, then characters are translated and composed."""
     for joiner, mark in (("\u200c", "\ue000"), ("\u200d", "\ue001")):
         for _ in range(2):  # neighbours overlap
-            set_aside = f"regexp_replace({set_aside}, '([{JOINING}]){joiner}([{JOINING}])', '\\1{mark}\\2', 'g')"
-    sql = f"translate(nfd({set_aside}), '{''.join(ones)}{INVISIBLE}', '{''.join(ones.values()).replace(chr(39), chr(39) * 2)}')"
-    for k, v in longer.items():
-        sql = f"replace({sql}, '{k}', '{v}')" if k in "\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06" else sql
+            text = f"regexp_replace({text}, '([{_SQL_JOINING}]){joiner}([{_SQL_JOINING}])', '\\1{mark}\\2', 'g')"
+    stored, shown = ("".join(rows) for rows in zip(*_SQL_LETTERS, strict=True))
+    sql = f"translate({text}, '{stored}{_SQL_UNSEEN}', '{shown.replace(chr(39), chr(39) * 2)}')"
+    for one, letters in _SQL_LIGATURES.items():
+        sql = f"replace({sql}, '{one}', '{letters}')"
     return f"replace(replace(nfc_normalize({sql}), '\ue000', '\u200c'), '\ue001', '\u200d')"
 
 
@@ -130,7 +148,7 @@ _TOLD = """told AS (
   SELECT DISTINCT 'memories' AS src, id AS row_id, content FROM memories
   UNION ALL SELECT DISTINCT 'messages', msg_id, content FROM messages
 )"""
-_FORMS = "WITH " + _TOLD + ", form AS (SELECT *, CASE WHEN regexp_matches(content, '[^\\x00-\\x7F]') THEN " + _form_sql("content").replace("nfd(", "(") + " ELSE content END AS canonical FROM told)"
+_FORMS = "WITH " + _TOLD + ", form AS (SELECT *, CASE WHEN regexp_matches(content, '[^\\x00-\\x7F]') THEN " + _form_sql("content") + " ELSE content END AS canonical FROM told)"
 
 _NEAR = """WITH RECURSIVE m AS (
   SELECT DISTINCT id, domain, trim(regexp_replace(lower(content), '\\s+', ' ', 'g')) AS t FROM memories WHERE content IS NOT NULL AND domain <> ''
@@ -154,6 +172,7 @@ ORACLE: dict[str, str] = {
     "p7_found": _BEST + " SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best",
     "p5_found": _NEAR + " SELECT a AS id_a, b AS id_b FROM r WHERE a < b",
     "p5_groups": _NEAR + " SELECT a AS id, min(b) AS group_id FROM r GROUP BY a",
+    "p5_sizes": _NEAR + " SELECT group_id, count(*) AS n FROM (SELECT a, min(b) AS group_id FROM r GROUP BY a) GROUP BY 1",
     "p9_found": _LEAKS + " SELECT * FROM found",
     "p6_forms": _FORMS + " SELECT src, row_id, canonical FROM form",
     "p6_found": _FORMS

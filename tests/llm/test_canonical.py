@@ -30,6 +30,36 @@ def test_a_form_is_its_own_form(text):
     assert transducer()(once) == once
 
 
+@pytest.mark.parametrize("a,b", [
+    ("\u3164x", "x"), ("a\u2065b", "ab"), ("字\ufe00", "字"), ("a\U000e0041b", "ab"), ("1\u22122", "1-2"), ("5\u201212", "5-12"), ("ν", "v"), ("Ү", "Y"), ("Ꭺ", "A"), ("ꓮ", "A"), ("µ", "μ"), ("Ⅳ", "IV"),
+    ("e\u200b\u0301", "é"), ("a\u0302\u0323", "ậ"), ("a\u0323\u0302", "ậ"), ("â\u0323", "ậ"), ("\u0430\u0301", "á"), ("ｶﾞ", "ガ"), ("\u1100\u1161\u11a8", "각"), ("가\u11a8", "각"), ("Å", "Å"), ("x\u0301\u0323", "x\u0323\u0301"),
+])
+def test_more_of_unicode(a, b):
+    assert transducer()(a) == b
+
+
+@pytest.mark.parametrize("text", ["❤\ufe0f", "🏴\U000e0067\U000e007f", "👨\u200d👩", "a–b", "ı", "x\u0301"])
+def test_visible_things_stay(text):
+    assert transducer()(text) == text
+
+
+def test_many_texts_are_read_as_each_alone():
+    texts = ["", "\u0301a", "ｅ", "\u0301", "x\x00\u0301", "plain", "а\u0301"]
+    assert transducer().many(texts) == [transducer()(t) for t in texts]
+
+
+def test_clusters_against_normalisation():
+    """Any order and mixture of bases, accents and invisible characters gives what normalising the whole would give."""
+    import random
+    import unicodedata
+
+    rng, to = random.Random(3), transducer()
+    for _ in range(5000):
+        text = "".join(rng.choice("aeоеïñ\u0301\u0323\u0302\u0308\u0327\u200b\u00adｅﬁ中xν각각") for _ in range(rng.randrange(1, 9)))
+        plain = unicodedata.normalize("NFC", "".join(c for c in text if to.table.get(c) != ""))
+        assert to(text) == unicodedata.normalize("NFC", "".join(to.table.get(c, c) for c in unicodedata.normalize("NFD", plain)))
+
+
 def test_conflicts_are_found():
     with pytest.raises(ValueError):
         check_map({"а": "b", "ｂ": "а"})
