@@ -67,3 +67,17 @@ ONLY_SURNAMES = SURNAMES - SHARED - GIVEN - frozenset(
 #: Surnames that seldom begin any other word.
 HAN_SURE = "赵钱孙李周吴郑王冯陈褚蒋沈韩杨朱秦许吕张孔曹严魏陶姜戚谢邹苏潘葛范彭鲁韦俞袁柳鲍唐薛雷贺倪汤滕殷罗郝邬傅卞顾孟黄穆萧尹姚邵汪祁臧戴宋庞熊屈董梁杜阮闵贾娄颜郭徐邱骆夏蔡樊胡霍虞柯卢莫裘邓洪崔龚程邢裴陆翁荀甄芮靳段侯宓刘詹叶黎蔺谭冉桑濮廖耿聂曾肖"
 HAN_DOUBLE = "欧阳|司马|上官|诸葛|东方|皇甫|尉迟|公孙|慕容|司徒|令狐|夏侯|宇文|长孙|端木|独孤|南宫|西门|百里|轩辕"
+
+#: Frequent words that stand where a name could, in texts that write names in lower case.
+COMMON = frozenset(
+    """
+    the a an and or but not so to of in at on for my our your his her their this that these those it its i we you they he she me him us them is are was were be been being am do does did done have has had will would can could should may might must
+    who what when where why how which if then than there here again please very too also just only even still yet already always never often sometimes usually mostly really quite rather pretty almost maybe perhaps probably actually finally recently soon later now today tomorrow yesterday
+    all any some no none each every both either neither one two three few more most many much less least other another same such own new old good bad great nice fine best better worse big small little long short high low first last next early late ready busy free sure happy sad glad sorry tired sick afraid
+    about after before with without from by into over under between through during against until while because since though although as like up down out off back away home work time day week month year way thing things people person someone anyone everyone nobody somebody anybody everybody others
+    help advice directions information details permission support money food water coffee tea lunch dinner breakfast customers users team staff doctor mother father sister brother wife husband friend boss going trying looking getting making taking coming working thinking talking getting kind sort lot bit
+    de la le les un une des et ou mais pas je tu il elle on nous vous ils elles que qui ce cette mon ma mes ton ta son sa ses notre votre leur très bien plus moins encore toujours jamais aussi déjà
+    el los las una unos unas y o pero no yo él ella nosotros ellos que quien este esta mi mis tu tus su sus nuestro muy bien más menos siempre nunca también ya
+    der die das den dem des ein eine einen einem einer und oder aber nicht ich du er sie es wir ihr mein meine dein sein unser sehr gut mehr weniger immer nie auch schon noch nur ganz
+    """.split()
+)

@@ -1,18 +1,25 @@
 """Personal information inside free text (problem 2).
 
-Anchor expansion: one Aho-Corasick pass over a text finds at-signs, schemes,
-street words and the cues that introduce names, numbers and papers. Around
-each anchor a local parser for its kind expands to the boundaries of what
-stands there and validates it; nothing else of the text is looked at. Texts
-written with look-alikes, full-width forms or invisible characters are parsed
-in their canonical form, with positions kept for the replacement.
+Anchor expansion: one Aho-Corasick pass over a text finds at-signs, pairs of
+digits, street words, known names and the cues that introduce names, numbers
+and papers. The parsers of an anchor's kind expand from there, however far, to
+the boundaries of what stands there; they read the anchor's paragraph (names: its clause),
+which nothing of a kind crosses, and no other part of the text. Numbers are
+validated: an identity number that nothing announces must have a right check
+digit or letter or lie in a range that is given out, a telephone number the
+length of its country. What a person calls an identity number or a telephone
+number is taken as one even if it does not validate, since a mistyped number
+tells as much. Texts written with look-alikes, full-width forms or invisible
+characters are parsed in their canonical form, with positions kept for the
+replacement.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -21,10 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.canonical import INVISIBLE, LOOK_ALIKES, transducer
-from engramlake.llm.names import GIVEN, HAN_DOUBLE, HAN_SURE, ONLY_SURNAMES, SHARED, SURNAMES
-
-#: Characters around an anchor that its parser may look at.
-REACH_BACK, REACH_ON = 72, 112
+from engramlake.llm.names import COMMON, GIVEN, HAN_DOUBLE, HAN_SURE, ONLY_SURNAMES, SHARED, SURNAMES
 
 KINDS = ("person", "email", "phone", "id_number", "address")
 
@@ -45,10 +49,10 @@ ANCHORS = {
         "straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "路", "街", "巷", "大道", "弄", "胡同",
     ),
     "person": (
-        "name is", "name's", "i'm ", "i am ", "signed,", "this is ", "cc ", "talk to ", "ask for ", "registered as", "me llamo", "m'appelle", "heiße ", "heisse ",
+        "name is", "name's", "signed", "yours", "sincerely", "listed as", "booked", "filed under", "on behalf of", "attn", "c/o ", " met ", "meet ", "meeting ", " saw ", "visited ", "hired ", "married ", "thanked ", "invited ", "interviewed ", "rencontr", " vu ", "conoc", " vi a ", "i'm ", "i am ", "signed,", "this is ", "cc ", "talk to ", "ask for ", "registered as", "me llamo", "m'appelle", "heiße ", "heisse ",
         "name ist", "nombre es", "nom est", "sister ", "brother ", "mother ", "father ", "wife ", "husband ", "daughter ", "son ", "boss ", "friend ", "neighbour ", "neighbor ", "colleague ",
         "jefa", "jefe", "dr. ", "dr ", "prof. ", "prof ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "frau ", "herr ", "herrn ", "sr. ", "sra. ", "señor ", "señora ", "mme ", "m. ",
-        "(my ", "我叫", "名字是", "落款", "签字", "老师", "联系人", "女士", "先生", "我是",
+        "(my ", "我叫", "名字是", "名字叫", "昨天", "今天", "明天", "刚才", "上周", "一起", "请假", "和", "跟", "落款", "签字", "老师", "联系人", "女士", "先生", "我是",
         "妹妹", "姐姐", "哥哥", "弟弟", "妈妈", "爸爸", "母亲", "父亲", "老婆", "妻子", "丈夫", "老公", "女儿", "儿子", "同事", "朋友", "邻居", "老板", "经理", "上司", "医生",
         "miss ", "mx ", "dra. ", "srta", "señorita", "mlle", "madame", "monsieur", "mademoiselle", "maître", "docteur", "doctor", "doktor", "profes", "don ", "doña ", "uncle ", "aunt ",
         "spoke ", "speak ", "talk", "regards,", "cheers,", "dear ", "hablar con", "hablé con", "habla con", "estimad", "querid", "parler ", "parlé ", "cher ", "chère ", "cordialement", "sprich mit", "gesprochen mit", "frag", "liebe", "geehrte", "grüße", "saludos", "firmado", "signé", "gezeichnet", "atentamente",
@@ -63,14 +67,14 @@ ANCHORS = {
     ),
 }
 
-# Words of spoken digits.
+# Words of spoken digits, and words for several of them.
 _SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 _STREETS = "road|rd|street|st|avenue|ave|lane|ln|close|court|ct|blvd|boulevard|drive|square|terrace|crescent|way|place|grove"
 
 _DOT = r"(?:\.|\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{\s?dot\s?\})\s?|\s+(?:dot|punto|point|punkt)\s+)"
 _LOC = r"A-Za-z0-9À-ɏ_+%\-"
 _EMAIL = re.compile(
-    rf"(?:mailto:)?(?<![A-Za-z0-9_.+])[{_LOC}]+(?:{_DOT}[{_LOC}]+)*?"
+    rf"(?:mailto:)?(?<![{_LOC}.])[{_LOC}]+(?:(?:{_DOT}|['’])[{_LOC}]+)*?"
     rf"(?:\s?@\s?[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}}"
     rf"|\s?(?:\(\s?at\s?\)|\[\s?at\s?\]|\{{\s?at\s?\}})\s?[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[^\W\d_]{{2,}}"
     rf"|\s+(?:at|arroba|arobase)\s+[\w\-]+(?:\s+(?:dot|punto|point|punkt)\s+[\w\-]+)+)",
@@ -90,7 +94,7 @@ _PHONE_FORMS = re.compile(
     r"(?<![\w#=.,:/+-])(?:"
     r"(?:\+\d{1,3}|00[1-9]\d{0,2}(?=[\s.\-(]))[\s.\-]?\(?0?\)?[\s.\-]?\d(?:[\s.\-/()]{0,2}\d){6,12}"
     r"|(?:\+?1[\s.\-])?\(\d{3}\)\s?\d{3}[\s.\-]\d{4}|(?:1[\s.\-])?(?:\d{3}[\s.\-]555[\s.\-]?\d{4}|[2-9]\d{2}(?P<g>[\s.\-])[2-9]\d{2}(?P=g)\d{4})"
-    r"|0\d(?:[\s.]\d{2}){4}|020\s\d{4}\s\d{4}|1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}"
+    r"|0[1-9]\d{1,2}-\d{3,4}-?\d{4}|0\d(?:[\s.]\d{2}){4}|020\s\d{4}\s\d{4}|1[3-9]\d[\s-]?\d{4}[\s-]?\d{4}"
     r")(?!\w|-\d|\.\d)"
 )
 
@@ -108,7 +112,7 @@ _ID_CUED = re.compile(
     r"|\b(?:dni|nie)\b[\s:.#]*(?:es\b)?\s*[A-Z]?\d{7,8}[\s-]?[A-Z]\b"
     r"|(?:id\s+card|resident\s+id|identity\s+(?:card|number)|national\s+id|id\s+no)\b[\s:.#]*(?:number|no\.?|is)?[\s:.#]*[A-Z]{0,2}\d[\d\s]{6,18}[\dX](?!\w)"
     r"|(?:身份证|证件|护照)(?:号码|号)?\s*(?:是|为|[:：])?\s*[A-Z]{0,2}\d[\d\s]{5,18}[\dX](?![\dA-Z])"
-    r"|(?:s[eé]curit[eé]\s+sociale|steuer-id|(?:steuer)?identifikationsnummer)[\s:.#]*(?:est|ist)?\s*\d[\d\s]{8,18}\d"
+    r"|(?:s[eé]curit[eé]\s+sociale|steuer-id|(?:steuer)?identifikationsnummer)[\s:.#]*(?:est|ist)?\s*\d[\d\s]{8,22}\d"
     r"|(?:carte\s+(?:nationale\s+)?d['’]identit[eé]|\bcni)\b[\s:.#]*(?:num[eé]ro|n°|nº|no)?[\s:.#]*(?:est\b)?\s*(?=[A-Z]*\d)[A-Z0-9]{9,12}\b"
     r"|(?:seguridad\s+social|c[eé]dula|\bnif\b)[\s:.#]*(?:n[uú]mero|n\.?[ºo])?[\s:.#]*(?:es\b)?\s*\d[\d\s/.\-]{5,14}\d(?:-?[A-Z])?(?!\w)"
     r"|(?:sozial|renten)versicherungsnummer[\s:.#]*(?:ist\b|lautet\b)?\s*\d{2}\s?\d{6}\s?[A-Z]\s?\d{3}\b"
@@ -135,30 +139,8 @@ _ADDRESS_CUED = re.compile(
 # a name: first name and surname, initial and surname, or one of them; after a certain cue case does not matter
 _WORD = r"[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*"
 _FULL = rf"(?:{_WORD}|[^\W\d_]\.)(?:\s+(?:[^\W\d_]\.\s+)?{_WORD})?"
-_TITLE = r"(?:Dr|Prof|Mr|Mrs|Ms|Frau|Herrn?|Sra?|Señora?|Mme|M)"
-_ROLE = r"(?:sister|brother|mother|father|wife|husband|daughter|son|boss|friend|neighbou?r|colleague|manager|doctor)"
-_NAMES = re.compile(
-    rf"(?i:(?:my\s+name\s+is|my\s+name's|me\s+llamo|je\s+m['’]appelle|ich\s+hei(?:ß|ss)e|mein\s+name\s+ist|mi\s+nombre\s+es|mon\s+nom\s+est)\s+(?P<a>{_FULL}))"
-    rf"|(?i:\bI['’]m\s+(?P<b>{_FULL}),\s+by\s+the\s+way)"
-    rf"|\bI\s?['’]?a?m\s+(?P<c>{_CAP}\s+{_CAP})(?=[,.;]|\s+and\b|\s+-)"
-    rf"|(?i:\bsigned,\s+(?P<d>{_FULL}))(?=\s*(?:[,.;。，；!)]|-|$|\s+and\b))"
-    rf"|(?i:\bthis\s+is\s+(?P<e>{_FULL})\s+(?:again|speaking|here)\b)"
-    rf"|(?i:\bcc\s+(?P<f>{_FULL})\s+(?:please|pls)\b)"
-    rf"|(?i:\bask\s+for\s+(?P<g>{_FULL})\s+at\s+the\b)"
-    rf"|(?i:\bregistered\s+as\s+(?P<h>{_WORD},\s+{_WORD}))"
-    rf"|(?i:\bmy\s+{_ROLE}\s+(?P<i>{_FULL})\s+(?:knows|said|says|has|will|agreed|told)\b)"
-    rf"|(?i:\bmi\s+jef[ae],\s+(?P<j>{_FULL}),)"
-    rf"|(?i:(?P<k>{_FULL})\s+\(my\s+{_ROLE}\))"
-    rf"|(?i:\btalk\s+to\s+(?:{_TITLE}\.?\s+)?(?P<m>{_FULL})\s+about\b)"
-    rf"|\b{_TITLE}\.?\s+(?P<n>(?:[A-Z]\.\s+)*{_CAP}(?:\s+{_CAP})?)"
-    r"|(?:我叫|我的名字是|名字叫|落款[：:]\s*)(?P<o>[一-鿿]{2,4})(?=[，。；,;！!）)\s]|$)"
-    r"|找(?P<p>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生|同学)|联系人[是：:]\s*(?P<q>[一-鿿]{2,4}?)(?:老师|女士|先生|经理|医生|[，。；,;]|$)"
-    r"|我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|母亲|父亲|老婆|妻子|丈夫|老公|女儿|儿子|同事|朋友|邻居|老板|经理|上司|医生)(?P<s>[一-鿿]{2,4}?)(?=知道|说|有|会|同意|要|在|把|已)"
-    r"|(?:^|(?<=[，。；,;！!\s]))(?P<t>[一-鿿]{2,4})[（(]我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|同事|朋友|邻居|老板|经理|上司|医生|老师|室友)[）)]"
-    r"|我是(?P<r>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生)"
-)
 # Words a name cannot begin or end with.
-_NO_NAME = set("the a an and or but not so to of in at on for my our your his her their this that it i we you they he she is was who what when how again please very".split())
+_NO_NAME = set("the a an and or but not so to of in at on for my our your his her their this that it i we you they he she is was who what when where how again please very".split())
 
 # Words that say who somebody is, and what only people do, in the languages of the data.
 _ROLES = {
@@ -177,6 +159,11 @@ _SAYS = (
 )
 _ALONE = r"said|says|told|asked|replied|phoned|texted|whispered|laughed|dijo|preguntó|respondió|a\s+dit|a\s+répondu|sagte|meinte|antwortete"
 _HOLDS = r"has|had|will|can|is|was|brought|took|keeps|wants|hat|ist|war|will|kann|kommt|wohnt|est|habite|vient|tiene|es|vive|viene|va|vendrá"
+# What a name is followed by when its clause goes on.
+_ON = (
+    r"and|or|but|please|pls|at|in|on|about|for|to|from|with|when|if|before|after|by|again|here|speaking|calling|writing|today|tomorrow|tonight|now|too|who|because|as|so|since|then"
+    r"|y|o|pero|por|en|sobre|para|con|cuando|hoy|mañana|et|ou|mais|à|au|aux|chez|sur|pour|avec|quand|demain|und|oder|aber|bitte|im|am|um|wegen|über|mit|wenn|heute|morgen"
+)
 _TITLES = (
     r"Dr|Dra|Prof|Mr|Mrs|Ms|Miss|Mx|Frau|Herrn?|Sra?|Srta|Señor(?:a|ita)?|Mme|Mlle|Madame|Monsieur|Mademoiselle|Maître|Docteure?|Doctora?|Doktor|Professor(?:in)?|Profesora?|Don|Doña|Uncle|Aunt"
 )
@@ -184,28 +171,54 @@ _ASK = (
     r"talk(?:ed|ing)?\s+(?:to|with)|sp(?:eak|oke|oken)\s+(?:to|with)|ask(?:ed)?\s+for|cc|regards,|cheers,|dear|hablar\s+con|hablé\s+con|habla\s+con|pregunt(?:ar|a|e)\s+por|estimad[oa]|querid[oa]|parler\s+(?:à|avec)|parlé\s+(?:à|avec)|demande[rz]|ch[eè]re?|cordialement,"
     r"|sprich\s+mit|gesprochen\s+mit|frag(?:\s+nach|e)|liebe[r]?|sehr\s+geehrte[r]?|grüße,?|saludos,|firmado,?|signé,?|gezeichnet,?|atentamente,"
 )
+_END = rf"(?=\s*(?:[,.;:!?)\]。，；：！？）]|$)|\s+(?:[-–—]|(?i:{_ON}|{_SAYS}|{_HOLDS})\b))"
+_ANY = r"[^\W\d_]{2,}(?:['’\-][^\W\d_]+)*"
+_PAIR = rf"(?:{_ANY}|[^\W\d_]\.)\s+(?:[^\W\d_]\.\s+)?{_ANY}"
+# names in any case: where the cue and the end of the name leave little else; lower-case ones are checked word by word
+_NAMES = re.compile(
+    rf"(?i:\b(?:my\s+name\s+is|my\s+name['’]s|me\s+llamo|mi\s+nombre\s+es|je\s+m['’]appelle|mon\s+nom\s+est|ich\s+hei(?:ß|ss)e|mein\s+name\s+ist)\s+(?P<intro>{_FULL}))"
+    rf"|(?i:\b(?:signed|yours|sincerely|firmado|signé|gezeichnet)\s*[,:]\s*(?P<sign>{_FULL})){_END}"
+    rf"|(?i:\b(?:this\s+is|I\s?['’]?a?m|soy|c['’]est|hier\s+ist)\s+(?P<self>{_PAIR}),?\s+(?:again|here|speaking|calling|writing|from|by\s+the\s+way|btw|de\s+nuevo|encore|nochmal|vom|von)\b)"
+    rf"|\bI\s?['’]?a?m\s+(?P<am>{_CAP}\s+{_CAP})(?=[,.;]|\s+and\b|\s+-)"
+    rf"|(?i:\b(?:cc|talk\s+(?:to|with)|sp(?:eak|oke)\s+(?:to|with)|ask(?:ed)?\s+for|on\s+behalf\s+of|attn|c/o)[:.]?\s+(?P<two>{_PAIR})){_END}"
+    rf"|(?i:\b(?:registered|listed|booked|filed|known)\s+(?:as|under)\s+(?P<entry>{_ANY},\s+{_ANY})){_END}"
+    r"|(?:我叫|我的名字是|名字叫|落款[：:]\s*)(?P<o>[一-鿿]{2,4})(?=[，。；,;！!）)\s]|$)"
+    r"|找(?P<p>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生|同学)|联系人[是：:]\s*(?P<q>[一-鿿]{2,4}?)(?:老师|女士|先生|经理|医生|[，。；,;]|$)"
+    r"|我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|母亲|父亲|老婆|妻子|丈夫|老公|女儿|儿子|同事|朋友|邻居|老板|经理|上司|医生)(?P<s>[一-鿿]{2,4}?)(?=知道|说|有|会|同意|要|在|把|已)"
+    r"|(?:^|(?<=[，。；,;！!\s]))(?P<t>[一-鿿]{2,4})[（(]我的?(?:妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|同事|朋友|邻居|老板|经理|上司|医生|老师|室友)[）)]"
+    r"|我是(?P<r>[一-鿿]{2,4})(?:老师|女士|先生|经理|医生)"
+)
 _PART = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _LINK = r"(?:[A-Z]\.\s+|(?:de\s+la|de\s+los|del|de|van\s+der|van|von|du|le|di|da)\s+)"
 _WHOLE = rf"(?:[A-Z]\.\s?)*{_PART}(?:\s+{_LINK}?{_PART}){{0,2}}"
+_MY_ROLE = "|".join(rf"(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})" for lang in _ROLES)
 _NAMES_CUED = re.compile(
     "|".join(rf"(?i:\b(?:{_MINE[lang]})\s+(?:[a-zà-ÿ]+\s+)?(?:{_ROLES[lang]}))(?:\s*,)?\s+(?P<role_{lang}>{_WHOLE})" for lang in _ROLES)
-    + rf"|(?P<back>{_WHOLE})\s*[,(]\s*(?i:{'|'.join(rf'(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})' for lang in _ROLES)})\b"
-    + rf"|(?i:\b(?:{'|'.join(rf'(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})' for lang in _ROLES)}),?\s+(?P<low>{_FULL}),?\s+(?:{_SAYS}|{_HOLDS})\b)"
+    + rf"|(?P<back>{_WHOLE})\s*[,(]\s*(?i:{'|'.join(rf'(?:{_MINE[lang]})\s+(?:{_ROLES[lang]})' for lang in _ROLES)})\b(?!\s+{_PART})"
+    + rf"|(?i:\b(?:{_MY_ROLE}),?\s+(?P<low>{_FULL}),?\s+(?:{_SAYS}|{_HOLDS})\b)"
+    + rf"|(?i:\b(?:{_MY_ROLE}),\s+(?P<aside>{_PAIR}),)|(?i:(?P<backlow>{_PAIR})\s*\((?:{_MY_ROLE})\))"
     + rf"|(?i:(?<![\w.])(?P<initial>(?:[^\W\d_]\.\s+)+{_WORD})\s+(?:{_SAYS}|{_HOLDS})\b)|(?<![\w.])(?P<initials>(?:[A-Z]\.\s?)+\s?{_PART})(?=\s*[,;.!?)]|\s+[a-zà-ÿ]|$)"
     + rf"|\b(?i:{_TITLES})\.?\s+(?P<titled>(?:[A-Z]\.\s?)*{_PART}(?:\s+{_LINK}?{_PART})?)"
-    + rf"|(?i:(?<!\w)(?:dr|prof|mr|mrs|frau|herrn?|sra|señora?|mme)\.?\s+(?P<titlelow>(?:[^\W\d_]\.\s+)*{_WORD}(?:\s+{_WORD})?)\s+(?:{_SAYS}|{_HOLDS})\b)"
+    + rf"|(?i:(?<!\w)(?:dr|prof|mr|mrs|ms|frau|herrn?|sra|señora?|mme)\.?\s+(?P<titlelow>(?:[^\W\d_]\.\s+)*{_WORD}(?:\s+{_WORD})?)){_END}"
     + rf"|\b(?i:{_ASK})\s+(?:(?i:{_TITLES})\.?\s+)?(?P<asked>{_WHOLE})"
+    + rf"|\b(?i:met|meet|meeting|saw|visited|hired|married|thanked|invited|interviewed|rencontré|vu|conocí\s+a|vi\s+a)\s+(?:with\s+)?(?P<met>{_PART}\s+{_LINK}?{_PART})"
     + rf"|(?P<says>{_PART}\s+{_LINK}?{_PART})\s+(?:{_SAYS})\b|(?P<alone>{_PART})\s+(?:{_ALONE})\b"
 )
 _HAN_ROLE = "妹妹|姐姐|哥哥|弟弟|妈妈|爸爸|母亲|父亲|老婆|妻子|丈夫|老公|女儿|儿子|表姐|表妹|表哥|表弟|堂姐|堂妹|堂哥|堂弟|同事|朋友|邻居|老板|经理|上司|医生|老师|室友|同学|男友|女友|男朋友|女朋友|阿姨|叔叔|舅舅|姑姑|奶奶|爷爷|外婆|外公|房东|律师"
 _HAN_TITLE = "老师|女士|先生|经理|医生|教授|律师|阿姨|叔叔|护士|主任|师傅|小姐|同学|博士|总监"
 _HAN_SAYS = "说|告诉|问我|打电话|打来|写道|回复|提醒|答应|通知|建议"
-_HAN_NEXT = "说打来在是有会把的了和跟去给要想没不很也都已告让叫问发写知同提答通建回昨今明刚住带从到对送做"
+_HAN_VERBS = "说打来在是有会把的了和跟去给要想没不很也都告让叫问发写请"
+_HAN_NEXT = "请说打来在是有会把的了和跟去给要想没不很也都已告让叫问发写知同提答通建回昨今明刚住带从到对送做"
+_HAN_WHEN = "昨天|今天|明天|早上|晚上|刚才|刚刚|上周|下周"
+_HAN_SELF = rf"(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿]"
+# a second character of the given name, if the clause goes on after it as after a name
+_HAN_MORE = rf"(?:(?![{_HAN_VERBS}])[一-鿿](?=[{_HAN_NEXT}，。；,;！!？?）)\s]|$))?"
 _HAN_NAMES = re.compile(
-    rf"(?:{_HAN_ROLE})[，：:、]?(?P<s>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿](?:(?![{_HAN_NEXT}])[一-鿿])?)(?=[{_HAN_NEXT}，。；,;！!？?）)\s]|$)"
-    rf"|(?:^|[^一-鿿]|[和跟找给问请叫让由对向从与是见])(?P<t>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿]{{0,2}}?)(?={_HAN_TITLE})"
-    rf"|(?:^|[^一-鿿]|昨天|今天|早上|晚上|刚才|上周|听|和|跟|找|给|问|请|叫)(?P<u>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿](?:(?![{_HAN_NEXT}])[一-鿿])?)(?={_HAN_SAYS})"
+    rf"(?:{_HAN_ROLE})[，：:、]?(?P<s>{_HAN_SELF}{_HAN_MORE})(?=[{_HAN_NEXT}，。；,;！!？?）)\s]|$)"
+    rf"|(?:^|[^一-鿿]|{_HAN_WHEN}|[和跟找给问请叫让由对向从与是见])(?P<t>(?:{HAN_DOUBLE}|[{HAN_SURE}])[一-鿿]{{0,2}}?)(?={_HAN_TITLE})"
+    rf"|(?:^|[^一-鿿]|{_HAN_WHEN}|听|[和跟找给问请叫])(?P<u>{_HAN_SELF}{_HAN_MORE})(?={_HAN_SAYS})"
     rf"|(?:^|[^一-鿿]|[和跟找给问请叫让])(?P<v>[小老](?:[{HAN_SURE}]))(?={_HAN_SAYS})"
+    rf"|(?:^|[^一-鿿]|{_HAN_WHEN}|[和跟找给问让])(?P<w>{_HAN_SELF}(?![{_HAN_VERBS}])[一-鿿])(?={_HAN_WHEN}|一起|请假|住在|来了|去了)"
 )
 _HAN_NOT = set("高兴 周末 方便 安全 成功 常常 经常 平时 金额 许多 程序 程度 黄金 黄色 何时 任何 严重 孔子 谢谢 张罗 于是 任课 罗列 唐突 江湖 白天 马上 温度 叶子 段落 应该 卢布 周围 周日 周一 周二 周三 周四 周五 周六 孟子 陈述 陈列 许可 曹操 莫非 莫名 顾客 顾问 余额 严格 范围 史诗 施工 章节 方案".split())
 # Words a name does not contain, and words beside a name that make it something else.
@@ -218,9 +231,11 @@ _NOT_NAMES = set(
     " customer customers colleagues siri alexa google chatgpt claude copilot twitter reddit wikipedia slack github jira amazon apple microsoft sir madam all".split()
 )
 _OFTEN_ELSE = re.compile(r"(?i:demand|frag|liebe|cher|chère|querid)")  # cues that often stand before something else
-_THING_BEFORE = re.compile(r"(?i:project|projekt|proyecto|projet|operation|code\s?name|branch|cluster|server|release|san|santa|santo|sankt|saint|sainte|st\.?|lake|mount|port|fort|hotel|café|hurricane|place|rue|calle|avenue|plaza|university|universidad|team|app|tool|library|package)\s+$")
+_THING_BEFORE = re.compile(r"(?i:(?<!\w)(?:project|projekt|proyecto|projet|operation|code\s?name|branch|cluster|server|release|san|santa|santo|sankt|saint|sainte|st\.?|lake|mount|port|fort|hotel|café|hurricane|place|rue|calle|avenue|plaza|university|universidad|team|app|tool|library|package))\s+$")
 _THING_AFTER = re.compile(r"(?i:['’]?\s+(?:street|road|avenue|lane|square|project|server|cluster|county|island|university|airport|hospital|beach|bay|branch|release|library|framework|api|app)\b)")
-_KNOWN = re.compile(rf"(?<![\w@/.#_\-])(?:(?:[A-Z]\.\s?)+)?({_PART})(?![\w@/_]|\.\w)")
+_KNOWN = re.compile(rf"(?:(?<![\w@/.#_\-])|(?<=\b[A-Z]\.))({_PART})(?![\w@/_]|\.\w)")
+_INITIAL_BEFORE = re.compile(r"(?<![\w@/.#_\-])[A-Z]\.\s?$")
+_PART_BEFORE = re.compile(rf"(?<![\w@/.#_\-])({_PART})\s+$")
 _KNOWN_LOW = re.compile(r"(?<![\w@/.#_\-])([^\W\d_]{2,})\s+([^\W\d_]{3,})(?![\w@/_]|\.\w)")
 _NEXT_PART = re.compile(rf"\s+{_LINK}?({_PART})(?![\w@/_]|\.\w)")
 
@@ -240,18 +255,24 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
     return words[0][0], words[-1][1]
 
 
+_IS_TITLE = re.compile(rf"(?i:{_TITLES})\.?")
+
+
 def _cued(text: str, m: re.Match) -> tuple[int, int] | None:
     group = m.lastgroup
     a, b = m.span(group)
-    words = [w.lower() for w in text[a:b].split()]
+    words = [w.lower().strip(".,") for w in text[a:b].split() if len(w) > 2 or w[-1] != "."]  # initials aside
     known = any(w in GIVEN or w in SHARED or w in SURNAMES for w in words)
-    if group == "initial" and text[a].islower() and words[-1] != text[a:b].split()[-1]:
-        return None
-    if group in ("low", "initial", "titlelow"):
-        return None if any(w in _NOT_NAMES or w in _NO_NAME for w in words) or (group == "low" and not known) else (a, b)
+    if group in ("low", "aside", "backlow", "initial", "titlelow"):
+        if any(w in _NOT_NAMES or w in COMMON for w in words):
+            return None
+        before = text[m.start() : a].split()
+        if text[a].islower() and before and before[-1][0].isupper() and group == "low":
+            return None  # where nouns are capitalised, names are
+        return (a, b) if known or group != "low" or not any(w.endswith("ly") for w in words) else None
     if not known:
-        after = re.match(rf"\s*(?:[,.;:!?)]|$)|\s+(?:{_SAYS}|{_HOLDS})\b", text[b:])
-        if not after and (group == "role_de" or text[:a].rstrip().endswith(",")):  # every noun is capitalised; a new clause
+        after = re.match(rf"\s*(?:[,.;:!?)]|$)|\s+(?:{_SAYS}|{_HOLDS})\b", text[b : b + 24])
+        if not after and group != "back" and (group == "role_de" or text[:a].rstrip()[-1:] == ","):  # every noun is capitalised; a new clause
             return None
         if text[a:b].isupper() and re.search(r"\w[A-ZÄÖÜ]", text[m.start() : a]):
             return None
@@ -259,65 +280,93 @@ def _cued(text: str, m: re.Match) -> tuple[int, int] | None:
             return None
         if text[a:b].isupper() and text[max(0, a - 12) : a].isupper() or text[b : b + 12].isupper() and text[a:b].isupper():
             return None  # capitals say nothing in a text of capitals
-    if _THING_BEFORE.search(text[max(0, a - 16) : a]) or _THING_AFTER.match(text, b):
+    if _THING_BEFORE.search(text, max(0, a - 16), a) or _THING_AFTER.match(text, b):
         return None
     return _trimmed(text, a, b)
 
 
-def _known(text: str) -> Iterator[tuple[int, int]]:
-    """Names that the lists tell: a known given name with what belongs to it, or a known surname."""
+def _known(text: str, spots: list[int]) -> Iterator[tuple[int, int]]:
+    """Names that the lists tell, at the places where a listed name stands: with what belongs to it."""
     last = 0
-    before: re.Match | None = None
-    for m in _KNOWN.finditer(text):
+    for at in spots:
+        m = _KNOWN.match(text, at)
+        if not m or at < last:
+            continue
         word = m.group(1).lower()
+        size = 2 if word.endswith(("'s", "’s")) else 0  # a genitive
+        word = word[: len(word) - size]
         given, shared = word in GIVEN or (("-" in word) and word.split("-")[0] in GIVEN), word in SHARED
-        if m.start() >= last and (given or shared or word in ONLY_SURNAMES):
-            a, b = m.span()
+        if given or shared or word in ONLY_SURNAMES:
+            a, b = _initials(text, m.start()), m.end() - size
             n = _NEXT_PART.match(text, b)
             if n and (n.group(1).lower() in _NOT_NAMES or text[a:b].isupper() != n.group(1).isupper()):
                 n = None
             if word in ONLY_SURNAMES and not given and not shared:
-                if before and text[before.end() : a].isspace() and before.group(1).lower() not in _NOT_NAMES and not text[a:b].isupper():
-                    a = max(last, before.start())
+                before = _PART_BEFORE.search(text, last, a)
+                if before and before.group(1).lower() not in _NOT_NAMES and not text[a:b].isupper():
+                    a = before.start(1)
             elif shared:
                 b = n.end() if n and n.group(1).lower() in SURNAMES else -1
             elif n and (n.group(1).lower() in SURNAMES or not text[a:b].isupper()):
                 b = n.end()
                 if (f := _NEXT_PART.match(text, b)) and f.group(1).lower() in SURNAMES:
                     b = f.end()
-            if b > 0 and not _THING_BEFORE.search(text[max(0, a - 16) : a]) and not _THING_AFTER.match(text, b):
+            if b > 0 and not _THING_BEFORE.search(text, max(0, a - 16), a) and not _THING_AFTER.match(text, b):
                 last = b
                 yield a, b
-        before = m
-    for m in _KNOWN_LOW.finditer(text) if text.islower() else ():
-        if m.group(1) in GIVEN and m.group(2) in SURNAMES:
-            yield m.span()
+    if spots and text.islower():
+        for at in spots:
+            m = _KNOWN_LOW.match(text, at)
+            if m and m.group(1) in GIVEN and m.group(2) in SURNAMES:
+                yield m.span()
+
+
+def _initials(text: str, a: int) -> int:
+    """Where a name begins if initials stand before its part at ``a``."""
+    while (m := _INITIAL_BEFORE.search(text, max(0, a - 4), a)) is not None:
+        a = m.start()
+    return a
+
+
+_GAP = re.compile(r"\W+|$")
 
 
-def _names(text: str, windows: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _names(text: str, windows: list[tuple[int, int]], spots: list[int]) -> Iterator[tuple[int, int]]:
     """Names after or before a cue, then names of the lists."""
     for a, b in windows:
         part = text[a:b]
+        letters = _LETTER.search(part)
         for m in _NAMES.finditer(part):
             if span := _person(m):
                 yield a + span[0], a + span[1]
-        for m in _NAMES_CUED.finditer(part) if _LETTER.search(part) else ():
-            if span := _cued(part, m):
+        m = _NAMES_CUED.search(part) if letters else None
+        while m is not None:
+            span = _cued(part, m)
+            if span:
                 yield a + span[0], a + span[1]
+            # what was no name there may be the cue of the next one
+            m = _NAMES_CUED.search(part, m.end() if span else _GAP.search(part, m.start() + 1).end())
         for m in () if part.isascii() else _HAN_NAMES.finditer(part):
             if m.group(m.lastgroup)[:2] not in _HAN_NOT:
                 x, y = m.span(m.lastgroup)
                 yield a + x, a + y
-    yield from _known(text)
+    yield from _known(text, spots)
 
 
 @cache
 def automaton() -> ahocorasick.Automaton:
-    """All cues of all kinds in one automaton; a cue may belong to several kinds."""
+    """All cues of all kinds, pairs of digits and known names in one automaton; a cue may belong to several kinds."""
     kinds: dict[str, list[str]] = defaultdict(list)
     for kind, cues in ANCHORS.items():
         for c in cues:
             kinds[c].append(kind)
+    for n in range(100):
+        kinds[f"{n:02}"] += ["phone", "id_number"]
+    for word in _SPOKEN.split("|"):
+        kinds[f"{word} "].append("phone")
+        kinds[f"{word}-"].append("phone")
+    for name in GIVEN | SHARED | ONLY_SURNAMES:
+        kinds[name].append("name")
     out = ahocorasick.Automaton()
     for cue, of in kinds.items():
         out.add_word(cue, (len(cue), tuple(of)))
@@ -325,8 +374,7 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-_SCHEMES = re.compile(r"\b00[1-9]\d{0,2}[ .(-]|\d{3}-\d{2}-\d{4}|\d{15}|\d{6} \d{8} \d|\d{11}|\d{8}-[A-Za-z]\b|\d[\s.\-)]{1,2}\d{3}[\s.\-]\d{4}|0\d[. ]\d\d[. ]\d\d|020 \d{4}|(?:zero|one|two|three|four|five|six|seven|eight|nine) (?:zero|one|two|three|four|five|six|seven|eight|nine)", re.I)
-_ODD = re.compile(rf"[{re.escape(INVISIBLE)}{re.escape(''.join(k for k in LOOK_ALIKES if not k.isascii()))}\u00a0\u2000-\u200a\u202f\u2010\u2011\ufb00-\ufb06\uff01\uff03-\uff07\uff0a\uff0b\uff0d-\uff19\uff20-\uff5a\u0300-\u036f]|（(?=\d)")
+_ODD = re.compile(rf"[{re.escape(INVISIBLE)}{re.escape(''.join(k for k in LOOK_ALIKES if not k.isascii()))}\u00a0\u2000-\u200a\u202f\u2010\u2011\u2012\u2212\u3000\ufb00-\ufb06\uff01\uff03-\uff07\uff0a\uff0b\uff0d-\uff19\uff20-\uff5a\u0300-\u036f]|（(?=\d)")
 
 
 def readable(text: str) -> tuple[str, list[int] | None]:
@@ -352,21 +400,14 @@ def readable(text: str) -> tuple[str, list[int] | None]:
 def _person(m: re.Match) -> tuple[int, int] | None:
     group = m.lastgroup
     a, b = m.span(group)
-    name = m.group(group)
     if group in "opqrst":
         return (a, b)
-    words = name.replace(",", " ").split()
-    if group == "k":  # whatever stands before: at most the last two words, not common ones
-        while words and words[0].lower() in _NO_NAME:
-            a += len(words[0]) + 1
-            words = words[1:]
-        if any(w[0].isupper() for w in words):
-            while words and not words[0][0].isupper():
-                a += len(words[0]) + 1
-                words = words[1:]
-    if not words or words[0].lower() in _NO_NAME or words[-1].lower() in _NO_NAME:
-        return None
-    return (a, b)
+    words = m.group(group).replace(",", " ").lower().split()
+    if group in ("intro", "sign", "am", "entry"):
+        return None if words[0] in _NO_NAME or words[-1] in _NO_NAME else (a, b)
+    if _IS_TITLE.fullmatch(words[0]):
+        return None  # the name after a title is found by itself
+    return None if any(w.strip(".") in COMMON or w in _NOT_NAMES for w in words) else (a, b)
 
 
 _VALUE = re.compile(r"(?<![A-Za-z])[A-Za-z]{2}\s?(?:\d{2}\s?){3}[A-Da-d]$|(?<![A-Za-z])(?:[A-Za-z]{1,3}(?=\s?\d{5}))?\d[\w\s.\-]*$|(?<![A-Za-z])[A-Za-z]{1,3}\d[\w\s.\-]*$")
@@ -388,29 +429,100 @@ def _bounds(kind: str, m: re.Match) -> tuple[int, int] | None:
     return a, b
 
 
+# Digits of a telephone number after its country code, by code (fewest, most), and of all others.
+_PHONE_LENGTHS = {"1": (10, 10), "33": (9, 9), "34": (9, 9), "44": (9, 10), "49": (6, 12), "86": (10, 11), "39": (8, 11), "41": (9, 9), "43": (6, 13), "": (7, 12)}
+# Weights and check characters of Chinese identity numbers; check letters of Spanish ones; provinces.
+_CN_WEIGHTS, _CN_CHECK = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2), "10X98765432"
+_ES_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+_CN_PROVINCES = frozenset("11 12 13 14 15 21 22 23 31 32 33 34 35 36 37 41 42 43 44 45 46 50 51 52 53 54 61 62 63 64 65 71 81 82 91".split())
+
+
+def valid_id(number: str) -> bool:
+    """Whether a number that nothing announces is an identity number: by its check digit, check letter or range."""
+    n = re.sub(r"[\s-]", "", number).upper()
+    if re.fullmatch(r"\d{17}[\dX]", n):
+        return n[:2] in _CN_PROVINCES and _CN_CHECK[sum(int(d) * w for d, w in zip(n, _CN_WEIGHTS, strict=False)) % 11] == n[-1]
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", number):
+        return n[:3] not in ("000", "666") and n[0] != "9" and n[3:5] != "00" and n[5:] != "0000"
+    if re.fullmatch(r"[XYZ\d]\d{7}[A-Z]", n):
+        return _ES_LETTERS[int(n[:-1].translate(str.maketrans("XYZ", "012"))) % 23] == n[-1]
+    if re.fullmatch(r"[12]\d{12}(?:\d{2})?", n):
+        month = int(n[3:5])
+        return (1 <= month <= 12 or 20 <= month <= 42 or 50 <= month) and (len(n) == 13 or 97 - int(n[:13]) % 97 == int(n[13:]))
+    return False
+
+
+def valid_phone(number: str) -> bool:
+    """Whether a number that nothing announces has a telephone number's length, by its country code."""
+    international = re.match(r"\s*(?:\+|00)", number)
+    digits = re.sub(r"\D", "", number.replace("(0)", ""))
+    if not international:
+        return 9 <= len(digits) <= 13
+    digits = digits.removeprefix("00")
+    code = next((c for c in _PHONE_LENGTHS if c and digits.startswith(c)), "")
+    low, high = _PHONE_LENGTHS[code]
+    size = len(digits) - len(code)
+    return low <= size <= high or (size == high + 1 and digits[len(code)] == "0") or (not code and low <= size <= high + 3)
+
+
 def _phones(part: str) -> Iterator[tuple[int, int]]:
     for m in _PHONE_CUED.finditer(part):
         group = "n" if m.group("n") else "c"
         digits = sum(c.isdigit() for c in re.split(r"(?i)ext|x", m.group(group))[0])
         if 7 <= digits <= 15:
             yield m.span(group)
-    for pattern in (_PHONE_FORMS, _PHONE_SPOKEN):
-        for m in pattern.finditer(part):
+    for m in _PHONE_FORMS.finditer(part):
+        if valid_phone(m.group()):
             yield m.span()
+    for m in _PHONE_SPOKEN.finditer(part):
+        yield m.span()
 
 
-def _windows(spots: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
-    a = b = -1
-    for x, y in sorted(spots):
-        x, y = max(0, x - REACH_BACK), min(size, y + REACH_ON)
-        if x <= b:
-            b = max(b, y)
-        else:
-            if b >= 0:
-                yield a, b
-            a, b = x, y
-    if b >= 0:
-        yield a, b
+def _ids(part: str) -> Iterator[tuple[int, int]]:
+    for m in _ID_CUED.finditer(part):
+        yield _bounds("id_number", m)
+    for m in _ID_FORMS.finditer(part):
+        if valid_id(m.group()):
+            yield m.span()
+
+
+_BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
+
+
+def _paragraphs(text: str) -> list[int]:
+    """Where the paragraphs of a text begin, and its end."""
+    return [0, *(m.end() for m in _BLANK_LINE.finditer(text)), len(text)]
+
+
+#: Where no name goes on: ends of sentences and clauses, but not the full stop of an initial or a title.
+_CLAUSE_END = re.compile(r"[;!?。！？；\n]|(?<=[^\W\d_A-Z]{3})(?<!(?i:prof))(?<!(?i:srta))(?<!(?i:mlle))(?<!(?i:attn))\.(?=\s)")
+
+
+def _clauses(text: str) -> list[int]:
+    """Where the clauses of a text begin, and its end."""
+    return [0, *(m.end() for m in _CLAUSE_END.finditer(text)), len(text)]
+
+
+def _windows(spots: list[int], edges: list[int]) -> Iterator[tuple[int, int]]:
+    """The paragraphs or clauses in which an anchor stands."""
+    done = -1
+    for at in spots:
+        if at >= done:
+            k = bisect_left(edges, at + 1) - 1
+            done = edges[k + 1]
+            yield edges[k], done
+
+
+class _Spans:
+    """What is found, without overlaps: what is taken is not taken again."""
+
+    def __init__(self) -> None:
+        self.taken: list[tuple[int, int, str]] = []
+
+    def add(self, kind: str, a: int, b: int) -> None:
+        k = bisect_left(self.taken, (a,))
+        if (k == 0 or self.taken[k - 1][1] <= a) and (k == len(self.taken) or self.taken[k][0] >= b):
+            insort(self.taken, (a, b, kind))
 
 
 _PERSON = ("person",)
@@ -421,7 +533,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if not text:
         return []
     plain, at = readable(text)
-    spots: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    spots: dict[str, list[int]] = defaultdict(list)
     lower = plain.lower()
     if len(lower) != len(plain):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
@@ -430,38 +542,28 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         if kinds == _PERSON and a and lower[a].isalpha() and lower[a - 1].isalpha() and lower[a] < "一":
             continue  # the end of another word
         for kind in kinds:
-            spots[kind].append((a, end + 1))
-    for m in _SCHEMES.finditer(plain):
-        spots["phone"].append(m.span())
-        spots["id_number"].append(m.span())
-    found: list[tuple[int, int, str]] = []
-
-    def add(kind: str, a: int, b: int) -> None:
-        if not any(x < b and a < y for x, y, _ in found):
-            found.append((a, b, kind))
-
-    # papers before numbers, numbers before streets and names: what is taken is not taken again
-    for kind, patterns in (("email", (_EMAIL,)), ("id_number", (_ID_CUED, _ID_FORMS)), ("phone", ()), ("address", (_ADDRESS, _ADDRESS_CUED)), ("person", ())):
-        if kind == "person":
-            for x, y in _names(plain, list(_windows(spots[kind], len(plain)))):
-                add(kind, x, y)
-            continue
-        if kind not in spots:
-            continue
-        for a, b in _windows(spots[kind], len(plain)):
+            spots[kind].append(a)
+    edges = _paragraphs(plain)
+    found = _Spans()
+    # papers before numbers, numbers before streets and names
+    for kind, parse in _PARSERS.items():
+        for a, b in _windows(sorted(spots[kind]), edges) if kind in spots else ():
             part = plain[a:b]
-            if kind == "phone":
-                for x, y in _phones(part):
-                    add(kind, a + x, a + y)
-                continue
-            for pattern in patterns:
-                for m in pattern.finditer(part):
-                    if span := _bounds(kind, m):
-                        add(kind, a + span[0], a + span[1])
-    found.sort()
-    if at is not None:
-        found = [(at[x], at[y - 1] + 1 if at[y] <= at[y - 1] else at[y], k) for x, y, k in found]
-    return found
+            for x, y in parse(part):
+                found.add(kind, a + x, a + y)
+    if "person" in spots or "name" in spots:
+        for a, b in _names(plain, list(_windows(sorted(spots["person"]), _clauses(plain))) if "person" in spots else [], sorted(spots["name"])):
+            found.add("person", a, b)
+    if at is None:
+        return found.taken
+    return [(at[x], at[y - 1] + 1 if at[y] <= at[y - 1] else at[y], k) for x, y, k in found.taken]
+
+
+def _matches(kind: str, *patterns: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda part: (_bounds(kind, m) for p in patterns for m in p.finditer(part))
+
+
+_PARSERS = {"email": _matches("email", _EMAIL), "id_number": _ids, "phone": _phones, "address": _matches("address", _ADDRESS, _ADDRESS_CUED)}
 
 
 def redact(text: str | None, found: list[tuple[int, int, str]] | None = None) -> str | None:
@@ -480,7 +582,7 @@ def scan_pii(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     One row per input row: repeated rows stay, null texts give null, empty
     texts give an empty list. Positions count characters of the stored text.
-    Nothing is shuffled; very long texts are only looked at around anchors.
+    Nothing is shuffled; of very long texts only paragraphs with anchors are parsed.
     """
     rows = df.select(*keep, F.col(text_col).cast("string").alias("_text"))
 
