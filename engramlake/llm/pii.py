@@ -23,11 +23,12 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.llm.canonical import INVISIBLE, LOOK_ALIKES, transducer
+from engramlake.llm.canonical import transducer
 from engramlake.llm.names import COMMON, GIVEN, HAN_DOUBLE, HAN_SURE, ONLY_SURNAMES, SHARED, SURNAMES
 
 KINDS = ("person", "email", "phone", "id_number", "address")
@@ -363,8 +364,8 @@ def automaton() -> ahocorasick.Automaton:
     for n in range(100):
         kinds[f"{n:02}"] += ["phone", "id_number"]
     for word in _SPOKEN.split("|"):
-        kinds[f"{word} "].append("phone")
-        kinds[f"{word}-"].append("phone")
+        for after in " ,-":
+            kinds[word + after] += ["phone", "spoken"]
     for name in GIVEN | SHARED | ONLY_SURNAMES:
         kinds[name].append("name")
     out = ahocorasick.Automaton()
@@ -374,18 +375,27 @@ def automaton() -> ahocorasick.Automaton:
     return out
 
 
-_ODD = re.compile(rf"[{re.escape(INVISIBLE)}{re.escape(''.join(k for k in LOOK_ALIKES if not k.isascii()))}\u00a0\u2000-\u200a\u202f\u2010\u2011\u2012\u2212\u3000\ufb00-\ufb06\uff01\uff03-\uff07\uff0a\uff0b\uff0d-\uff19\uff20-\uff5a\u0300-\u036f]|（(?=\d)")
+#: Full-width marks that end Chinese clauses: they stay as they are.
+_CHINESE_MARKS = "，。；：！？"
+
+
+@cache
+def _odd() -> np.ndarray:
+    """By code point: whether a text with it is to be parsed in canonical form."""
+    kind = transducer().kind != 0
+    kind[[ord(c) for c in _CHINESE_MARKS]] = False
+    return kind
 
 
 def readable(text: str) -> tuple[str, list[int] | None]:
     """(text to parse, source position of each of its characters and of its end; None: the same)."""
-    if text.isascii() or not _ODD.search(text):
+    if text.isascii() or not _odd()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
         return text, None
     out: list[str] = []
     at: list[int] = []
     last = 0
     for a, b, new in transducer().edits(text):
-        if text[a:b] in ("，", "。", "；", "：", "！", "？"):  # they end Chinese clauses
+        if text[a:b] in _CHINESE_MARKS:
             continue
         out += (text[last:a], new)
         at.extend(range(last, a))
@@ -525,7 +535,9 @@ class _Spans:
             insort(self.taken, (a, b, kind))
 
 
-_PERSON = ("person",)
+_PERSON, _ADDRESS_ONLY = ("person",), ("address",)
+#: What any number of a person has: six digits near each other.
+_DIGITS = re.compile(r"\d(?:[A-Za-z\s().\-/]{0,3}\d){5}")
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
@@ -541,8 +553,12 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         a = end + 1 - size
         if kinds == _PERSON and a and lower[a].isalpha() and lower[a - 1].isalpha() and lower[a] < "一":
             continue  # the end of another word
+        if kinds == _ADDRESS_ONLY and "a" <= lower[end] <= "z" and lower[end + 1 : end + 2].isalpha():
+            continue  # the beginning of another word
         for kind in kinds:
             spots[kind].append(a)
+    if not ("phone" in spots or "id_number" in spots) or not (_DIGITS.search(plain) or "spoken" in spots):
+        spots.pop("phone", None), spots.pop("id_number", None)
     edges = _paragraphs(plain)
     found = _Spans()
     # papers before numbers, numbers before streets and names
