@@ -1,16 +1,22 @@
 """The most similar vectors for every vector (problem 7).
 
 Balanced posting lists: hierarchical k-means over a bounded sample cuts the
-space into cells of about equal weight; the cells' centroids form an in-memory
-graph, and walking it finds the nearest centroids of a vector. A vector is
-posted to its nearest list and, near a boundary, to every further list whose
-distance is within a ratio of the nearest one. As every vector is also a
-query, the same rule selects the lists a query reads, so one routing serves
-both: two vectors meet where their lists overlap. Inside a list all
-similarities come from matrix products; exact values are kept for the best.
+space into cells of about equal weight, and cells that stay heavy are split
+again; the cells' centroids form an in-memory graph of several layers, each an
+eighth of the one below, and walking down it finds the nearest centroids of a
+vector. A vector is posted to its nearest list and, near a boundary, to every
+further list whose distance is within a ratio of the nearest one. As every
+vector is also a query, the same rule selects the lists a query reads, so one
+routing serves both: two vectors meet where their lists overlap. Inside a list
+all similarities come from matrix products; exact values are kept for the best.
+
+The number of lists grows with the vectors: where the sample's cells would
+hold too many, each is cut into lists of its own, fitted by the executors on
+rows of the cell, so lists keep their length at any size.
 
 Vectors that are equal bit by bit are one point with its smallest ids, so a
-group of copies never fills a list.
+group of copies never fills a list. ``exact_neighbours`` compares with all
+rows instead of lists, for the vectors asked about.
 """
 
 from __future__ import annotations
@@ -20,19 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.session import cut
 
 #: Rows the index is fitted on (all rows are indexed), and wanted points in a list.
-SAMPLE_ROWS, LIST_ROWS = 65_536, 256
+SAMPLE_ROWS, LIST_ROWS = 65_536, 512
 #: A list is read or written if its distance is at most RATIO times the nearest one's; at most MAX_LISTS of them.
 RATIO, MAX_LISTS = 1.08, 3
-#: Expected rows of a list up to which one group holds it; longer lists are cut into blocks, and pairs of blocks meet.
+#: Expected rows of a sample's cell beyond which it is cut into lists of its own.
 BLOCK_ROWS = 8_192
+#: Rows that a list of a cell is fitted on (about), and the heaviest list against the mean.
+FIT_ROWS, HEAVIEST = 64, 2.0
 #: Neighbours of a centroid in the graph, and centroids a walk keeps.
-GRAPH_LINKS, WALK_WIDTH = 48, 16
+GRAPH_LINKS, WALK_WIDTH = 64, 16
+#: Each layer of the graph against the one below.
+LAYER = 8
+#: Queries that one pass over all rows carries.
+QUERY_ROWS = 16_384
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -76,39 +88,88 @@ def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     return np.array(out, np.float32)
 
 
+def even_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
+    """``balanced_centroids`` whose lists, by nearest centroid, are split until none is far heavier than the mean."""
+    c = balanced_centroids(x, lists, seed)
+    rng = np.random.default_rng(seed)
+    for _ in range(6):
+        cell = nearest(x, c)
+        size = np.bincount(cell, minlength=len(c))
+        heavy = np.flatnonzero(size > HEAVIEST * len(x) / len(c))
+        if not len(heavy):
+            break
+        more = []
+        for k in heavy:
+            part = x[cell == k]
+            label = _kmeans(part, min(8, max(2, round(len(part) * len(c) / len(x)))), rng)
+            means = np.array([part[label == t].mean(0) for t in np.unique(label)])
+            more.append(unit(means + np.float32(1e-12)))
+        c = np.concatenate([np.delete(c, heavy, 0), *more]).astype(np.float32)
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row: exact for few centroids, by the graph for many."""
+    if len(c) > 4096:
+        return CentroidGraph(c).search(x)[0][:, 0]
+    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+
+
 class CentroidGraph:
-    """Centroids with links to near and some far ones; walks start from the best of a few entries."""
+    """Centroids with links to near and some far ones, in layers; a walk starts at the few centroids of the top one."""
 
     def __init__(self, centroids: np.ndarray, links: int = GRAPH_LINKS, seed: int = 11):
         self.c = centroids
         n = len(centroids)
         rng = np.random.default_rng(seed)
-        near = min(links, n)
-        rows = []
-        for i in range(0, n, 1024):
-            sim = centroids[i : i + 1024] @ centroids.T
-            rows.append(np.argpartition(-sim, near - 1, axis=1)[:, :near])
-        far = rng.integers(0, n, (n, 4))  # long links keep the graph connected
-        self.links = np.concatenate([np.concatenate(rows) if rows else np.zeros((0, 0), int), far], 1).astype(np.int32)
-        self.entries = rng.choice(n, min(n, max(64, n // 4)), replace=False)  # the graph's upper layer
+        order = rng.permutation(n)
+        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # centroids of a layer, links by their places in it
+        size = n
+        while True:
+            nodes = np.sort(order[:size])
+            x = centroids[nodes]
+            near = min(links, size)
+            rows = [np.argpartition(-(x[i : i + 1024] @ x.T), near - 1, axis=1)[:, :near] for i in range(0, size, 1024)]
+            far = rng.integers(0, max(1, size), (size, 4))  # long links keep the graph connected
+            self.layers.append((nodes, np.concatenate([np.concatenate(rows) if rows else np.zeros((0, 0), int), far], 1).astype(np.int32)))
+            if size <= max(16, math.isqrt(n)):
+                break
+            size = max(16, size // LAYER)
 
     def search(self, q: np.ndarray, width: int = WALK_WIDTH, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, similarities) of the ``width`` nearest ones found, best first (-1 where fewer exist).
+        """(centroids, similarities) of the ``width`` nearest ones found, best first (-1 where fewer exist)."""
+        rows, sims = [], []
+        step = max(256, 40_000_000 // max(1, len(self.c)))
+        for i in range(0, len(q), step):
+            node, sim = self._search(q[i : i + step], width, hops)
+            rows.append(node)
+            sims.append(sim)
+        return (np.concatenate(rows), np.concatenate(sims)) if rows else (np.zeros((0, width), np.int64), np.zeros((0, width), np.float32))
+
+    def _search(self, q: np.ndarray, width: int, hops: int) -> tuple[np.ndarray, np.ndarray]:
+        nodes, _ = self.layers[-1]
+        start = q @ self.c[nodes].T
+        keep = min(width, start.shape[1])
+        pick = np.argpartition(-start, keep - 1, axis=1)[:, :keep]
+        found, sim = nodes[pick], np.take_along_axis(start, pick, 1)
+        for nodes, links in self.layers[-2::-1] if len(self.layers) > 1 else self.layers:
+            found, sim = self._walk(q, nodes, links, np.searchsorted(nodes, found), sim, width, hops)
+        order = np.argsort(-sim, axis=1)
+        found, sim = np.take_along_axis(found, order, 1), np.take_along_axis(sim, order, 1)
+        found[~np.isfinite(sim)] = -1
+        return found, sim
 
-        Best-first walks of all queries together: those that stand at one
-        centroid are compared with its neighbours by one product.
-        """
-        m, n = len(q), len(self.c)
+    def _walk(self, q: np.ndarray, nodes: np.ndarray, links: np.ndarray, at_start: np.ndarray, start: np.ndarray, width: int, hops: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first walks of all queries together in one layer: those that stand at one centroid are compared with its neighbours by one product."""
+        m, n, c = len(q), len(nodes), self.c[nodes]
         seen = np.zeros((m, n), bool)
         opened = np.zeros((m, n), bool)
-        start = q @ self.c[self.entries].T
-        keep = min(width, start.shape[1])
-        pick = np.argpartition(-start, keep - 1, axis=1)[:, :keep]
+        keep = at_start.shape[1]
         node = np.full((m, width), -1, np.int64)
         sim = np.full((m, width), -np.inf, np.float32)
-        node[:, :keep] = self.entries[pick]
-        sim[:, :keep] = np.take_along_axis(start, pick, 1)
-        np.put_along_axis(seen, node[:, :keep], True, 1)
+        node[:, :keep], sim[:, :keep] = at_start, start
+        node[~np.isfinite(sim)] = -1
+        np.put_along_axis(seen, np.maximum(node[:, :keep], 0), True, 1)
         active = np.arange(m)
         for hop in range(hops):
             order = np.argsort(-sim[active], axis=1)
@@ -126,10 +187,10 @@ class CentroidGraph:
             by = np.argsort(at, kind="stable")
             active, at = active[by], at[by]
             edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
-            got = np.empty((len(active), self.links.shape[1]), np.float32)
+            got = np.empty((len(active), links.shape[1]), np.float32)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                got[a:b] = q[active[a:b]] @ self.c[self.links[at[a]]].T
-            new = self.links[at].astype(np.int64)
+                got[a:b] = q[active[a:b]] @ c[links[at[a]]].T
+            new = links[at].astype(np.int64)
             old = np.take_along_axis(seen[active], new, 1)
             got[old] = -np.inf
             np.put_along_axis(sub := seen[active], new, True, 1)
@@ -144,26 +205,16 @@ class CentroidGraph:
             best = np.argpartition(-all_s, width - 1, axis=1)[:, :width]
             sim[active] = np.take_along_axis(all_s, best, 1)
             node[active] = np.take_along_axis(all_n, best, 1)
-        order = np.argsort(-sim, axis=1)
-        sim = np.take_along_axis(sim, order, 1)
-        node = np.take_along_axis(node, order, 1)
-        node[~np.isfinite(sim)] = -1
-        return node, sim
+        return np.where(node >= 0, nodes[np.maximum(node, 0)], nodes[0] if n else 0), sim
 
     def lists(self, q: np.ndarray, ratio: float = RATIO, most: int = MAX_LISTS) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: each row's nearest list, and those within ``ratio`` of its distance."""
-        rows, found = [], []
-        step = max(256, 40_000_000 // max(1, len(self.c)))
-        for i in range(0, len(q), step):
-            node, sim = self.search(q[i : i + step])
-            node, sim = node[:, :most], sim[:, :most]
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * sim))
-            ok = (node >= 0) & (d <= ratio * d[:, :1] + 1e-6)
-            r, c = np.nonzero(ok)
-            rows.append(r + i)
-            found.append(node[r, c])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(rows or [none]), np.concatenate(found or [none])
+        node, sim = self.search(q)
+        node, sim = node[:, :most], sim[:, :most]
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * sim))
+        ok = (node >= 0) & np.isfinite(sim) & (d <= ratio * d[:, :1] + 1e-6)
+        r, c = np.nonzero(ok)
+        return r, node[r, c]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -221,6 +272,100 @@ def _compare(vec: np.ndarray, ids: np.ndarray, other: np.ndarray, other_ids: np.
 
 
 _FOUND = "id bigint, neighbour bigint, similarity double"
+_POSTED = "cell bigint, id bigint, vec binary"
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell as one table, of batches sorted by cell (the first column)."""
+    parts: list[pa.RecordBatch] = []
+
+    def split(last: bool) -> Iterator[pa.Table]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        parts.clear()
+        cells = rows.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b == len(cells) and not last:
+                parts.extend(rows.slice(a).to_batches())
+            else:
+                yield rows.slice(a, b - a)
+
+    for batch in batches:
+        if batch.num_rows:
+            more = bool(parts) and batch.column(0)[-1] == parts[-1].column(0)[0]
+            parts.append(batch)
+            if not more:
+                yield from split(False)
+    if parts:
+        yield from split(True)
+
+
+def _hashed(id_col: str = "id") -> Column:
+    return F.xxhash64(id_col, F.lit(17))
+
+
+def _sample(vectors: DataFrame, n: int, rows: int, dim: int) -> np.ndarray:
+    """The vectors of the ``rows`` smallest hashes of ids: the same ones however the rows are stored."""
+    part = min(1.0, 1.5 * rows / max(1, n) + 1e-3)
+    cutoff = -(1 << 63) + math.ceil(part * ((1 << 64) - 1))
+    near = vectors.where(_hashed() <= F.lit(min(cutoff, (1 << 63) - 1))).select(_hashed().alias("h"), "id", "vec")
+    got = near.orderBy("h", "id").limit(rows).select("vec").toArrow()
+    return unit(_matrix(got.column(0), dim)) if len(got) else np.ones((1, dim), np.float32) / math.sqrt(dim)
+
+
+def _posted(spots: DataFrame, graph: CentroidGraph, dim: int, ratio: float, most: int) -> DataFrame:
+    """The vectors under the cells of a graph: cell, id, vec."""
+    shared = spots.sparkSession.sparkContext.broadcast(graph)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell = shared.value.lists(unit(_matrix(batch.column(1), dim)), ratio, most)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["cell", "id", "vec"])
+
+    return spots.select("id", "vec").mapInArrow(route, _POSTED)
+
+
+def _cut_cells(posted: DataFrame, primary: DataFrame, subs: int, share: float, dim: int, ratio: float, most: int) -> DataFrame:
+    """The vectors under lists of their cells: each cell is cut into about ``subs`` lists by centroids of its own.
+
+    ``primary`` has each vector under its nearest cell; ``share`` of it is what
+    the lists are fitted on, cell by cell, by the executors.
+    """
+    fitted = primary.where(_hashed() <= F.lit(min((1 << 63) - 1, -(1 << 63) + math.ceil(share * ((1 << 64) - 1)))))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_cell(batches):
+            c = even_centroids(unit(_matrix(rows.column(2).combine_chunks(), dim)), subs)
+            raw = pa.Array.from_buffers(pa.binary(4 * dim), len(c), [None, pa.py_buffer(np.ascontiguousarray(c, np.float32).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), rows.column(0)[0].as_py())), pa.array(np.full(len(c), -1)), raw, pa.array(np.ones(len(c), bool))], ["cell", "id", "vec", "centre"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a cell's centroids come before its vectors, which pass by in batches
+        cell, centres, graph = None, [], None
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows = batch.slice(a, b - a)
+                if cells[a] != cell:
+                    cell, centres, graph = cells[a], [], None
+                is_centre = rows.column(3).to_numpy(zero_copy_only=False)
+                k = int(is_centre.sum())
+                x = _matrix(rows.column(2), dim)
+                if k:
+                    centres.append(x[:k])
+                if k == len(x):
+                    continue
+                if graph is None:
+                    graph = CentroidGraph(np.concatenate(centres) if centres else unit(x[:1]))
+                row, sub = graph.lists(unit(x[k:]), ratio, most)
+                at = pa.array(row + k)
+                yield pa.RecordBatch.from_arrays([pa.array((int(cell) << 32) + sub.astype(np.int64)), rows.column(1).take(at), rows.column(2).take(at)], ["cell", "id", "vec"])
+
+    centroids = fitted.repartition("cell").sortWithinPartitions("cell").mapInArrow(fit, _POSTED + ", centre boolean")
+    both = posted.withColumn("centre", F.lit(False)).unionByName(cut(centroids))
+    return both.repartition("cell").sortWithinPartitions("cell", F.desc("centre")).mapInArrow(place, _POSTED)
 
 
 def neighbours(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least: float = 0.9, sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, ratio: float = RATIO, most: int = MAX_LISTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -230,71 +375,71 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: in
     are ignored. Only similarities of at least ``least`` count; ties go to the
     smaller id. Repeated rows count once, an empty table gives no rows. A
     vector may lose neighbours that share no list with it; ``ratio`` and
-    ``most`` set how many lists it is in.
+    ``most`` set how many lists it is in, ``exact_neighbours`` loses none.
     """
     vectors = usable_vectors(df, id_col, vector_col, dim)
     spots = points(vectors)
     n = df.count()
-    # a sample of bounded size, the same one in every run: by hash of the id
-    part = min(1.0, 1.5 * sample_rows / max(1, n))
-    near_hash = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
-    sample = vectors.where(near_hash).select("vec").limit(sample_rows).toArrow()
-    x = unit(_matrix(sample.column(0), dim)) if len(sample) else np.ones((1, dim), np.float32) / math.sqrt(dim)
-    graph = CentroidGraph(balanced_centroids(x, max(1, min(len(x) // 4, n // list_rows))))
-    shared = df.sparkSession.sparkContext.broadcast(graph)
-
-    blocks = max(1, -(-n * most // (len(graph.c) * block_rows)))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vecs = batch.column(0).to_numpy(), batch.column(1)
-            row, cell = shared.value.lists(unit(_matrix(vecs, dim)), ratio, most)
-            salt = (ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-            for t in range(blocks):  # block s meets every block t once
-                group = (cell * blocks + np.minimum(salt, t)) * blocks + np.maximum(salt, t)
-                at = pa.array(row)
-                cols = [pa.array(group.astype(np.int64)), pa.array((salt < t).astype(np.int8) - (salt > t).astype(np.int8)), batch.column(0).take(at), vecs.take(at)]
-                yield pa.RecordBatch.from_arrays(cols, ["cell", "side", "id", "vec"])
+    x = _sample(vectors, n, sample_rows, dim)
+    graph = CentroidGraph(even_centroids(x, max(1, min(len(x) // 4, n // list_rows))))
+    posted = _posted(spots, graph, dim, ratio, most)
+    cells = len(graph.c)
+    if n * most > cells * block_rows:
+        spots = cut(spots)
+        subs = -(-n // (cells * list_rows))
+        share = min(1.0, FIT_ROWS * subs * cells / n)
+        posted = _cut_cells(_posted(spots, graph, dim, ratio, most), _posted(spots, graph, dim, ratio, 1), subs, share, dim, ratio, most)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by cell; the cell at the end of a batch goes on in the next one
-        parts: list[pa.RecordBatch] = []
-
-        def within(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            side, ids, vecs = rows.column(1).to_numpy(), rows.column(2).to_numpy(), _matrix(rows.column(3).combine_chunks(), dim)
-            one, two = (side <= 0, side >= 0) if not side.any() else (side < 0, side > 0)
-            ways = [(one, two)] if not side.any() else [(one, two), (two, one)]
-            for x, y in ways:
-                for a, b, sim in _compare(vecs[x], ids[x], vecs[y], ids[y], k, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], ["id", "neighbour", "similarity"])
-
-        def split(last: bool) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts).combine_chunks()
-            parts.clear()
-            cells = rows.column(0).to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))).tolist()
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b == len(cells) and not last:
-                    parts.extend(rows.slice(a).to_batches())
-                else:
-                    yield from within(rows.slice(a, b - a))
+        for rows in _by_cell(batches):
+            ids, vecs = rows.column(1).to_numpy(), _matrix(rows.column(2).combine_chunks(), dim)
+            for a, b, sim in _compare(vecs, ids, vecs, ids, k, least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], ["id", "neighbour", "similarity"])
 
-        for batch in batches:
-            if batch.num_rows:
-                more = bool(parts) and batch.column(0)[-1] == parts[-1].column(0)[0]
-                parts.append(batch)
-                if not more:
-                    yield from split(False)
-        if parts:
-            yield from split(True)
-
-    posted = spots.select("id", "vec").mapInArrow(route, "cell bigint, side tinyint, id bigint, vec binary")
     found = posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, _FOUND)
-    # the lists' results of one vector: at most `most` times k rows
+    return _with_copies(_best(found, k), vectors, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each vector, of what lists or batches have found for it."""
     best = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbour")
     found = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    found = cut(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
-    return _with_copies(found, vectors, k)
+    return cut(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r"))
+
+
+def exact_neighbours(df: DataFrame, asked: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: int = 5, least: float = 0.9, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """``neighbours`` of the vectors ``asked`` (same columns) by comparison with all rows, without lists: no loss.
+
+    The queries go to the rows in blocks of bounded size, one pass for each.
+    """
+    vectors = usable_vectors(df, id_col, vector_col, dim)
+    rows = cut(points(vectors))
+    wanted = cut(points(usable_vectors(asked, id_col, vector_col, dim)))
+    # a query stands for the point it is a copy of
+    queries = wanted.withColumn("h", F.md5("vec")).join(rows.select(F.md5("vec").alias("h"), F.col("id").alias("_p")), "h").select(F.col("_p").alias("id"), "vec")
+    out, block = None, []
+
+    def scan(block: list[tuple[int, bytes]]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in block]), np.frombuffer(b"".join(bytes(v) for _, v in block), np.float32).reshape(-1, dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vecs = shared.value
+            for batch in batches:
+                for a, b, sim in _compare(vecs, ids, _matrix(batch.column(1), dim), batch.column(0).to_numpy(), k, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], ["id", "neighbour", "similarity"])
+
+        return _best(rows.select("id", "vec").mapInArrow(run, _FOUND), k)
+
+    for row in queries.toLocalIterator():
+        block.append((row.id, row.vec))
+        if len(block) == query_rows:
+            part = scan(block)
+            out, block = part if out is None else out.unionByName(part), []
+    if block or out is None:
+        part = scan(block) if block else rows.sparkSession.createDataFrame([], _FOUND)
+        out = part if out is None else out.unionByName(part)
+    ids = usable_vectors(asked, id_col, vector_col, dim).select("id").distinct()
+    return _with_copies(cut(out), vectors, k).join(ids, "id", "left_semi")
 
 
 def _with_copies(found: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -58,9 +58,49 @@ def test_graph_finds_the_nearest_centroids():
     c = K.balanced_centroids(x, 200)
     sizes = np.bincount((x @ c.T).argmax(1), minlength=len(c))
     assert sizes.max() < 12 * sizes.mean()
+    even = K.even_centroids(x, 200)
+    sizes = np.bincount((x @ even.T).argmax(1), minlength=len(even))
+    assert sizes.max() < 3 * sizes.mean()
     g = K.CentroidGraph(c)
     node, sim = g.search(x[:500])
     exact = x[:500] @ c.T
     assert (exact.argmax(1) == node[:, 0]).mean() > 0.9
     assert np.allclose(sim[:, 0], exact[np.arange(500), node[:, 0]], atol=1e-5)
     assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in node)
+
+
+def _clusters(n=700):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(60, 16))
+    return list(range(1000, 1000 + n)), (centre[rng.integers(0, 60, n)] + 0.2 * rng.normal(size=(n, 16))).astype(np.float32)
+
+
+def test_cells_are_cut_into_lists_of_their_own(spark):
+    ids, x = _clusters(1500)
+    got = {(r.id, r.neighbour) for r in K.neighbours(frame(spark, ids, x), "id", "embedding", dim=16, sample_rows=64, list_rows=32, block_rows=64).collect()}
+    want = brute(ids, x, 5, 0.9)
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_exact_neighbours(spark):
+    ids, x = _clusters()
+    df = frame(spark, [*ids, 5000, 5001], [*x, x[0], x[20]])
+    got = {(r.id, r.neighbour) for r in K.exact_neighbours(df, df.where("id % 20 = 0"), "id", "embedding", dim=16, query_rows=16).collect()}
+    want = {p for p in brute([*ids, 5000, 5001], np.concatenate([x, x[[0, 20]]]), 5, 0.9) if p[0] % 20 == 0}
+    assert got == want
+    assert K.exact_neighbours(df.limit(0), df.limit(0), "id", "embedding", dim=16).collect() == []
+
+
+def test_the_same_rows_in_other_files_give_the_same_result(spark):
+    ids, x = _clusters()
+    order = np.random.default_rng(3).permutation(len(ids))
+    a = frame(spark, ids, x)
+    b = frame(spark, [ids[k] for k in order], x[order]).repartition(7)
+    how = dict(dim=16, sample_rows=100, list_rows=32)
+    rows = [sorted((r.id, r.neighbour) for r in K.neighbours(d, "id", "embedding", **how).collect()) for d in (a, b)]
+    assert rows[0] == rows[1]
+
+
+def test_walks_start_at_few_centroids():
+    g = K.CentroidGraph(K.unit(np.random.default_rng(4).normal(size=(3000, 16))))
+    assert len(g.layers) > 1 and len(g.layers[-1][0]) <= max(16, 3000**0.5)
