@@ -35,14 +35,18 @@ def gate(messages: DataFrame, rules=GATE_PATTERNS) -> DataFrame:
 
 
 def gate_counters(messages: DataFrame) -> DataFrame:
-    """One row: messages processed, texts matched (each once), domains detected."""
+    """One row: messages processed (each msg_id once), texts matched (each once), domains detected. One scan, each rule once a row."""
     text = F.when((F.col("role") == "user") & F.col("content").isNotNull(), strip(F.col("content")))
-    rows = messages.select(text.alias("content"))
-    seen = rows.agg(F.count(F.lit(1)).alias("processed"))
-    hits = rows.where(F.col("content").isNotNull()).where(first_category(F.col("content")).isNotNull()).distinct()
-    domain = detect_domain(F.col("content"))
-    found = hits.agg(F.count(F.lit(1)).alias("matched"), F.array_sort(F.collect_set(F.when(domain != "", domain))).alias("d"))
-    return seen.crossJoin(found).select("processed", "matched", F.array_join("d", ",").alias("domains"))
+    rows = messages.select("msg_id", text.alias("_t")).withColumn("_hit", first_category(F.col("_t")).isNotNull())
+    # what is shuffled has no text but that of hits
+    each = rows.select("msg_id", F.when(F.col("_hit"), F.col("_t")).alias("_t")).distinct().groupBy("_t").agg(F.count(F.lit(1)).alias("n"))
+    domain = detect_domain(F.col("_t"))
+    found = each.withColumn("_d", F.when(F.col("_t").isNotNull(), domain))
+    return found.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("processed"),
+        F.count("_t").alias("matched"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("_d") != "", F.col("_d")))), ",").alias("domains"),
+    )
 
 
 def profile_facts(messages: DataFrame, keep: list[str], rules=PROFILE_PATTERNS) -> DataFrame:

@@ -1,13 +1,17 @@
 """Search: full text with BM25, substrings, hybrid, pyramid, privacy.
 
-A query string is parsed on the driver; what runs is one scan that counts each
-phrase in a document's terms, so nothing but the best rows is shuffled. The
-corpus figures (documents, average length, documents per phrase) come from one
-aggregate over the same scan, broadcast as a single row.
+A store that is searched often has an ``Index``: its terms with the places
+where they stand, sorted by term, and its rows without their texts. A query
+string is parsed on the driver; only the row groups of its terms are read, and
+the matching ids are joined with the narrow rows. A store without an index is
+scanned: each phrase is counted in a document's terms, and the corpus figures
+come from one aggregate over the same scan. Substrings are always found by a
+scan whose filters reach the files; each task keeps its best rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,36 +45,92 @@ def _matches(node: Node, tf: dict[tuple[str, ...], Column]) -> Column:
 
 
 def postings(store: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """The inverted index: term, id, tf."""
-    terms = store.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
-    return terms.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
+    """The inverted index: term, id, tf. Rows delivered twice count once."""
+    terms = store.select(id_col, F.posexplode(tokens(F.col(text_col))).alias("at", "term"))
+    return terms.groupBy("term", id_col).agg(F.size(F.collect_set("at")).cast("long").alias("tf"))
 
 
-def term_stats(store: DataFrame) -> DataFrame:
+def term_stats(index: Index) -> DataFrame:
     """df of every term, with the number of documents and their mean length: term, df, n_docs, avgdl."""
-    figures = store.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("content")))).alias("avgdl"))
-    terms = store.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(figures))
+    figures = index.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return index.terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(figures))
 
 
-def scored(store: DataFrame, query: str) -> DataFrame:
+#: What an index keeps of each row beside its terms.
+CARRIED = ("domain", "level", "ts", "status", "privacy", "parent_id")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written inverted index of a store: rows that searches need, places of terms, and the store itself for substrings."""
+
+    #: id, the carried columns, dl (number of terms)
+    docs: DataFrame
+    #: term, id, places (positions, ascending), sorted by term
+    terms: DataFrame
+    #: the indexed rows; repeated ones may still be there
+    store: DataFrame
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.docs.columns if c != "dl"]
+
+
+def build_index(store: DataFrame, carried: tuple[str, ...] = CARRIED) -> Index:
+    """Index the texts of a store (id, content, carried columns). Rows delivered twice count once.
+
+    Texts are tokenised once and never shuffled; a term's places go to range
+    partitions of (term, id), so a frequent term fills many tasks and a query
+    reads the row groups of its terms alone.
+    """
+    rows = store.select("id", *carried, tokens(F.col("content")).alias("_terms"))
+    docs = cut(rows.select("id", *carried, F.size("_terms").alias("dl")).distinct())
+    places = rows.select("id", F.posexplode("_terms").alias("at", "term")).groupBy("term", "id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    return Index(docs, cut(places.repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "id")), store)
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda x: x - by)
+
+
+def _indexed_counts(index: Index, every: list[tuple[str, ...]]) -> DataFrame:
+    """id and the count of each phrase (_tf0, _tf1, ...) of the rows that have a term of them."""
+    words = sorted({w for p in every for w in p})
+    of = {w: F.max(F.when(F.col("term") == w, F.col("places"))).alias(f"_w{k}") for k, w in enumerate(words)}
+    column = {w: F.coalesce(F.col(f"_w{k}"), F.array().cast("array<int>")) for k, w in enumerate(words)}
+    rows = index.terms.where(F.col("term").isin(words)).groupBy("id").agg(*of.values())
+
+    def count(phrase: tuple[str, ...]) -> Column:
+        # places of the first word from which on the others stand
+        starts = [_moved(column[w], k) for k, w in enumerate(phrase)]
+        return F.size(reduce(F.array_intersect, starts)) if len(starts) > 1 else F.size(column[phrase[0]])
+
+    return rows.select("id", *[count(p).alias(f"_tf{k}") for k, p in enumerate(every)])
+
+
+def scored(store: DataFrame | Index, query: str) -> DataFrame:
     """All active memories that match, with score (BM25, higher is better). A query without words matches none.
 
-    Corpus figures count all rows, archived ones too, as their text stays indexed.
+    Corpus figures count all rows, archived ones too, as their text stays
+    indexed. Of an index, the rows have its columns; of a plain store, all.
     """
     node = parse_query(query)
+    rows = store.docs if isinstance(store, Index) else store
     if node is None:
-        return store.limit(0).withColumn("score", F.lit(0.0))
+        return rows.select(*store.columns).limit(0).withColumn("score", F.lit(0.0))
     every = list(dict.fromkeys(node.all_phrases()))
     column = {p: f"_tf{k}" for k, p in enumerate(every)}
-    terms = store.withColumn("_terms", tokens(F.col("content")))
-    counted = terms.select(
-        *store.columns, F.size("_terms").alias("_dl"), *[phrase_count(F.col("_terms"), p).alias(c) for p, c in column.items()]
-    )
-    figures = counted.agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in column.values()]
-    )
-    rows = active(counted).where(_matches(node, {p: F.col(c) for p, c in column.items()})).crossJoin(F.broadcast(figures))
+    dfs = [F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in column.values()]
+    match = _matches(node, {p: F.col(c) for p, c in column.items()})
+    if isinstance(store, Index):
+        counted = _indexed_counts(store, every)
+        figures = counted.agg(*dfs).crossJoin(F.broadcast(store.docs.agg(F.count(F.lit(1)).alias("_n"), F.avg("dl").alias("_avgdl"))))
+        rows = active(store.docs).withColumnRenamed("dl", "_dl").join(counted.where(match), "id").crossJoin(F.broadcast(figures))
+    else:
+        terms = store.withColumn("_terms", tokens(F.col("content")))
+        counted = terms.select(*store.columns, F.size("_terms").alias("_dl"), *[phrase_count(F.col("_terms"), p).alias(c) for p, c in column.items()])
+        figures = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *dfs)
+        rows = active(counted).where(match).crossJoin(F.broadcast(figures))
     score = F.lit(0.0)
     for p in node.phrases():
         c = column[p]
@@ -81,16 +141,22 @@ def scored(store: DataFrame, query: str) -> DataFrame:
     return rows.select(*store.columns, score.alias("score"))
 
 
-def search_fts(store: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_fts(store: DataFrame | Index, query: str, limit: int = 20) -> DataFrame:
     """The best full-text hits: all columns, score, method, pos (1 is the best)."""
     best = scored(store, sanitize_query(query) if '"' not in query else query).orderBy(F.desc("score"), "id").limit(limit)
     return _placed(best, F.desc("score"), F.col("id")).withColumn("method", F.lit("fts"))
 
 
-def search_like(store: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Active memories that contain the text, ASCII case ignored, newest first; score 1.0."""
-    hit = ascii_lower(F.col("content")).contains(ascii_lower(F.lit(query)))
-    best = active(store).where(hit).orderBy(F.desc("ts"), "id").limit(limit).withColumn("score", F.lit(1.0))
+def search_like(store: DataFrame | Index, query: str, limit: int = 10) -> DataFrame:
+    """Active memories that contain the text, ASCII case ignored, newest first; score 1.0.
+
+    Rows delivered twice have one rank, so each task hands on the rows of its
+    ``limit`` best ranks, whatever the number of hits.
+    """
+    rows = store.store if isinstance(store, Index) else store
+    hit = active(rows).where(ascii_lower(F.col("content")).contains(ascii_lower(F.lit(query)))).select(*store.columns)
+    rank = F.dense_rank().over(Window.orderBy(F.desc("ts"), "id"))
+    best = hit.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r").dropDuplicates(["id"]).withColumn("score", F.lit(1.0))
     return _placed(best, F.desc("ts"), F.col("id")).withColumn("method", F.lit("like"))
 
 
@@ -109,7 +175,7 @@ def visible(search_domain: str | None) -> Column:
     return same | ((privacy != "sealed") & guarded)
 
 
-def _merged(store: DataFrame, query: str, fts: int, like: int) -> DataFrame:
+def _merged(store: DataFrame | Index, query: str, fts: int, like: int) -> DataFrame:
     """Both kinds of hits, each memory once: full text before substring."""
     both = search_fts(store, query, fts).withColumn("src", F.lit(0)).unionByName(search_like(store, query, like).withColumn("src", F.lit(1)))
     return _once(both)
@@ -120,7 +186,7 @@ def _once(both: DataFrame) -> DataFrame:
     return both.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
-def hybrid_search(store: DataFrame, query: str, limit: int = 10, domain: str | None = None, context_domain: str | None = None) -> DataFrame:
+def hybrid_search(store: DataFrame | Index, query: str, limit: int = 10, domain: str | None = None, context_domain: str | None = None) -> DataFrame:
     """Hits of both kinds, the higher levels first, then by score.
 
     ``domain`` restricts the hits; ``context_domain`` is where the search comes
@@ -134,7 +200,7 @@ def hybrid_search(store: DataFrame, query: str, limit: int = 10, domain: str | N
     return rows.orderBy(F.desc(F.coalesce("level", F.lit(0))), F.desc("score"), "src", "pos").limit(limit)
 
 
-def pyramid_search(store: DataFrame, query: str, limit: int = 10, domain: str | None = None, start_level: int = 2) -> DataFrame:
+def pyramid_search(store: DataFrame | Index, query: str, limit: int = 10, domain: str | None = None, start_level: int = 2) -> DataFrame:
     """Principles with their children first, then patterns, then facts while there is room.
 
     stage and pos give the order. A level is searched with limits twice as wide
@@ -160,7 +226,7 @@ def pyramid_search(store: DataFrame, query: str, limit: int = 10, domain: str |
         top = level_hits(2, 3).where(allowed)
         parts.append(top.withColumn("stage", F.lit(0)).withColumn("sub", F.lit(0)).select(*shape))
         heads = top.select(F.col("id").alias("_p"), F.col("score").alias("_s"), F.col("pos").alias("_pos"))
-        kids = active(store).where(allowed).join(F.broadcast(heads), F.col("parent_id") == F.col("_p"))
+        kids = active(store.docs if isinstance(store, Index) else store).where(allowed).join(F.broadcast(heads), F.col("parent_id") == F.col("_p"))
         w = Window.partitionBy("_p").orderBy(F.desc("ts"), "id")
         parts.append(
             kids.withColumn("sub", F.row_number().over(w)).where(F.col("sub") <= limit)

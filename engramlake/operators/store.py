@@ -38,9 +38,13 @@ MEMORY_SCHEMA = T.StructType(
 )
 
 
-def once(df: DataFrame, key: str = "id") -> DataFrame:
-    """Rows delivered twice count once."""
-    return df.dropDuplicates([key])
+def once(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows delivered twice count once. They are equal in every column, so by all columns of ``df``, unless a key is given.
+
+    Filters on a result by all columns are pushed below it to the scan; by a
+    key they would not be.
+    """
+    return df.dropDuplicates([key] if key else None)
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -160,15 +164,15 @@ def decays(now: float, days: float = 30) -> Column:
     return ((F.col("last_hit_at") > 0) & (F.col("last_hit_at") < cutoff)) | ((F.col("hit_count") == 0) & (F.col("created_at") < cutoff))
 
 
-def decay_candidates(store: DataFrame, now: float, days: float = 30, per_domain: int | None = 100) -> DataFrame:
-    """Active facts that decay: id, decay_count. ``per_domain`` newest facts of each domain are looked at (None: all)."""
+def decay_candidates(store: DataFrame, now: float, days: float = 30, per_domain: int | None = None) -> DataFrame:
+    """Active facts that decay: id, decay_count. ``per_domain``: only so many newest facts of each domain are looked at."""
     facts = active(store).where((F.col("level") == FACT) & (F.col("domain") != ""))
     if per_domain is not None:
         facts = newest(facts, per_domain, ["domain"], F.col("ts").desc(), F.col("id"))
     return facts.where(decays(now, days)).select("id", "decay_count")
 
 
-def decayed(store: DataFrame, now: float, days: float = 30, strikes: int = 3, per_domain: int | None = 100) -> DataFrame:
+def decayed(store: DataFrame, now: float, days: float = 30, strikes: int = 3, per_domain: int | None = None) -> DataFrame:
     """The next snapshot after a decay pass: counts raised, memories with ``strikes`` archived."""
     marked = decay_candidates(store, now, days, per_domain).select("id", F.lit(1).alias("_hit"))
     joined = store.join(marked, "id", "left")

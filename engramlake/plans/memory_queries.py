@@ -44,15 +44,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def raw(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Memories as delivered, rows delivered twice still twice, with the columns needed."""
+    return table(spark, sf, "memories").select(*(dict.fromkeys(["id", *cols]) if cols else MEMORY_COLUMNS))
+
+
 def mem(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
-    """Memories, each once, with the columns needed (default: all but the embedding)."""
-    wanted = list(dict.fromkeys(["id", *cols])) if cols else MEMORY_COLUMNS
-    return ST.once(table(spark, sf, "memories").select(*wanted))
+    """Memories, each once, with the columns needed (default: all but the embedding); filters on them reach the scan."""
+    return ST.once(raw(spark, sf, *cols))
+
+
+def raw_msgs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "messages").select("msg_id", "conv_id", "turn", "role", "content", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
 
 
 def msgs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "messages").select("msg_id", "conv_id", "turn", "role", "content", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return ST.once(rows, "msg_id")
+    return ST.once(raw_msgs(spark, sf))
 
 
 def tris(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +67,18 @@ def tris(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    return ST.once(table(spark, sf, "votes"), "vote_id")
+    return ST.once(table(spark, sf, "votes"))
+
+
+_INDEXES: dict[tuple[str, str], S.Index] = {}
+
+
+def index(spark: SparkSession, sf: str) -> S.Index:
+    """The written index of a store's memories; like any index it is built once and then searched, as long as the session lasts."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.build_index(raw(spark, sf, "content", *S.CARRIED))
+    return _INDEXES[key]
 
 
 _MEM = f"mem AS (SELECT DISTINCT {', '.join(MEMORY_COLUMNS)} FROM memories)"
@@ -80,15 +98,15 @@ _TOKENS = r"coalesce(regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p
 
 @query("memory_project", _WITH + "SELECT id, content, domain, level, status, privacy, coalesce(CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$.category') END, '') AS category FROM mem")
 def memory_project(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ST.metadata_map(mem(spark, sf, "content", "domain", "level", "status", "privacy", "metadata"))
-    return rows.select("id", "content", "domain", "level", "status", "privacy", F.coalesce(F.col("metadata")["category"], F.lit("")).alias("category"))
+    rows = ST.metadata_map(raw(spark, sf, "content", "domain", "level", "status", "privacy", "metadata"))
+    return ST.once(rows.select("id", "content", "domain", "level", "status", "privacy", F.coalesce(F.col("metadata")["category"], F.lit("")).alias("category")))
 
 
 @query("memory_get", _WITH + "SELECT id, content, domain, level, status FROM mem WHERE id = (SELECT min(id) FROM mem)")
 def memory_get(spark: SparkSession, sf: str) -> DataFrame:
-    first = table(spark, sf, "memories").agg(F.min("id").alias("id"))
-    rows = mem(spark, sf, "content", "domain", "level", "status")
-    return rows.join(F.broadcast(first), "id", "left_semi")
+    """A row by its id: the id reaches the scan, and as it is unique the first of equal rows will do."""
+    wanted = table(spark, sf, "memories").agg(F.min("id")).scalar()
+    return raw(spark, sf, "content", "domain", "level", "status").where(F.col("id") == wanted).limit(1)
 
 
 @query("memory_exists", _WITH + f"SELECT DISTINCT m.msg_id FROM messages m JOIN mem ON mem.content = m.content WHERE mem.{_ACTIVE}")
@@ -98,7 +116,7 @@ def memory_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
-    return G.gate(msgs(spark, sf))
+    return G.gate(raw_msgs(spark, sf))  # equal texts count once there
 
 
 @query("memory_add_dedup")
@@ -175,7 +193,7 @@ _DECAYS = f"((last_hit_at > 0 AND last_hit_at < {NOW - 30 * 86400}) OR (hit_coun
 _NEWEST_FACTS = f"(SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id) AS rn FROM mem WHERE {_ACTIVE} AND level = 0 AND domain <> '')"
 
 
-@query("decay_candidates", _WITH + f"SELECT id, decay_count FROM {_NEWEST_FACTS} WHERE rn <= 100 AND {_DECAYS}")
+@query("decay_candidates", _WITH + f"SELECT id, decay_count FROM {_NEWEST_FACTS} WHERE {_DECAYS}")
 def decay_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return ST.decay_candidates(mem(spark, sf, "domain", "level", "status", "ts", "hit_count", "last_hit_at", "created_at", "decay_count"), NOW)
 
@@ -183,7 +201,7 @@ def decay_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query("decay_apply", _WITH + f", d AS (SELECT id FROM {_NEWEST_FACTS} WHERE {_DECAYS}) SELECT mem.id, CAST(coalesce(decay_count, 0) + CASE WHEN d.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS decay_count, CASE WHEN d.id IS NOT NULL AND coalesce(decay_count, 0) + 1 >= 3 THEN 'archived' ELSE status END AS status FROM mem LEFT JOIN d ON d.id = mem.id")
 def decay_apply(spark: SparkSession, sf: str) -> DataFrame:
     rows = mem(spark, sf, "domain", "level", "status", "ts", "hit_count", "last_hit_at", "created_at", "decay_count")
-    return ST.decayed(rows, NOW, per_domain=None).select("id", "decay_count", "status")
+    return ST.decayed(rows, NOW).select("id", "decay_count", "status")
 
 
 # --- search ----------------------------------------------------------------
@@ -219,27 +237,27 @@ def _found(rows: DataFrame, *more: str) -> DataFrame:
 
 @query("fts_and", _fts_sql([WORD, OTHER], "t0 > 0 AND t1 > 0") + f" SELECT {_COLS} FROM hit")
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(mem(spark, sf), f"{WORD} {OTHER}"))
+    return _found(S.scored(index(spark, sf), f"{WORD} {OTHER}"))
 
 
 @query("fts_or", _fts_sql([WORD, OTHER], "(t0 > 0 OR t1 > 0)") + f" SELECT {_COLS} FROM hit")
 def fts_or(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(mem(spark, sf), f"{WORD} OR {OTHER}"))
+    return _found(S.scored(index(spark, sf), f"{WORD} OR {OTHER}"))
 
 
 @query("fts_not", _fts_sql([WORD, OTHER], "t0 > 0 AND NOT t1 > 0", [0]) + f" SELECT {_COLS} FROM hit")
 def fts_not(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(mem(spark, sf), f"{WORD} NOT {OTHER}"))
+    return _found(S.scored(index(spark, sf), f"{WORD} NOT {OTHER}"))
 
 
 @query("fts_phrase", _fts_sql([PHRASE], "t0 > 0") + f" SELECT {_COLS} FROM hit")
 def fts_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(mem(spark, sf), f'"{PHRASE}"'))
+    return _found(S.scored(index(spark, sf), f'"{PHRASE}"'))
 
 
 @query("fts_sanitize", _fts_sql(["second hand", WORD], "t0 > 0 AND t1 > 0") + f" SELECT {_COLS} FROM hit")
 def fts_sanitize(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(mem(spark, sf), X.sanitize_query(f"second-hand {WORD}!")))
+    return _found(S.scored(index(spark, sf), X.sanitize_query(f"second-hand {WORD}!")))
 
 
 _FTS20 = "fts AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM hit QUALIFY pos <= {n})"
@@ -251,12 +269,12 @@ _LIKE10 = (
 
 @query("search_fts", _fts_sql([WORD], "t0 > 0") + ", " + _FTS20.format(n=20) + f" SELECT {_COLS}, 'fts' AS method, CAST(pos AS INTEGER) AS pos FROM fts")
 def search_fts(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.search_fts(mem(spark, sf), WORD, 20), "method", "pos")
+    return _found(S.search_fts(index(spark, sf), WORD, 20), "method", "pos")
 
 
 @query("search_like", _WITH + ", " + _LIKE10.format(q=SUBSTRING.lower(), n=10) + f" SELECT {_COLS}, 'like' AS method, CAST(pos AS INTEGER) AS pos FROM lk")
 def search_like(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.search_like(mem(spark, sf), SUBSTRING, 10), "method", "pos")
+    return _found(S.search_like(index(spark, sf), SUBSTRING, 10), "method", "pos")
 
 
 _BOTH = (
@@ -268,18 +286,20 @@ _HYBRID = _fts_sql([WORD], "t0 > 0") + ", " + _FTS20.format(n=20) + ", " + _LIKE
 
 @query("hybrid_search", _HYBRID + f" SELECT {_COLS}, method FROM m WHERE coalesce(privacy, 'open') <> 'sealed' ORDER BY coalesce(level, 0) DESC, m.score DESC, src, pos LIMIT 10")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.hybrid_search(mem(spark, sf), WORD), "method")
+    return _found(S.hybrid_search(index(spark, sf), WORD), "method")
 
 
 @query("bridge_projection", _HYBRID + " SELECT CAST(id AS VARCHAR) AS key, substr(content, 1, 50) AS title, round(-score, 6) AS rank FROM (SELECT m.*, mem.content FROM m JOIN mem USING (id) WHERE coalesce(m.privacy, 'open') <> 'sealed' ORDER BY coalesce(m.level, 0) DESC, m.score DESC, src, pos LIMIT 10)")
 def bridge_projection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.hybrid_search(mem(spark, sf), WORD)
+    best = S.hybrid_search(index(spark, sf), WORD).select("id", "score")
+    rows = mem(spark, sf, "content").join(F.broadcast(best), "id")  # ten rows
     return rows.select(F.col("id").cast("string").alias("key"), F.substring("content", 1, 50).alias("title"), F.round(-F.col("score"), 6).alias("rank"))
 
 
 @query("simple_search", _HYBRID + f" SELECT content, domain, CASE coalesce(level, 0) WHEN 2 THEN 'principle' WHEN 1 THEN 'pattern' ELSE 'fact' END AS level, round(score, 6) AS score FROM (SELECT m.*, mem.content FROM m JOIN mem USING (id) WHERE m.domain = '{DOMAIN}') ORDER BY score DESC LIMIT 10")
 def simple_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.hybrid_search(mem(spark, sf), WORD, domain=DOMAIN)
+    best = S.hybrid_search(index(spark, sf), WORD, domain=DOMAIN).select("id", "domain", "level", "score")
+    rows = mem(spark, sf, "content").join(F.broadcast(best), "id")  # ten rows
     name = F.when(F.col("level") == 2, "principle").when(F.col("level") == 1, "pattern").otherwise("fact")
     return rows.select("content", "domain", name.alias("level"), F.round("score", 6).alias("score"))
 
@@ -289,7 +309,7 @@ _VISIBLE = f"(coalesce(domain, '') = '{DOMAIN}' OR (coalesce(privacy, 'open') <>
 
 @query("privacy_filter", _WITH + f"SELECT id, coalesce(privacy, 'open') <> 'sealed' AS to_all, {_VISIBLE} AS to_domain FROM mem")
 def privacy_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return mem(spark, sf, "privacy", "domain", "level").select("id", S.visible(None).alias("to_all"), S.visible(DOMAIN).alias("to_domain"))
+    return ST.once(raw(spark, sf, "privacy", "domain", "level").select("id", S.visible(None).alias("to_all"), S.visible(DOMAIN).alias("to_domain")))
 
 
 def _pyramid_sql() -> str:
@@ -311,22 +331,22 @@ def _pyramid_sql() -> str:
 
 @query("pyramid_search", _pyramid_sql() + f" SELECT {_COLS}, method, stage FROM one ORDER BY one.stage, one.pos, one.sub, one.id LIMIT 10")
 def pyramid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.pyramid_search(mem(spark, sf), WORD), "method", "stage")
+    return _found(S.pyramid_search(index(spark, sf), WORD), "method", "stage")
 
 
 @query("pyramid_drill", _pyramid_sql() + f" SELECT {_COLS}, method FROM (SELECT * FROM one ORDER BY stage, pos, sub, id LIMIT 100) one WHERE stage = 0")
 def pyramid_drill(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.pyramid_search(mem(spark, sf), WORD, limit=100).where("stage = 0"), "method")
+    return _found(S.pyramid_search(index(spark, sf), WORD, limit=100).where("stage = 0"), "method")
 
 
 @query("bm25_stats", f"WITH {_MEM}, w AS (SELECT {_TOKENS} AS ws FROM mem), f AS (SELECT count(*) AS n_docs, round(avg(len(ws)), 6) AS avgdl FROM w) SELECT term, count(*) AS df, n_docs, avgdl FROM (SELECT unnest(list_distinct(ws)) AS term FROM w), f GROUP BY ALL")
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return S.term_stats(mem(spark, sf, "content")).withColumn("avgdl", F.round("avgdl", 6))
+    return S.term_stats(index(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("postings", f"WITH {_MEM} SELECT term, id, count(*) AS tf FROM (SELECT id, unnest({_TOKENS}) AS term FROM mem) GROUP BY ALL")
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return S.postings(mem(spark, sf, "content"))
+    return S.postings(raw(spark, sf, "content"))
 
 
 _Q64 = [((k * 37) % 19 - 9) / 10 for k in range(64)]
@@ -381,7 +401,7 @@ def gate_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gate_counters", _GATED + " SELECT (SELECT count(*) FROM msg) AS processed, (SELECT count(*) FROM g) AS matched, coalesce((SELECT string_agg(domain, ',' ORDER BY domain) FROM (SELECT DISTINCT domain FROM g WHERE domain <> '')), '') AS domains")
 def gate_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return G.gate_counters(msgs(spark, sf))
+    return G.gate_counters(raw_msgs(spark, sf))
 
 
 ORACLE["memory_add_dedup"] = (
@@ -392,7 +412,7 @@ ORACLE["memory_add_dedup"] = (
 
 @query("detect_domain", _WITH + f"SELECT id, {_domain_sql('content')} AS detected FROM mem WHERE content IS NOT NULL")
 def detect_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return mem(spark, sf, "content").where("content IS NOT NULL").select("id", R.detect_domain(F.col("content")).alias("detected"))
+    return ST.once(raw(spark, sf, "content").where("content IS NOT NULL").select("id", R.detect_domain(F.col("content")).alias("detected")))
 
 
 def _captures_sql(rules, keep: str, tag: str) -> str:
@@ -543,8 +563,8 @@ def _pii_sql(col: str) -> str:
 
 @query("detect_pii", _WITH + "SELECT id, " + ", ".join(f"regexp_matches(content, '{p}') AS {k}" for k, p in _RE2.items()) + " FROM mem WHERE content IS NOT NULL")
 def detect_pii(spark: SparkSession, sf: str) -> DataFrame:
-    text = mem(spark, sf, "content").where("content IS NOT NULL")
-    return text.select("id", *[(F.size(R.pii_hits(F.col("content"), [(p, k)])) > 0).alias(k) for p, k in R.SHARING_PII])
+    text = raw(spark, sf, "content").where("content IS NOT NULL")
+    return ST.once(text.select("id", *[(F.size(R.pii_hits(F.col("content"), [(p, k)])) > 0).alias(k) for p, k in R.SHARING_PII]))
 
 
 _CUT = r"regexp_replace(regexp_replace(regexp_replace(text, '\[(?:source|来源):?\s*[\p{L}\p{N}_]+\]', '', 'g'), '~/[^\s]+', '', 'g'), '/Users/[\p{L}\p{N}_]+/[^\s]+', '', 'g')"
@@ -561,7 +581,7 @@ def _clean_sql(col: str) -> str:
 
 @query("training_scrub", _WITH + f"SELECT id, CASE WHEN {_pii_sql('content')} THEN '' ELSE {_clean_sql('content')} END AS clean FROM mem WHERE content IS NOT NULL")
 def training_scrub(spark: SparkSession, sf: str) -> DataFrame:
-    return mem(spark, sf, "content").where("content IS NOT NULL").select("id", R.training_scrub(F.col("content")).alias("clean"))
+    return ST.once(raw(spark, sf, "content").where("content IS NOT NULL").select("id", R.training_scrub(F.col("content")).alias("clean")))
 
 
 @query("contributor_hash", "SELECT DISTINCT entry_id, substr(sha256(entry_id || ':engramlake'), 1, 16) AS hash FROM votes WHERE entry_id IS NOT NULL")
