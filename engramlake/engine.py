@@ -7,12 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.operators import consolidate as co
 from engramlake.operators import gate as g
 from engramlake.operators import habits as h
 from engramlake.operators import refine as r
 from engramlake.operators import search as s
 from engramlake.operators import store as st
 from engramlake.operators import triples as tr
+from engramlake.session import cut, drop
 
 #: A language model: (prompt, system) -> answer. None: nothing that needs one is done.
 Model = Callable[[str, str], str]
@@ -40,15 +42,39 @@ class Memory:
             "hit_count": F.lit(0), "last_hit_at": F.lit(0.0), "decay_count": F.lit(0), "created_at": F.col("ts"),
         }
         rows = new.select(*[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name) for f in st.MEMORY_SCHEMA])
-        rows = rows.persist()
+        rows = cut(rows)
         n = rows.count()
-        self.store = self.store.unionByName(rows)
+        # a snapshot of its own, so plans do not grow with every call; the one before is not read any more
+        before, self.store = self.store, cut(self.store.unionByName(rows))
+        drop(before, rows)
         user = g.user_messages(messages)
         found = tr.from_text(user, "content", ["ts"]).withColumnRenamed("ts", "valid_from")
-        self.triples = self.triples.unionByName(found.select("subject", "relation", "object", "valid_from"))
-        self.facts = self.facts.unionByName(g.profile_facts(messages, []))
+        self.triples = cut(self.triples.unionByName(found.select("subject", "relation", "object", "valid_from")))
+        self.facts = cut(self.facts.unionByName(g.profile_facts(messages, [])))
+        if self.model is not None:
+            self.aggregate()
         return n
 
+    def aggregate(self) -> int:
+        """Put a summary of the model above the facts, then the patterns, of every domain that is due. Returns the summaries."""
+        made = 0
+        for low, due in ((st.FACT, r.fact_candidates), (st.PATTERN, r.pattern_candidates)):
+            rows = due(self.store)
+            if rows.isEmpty():
+                continue
+            now = self.store.agg(F.coalesce(F.max("ts"), F.lit(0.0))).first()[0]
+            changes = cut(co.aggregated(self.store, rows, low + 1, now, lambda texts: self.model("\n".join(texts), "Sum up in one sentence.")))
+            made += changes.where(F.col("level") == low + 1).count()
+            self.store = cut(co.with_changes(self.store, changes))
+        return made
+
+    def dream(self, now: float) -> dict[str, int]:
+        """Prune what decayed and what is redundant. Returns how many memories were archived."""
+        before = self.stats()["archived"]
+        merge = None if self.model is None else lambda texts: self.model("\n".join(texts), "Merge into one sentence.")
+        self.store = cut(co.pruned(self.store, now, merge))
+        return {"archived": self.stats()["archived"] - before}
+
     def search(self, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
         """Memories for a query: content, domain, level, score, method."""
         return s.hybrid_search(self.store, query, limit, domain).select("id", "content", "domain", "level", "score", "method")
@@ -95,9 +121,19 @@ class Memory:
         return found
 
     def apply(self, answer: str) -> list[tuple[str, int | None, str]]:
-        """Carry out a model's ARCHIVE and DECAY lines."""
+        """Carry out a model's MERGE, ARCHIVE, DECAY and INSIGHT lines."""
         actions = r.actions_of(answer)
-        gone = [(i,) for kind, i, _ in actions if kind == "archive" and i is not None]
+        merges = [ids for kind, _, rest in actions if kind == "merge" and len(ids := r.merge_ids(rest)) > 1]
+        if merges:
+            pairs = self.spark.createDataFrame([(ids[0], other) for ids in merges for other in ids[1:]], "id bigint, other bigint")
+            hits = pairs.join(self.store.select(F.col("id").alias("other"), "hit_count"), "other").groupBy("id").agg(F.max("hit_count").alias("_h"))
+            self.store = self.store.join(hits, "id", "left").withColumn("hit_count", F.greatest("hit_count", "_h")).select(*self.store.columns)
+        insights = [rest for kind, _, rest in actions if kind == "insight"]
+        if insights:
+            top = self.habits.agg(F.coalesce(F.max("habit_id"), F.lit(0))).first()[0]
+            rows = [(top + k + 1, text, "candidate", 0.5, []) for k, text in enumerate(insights)]
+            self.habits = self.habits.unionByName(self.spark.createDataFrame(rows, self.habits.schema), allowMissingColumns=True)
+        gone = [(i,) for kind, i, _ in actions if kind == "archive" and i is not None] + [(i,) for ids in merges for i in ids[1:]]
         if gone:
             delta = self.spark.createDataFrame(gone, "id bigint").distinct().withColumn("status", F.lit(st.ARCHIVED))
             self.store = st.updated(self.store, delta)

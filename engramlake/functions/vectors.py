@@ -1,9 +1,9 @@
 """Bipolar hypervectors and dense vectors as columns.
 
-A concept's vector is a pure function of the concept: bit i of it is bit
-i mod 64 of a hash of (concept, i div 64). Vectors are kept packed, as
-array<bigint> of 64 signs each (1 means -1), so binding is XOR and similarity
-a population count, both inside generated code.
+A concept's vector is a pure function of the concept: 256 bits at a time it is
+the SHA-256 of the concept and a counter, so any engine can check it. Vectors
+are kept packed, as array<bigint> of 64 signs each (1 means -1), so binding is
+XOR and similarity a population count, both inside generated code.
 """
 
 from __future__ import annotations
@@ -17,8 +17,18 @@ DIM = 1024
 
 def encode(concept: Column, dim: int = DIM) -> Column:
     """The packed vector of a concept; null for null."""
-    words = F.array(*[F.xxhash64(concept, F.lit(i)) for i in range(dim // 64)])
-    return F.when(concept.isNotNull(), words)
+    # four numbers of each digest; conv to base -10 gives signed 64-bit numbers
+    words = F.flatten(F.transform(_digests(concept, dim), lambda h: F.array(*[F.conv(F.substring(h, 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)])))
+    return F.when(concept.isNotNull(), F.slice(words, 1, dim // 64))
+
+
+def _digests(concept: Column, dim: int) -> Column:
+    return F.array(*[F.sha2(F.concat(concept, F.lit(f":{i}")), 256) for i in range(-(-dim // 256))])
+
+
+def hexed(concept: Column, dim: int = DIM) -> Column:
+    """``encode`` as a string of hexadecimal digits, 16 for each number."""
+    return F.substring(F.concat(*[F.sha2(F.concat(concept, F.lit(f":{i}")), 256) for i in range(-(-dim // 256))]), 1, dim // 4)
 
 
 def bind(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramlake.functions.text import tokens
-from engramlake.functions.vectors import DIM, bind, encode, similarity
+from engramlake.functions.vectors import DIM, bind, encode, hexed, similarity
 
 
 def pair_vector(subject: Column, predicate: Column, dim: int = DIM) -> Column:
@@ -42,7 +42,8 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 def _majority(dim: int):
     def run(words: pd.Series) -> pd.Series:
         none = np.zeros(dim // 64, np.int64)
-        return pd.Series([none if w is None or not len(w) else _pack(_counters(np.asarray(w, np.int64).reshape(-1, dim // 64)).sum(0, keepdims=True))[0] for w in words])
+        rows = (np.frombuffer(bytes.fromhex("".join(w)), ">i8").astype(np.int64).reshape(-1, dim // 64) if w is not None and len(w) else None for w in words)
+        return pd.Series([none if r is None else _pack(_counters(r).sum(0, keepdims=True))[0] for r in rows])
 
     return F.pandas_udf(run, T.ArrayType(T.LongType()))
 
@@ -52,7 +53,7 @@ def bag_encoded(habits: DataFrame, id_col: str, text_col: str = "description", d
 
     Words are hashed in generated code; one vectorised call bundles a row's.
     """
-    words = F.flatten(F.transform(F.array_distinct(tokens(F.col(text_col))), lambda w: encode(w, dim)))
+    words = F.transform(F.array_distinct(tokens(F.col(text_col))), lambda w: hexed(w, dim))
     return habits.select(id_col, _majority(dim)(words).alias("hv"))
 
 

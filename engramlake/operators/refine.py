@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions.rules import has_pii, scrub, training_scrub
 from engramlake.functions.text import word_overlap, word_set
+from engramlake.operators.gate import profile_how, profile_latest
 from engramlake.operators.store import FACT, PATTERN, PRINCIPLE, active, domain_counts, newest
 
 
@@ -99,19 +100,30 @@ def insights_of(answer: str | None, default: float = 0.5) -> list[tuple[str, flo
     return out
 
 
-_ACTIONS = {"MERGE": "merge", "KEEP": "keep", "ARCHIVE": "archive", "DECAY": "decay"}
+_ACTIONS = {"MERGE": "merge", "KEEP": "keep", "ARCHIVE": "archive", "DECAY": "decay", "INSIGHT": "insight"}
+_ANY_ACTION = "|".join(_ACTIONS)
 
 
 def actions_of(answer: str | None) -> list[tuple[str, int | None, str]]:
-    """(type, memory id, rest) of MERGE, KEEP, ARCHIVE and DECAY lines; several on one line count each."""
+    """(type, memory id, rest) of MERGE, KEEP, ARCHIVE, DECAY and INSIGHT lines; several on one line count each.
+
+    ARCHIVE and DECAY need an id, INSIGHT a text; ``merge_ids`` reads a MERGE's ids.
+    """
     out = []
-    for m in re.finditer(r"\b(MERGE|KEEP|ARCHIVE|DECAY):\s*(.*?)(?=\b(?:MERGE|KEEP|ARCHIVE|DECAY):|\n|$)", answer or ""):
-        number = re.match(r"(\d+)", m.group(2))
-        if number or m.group(1) in ("MERGE", "KEEP"):
-            out.append((_ACTIONS[m.group(1)], int(number.group(1)) if number else None, m.group(2).strip()))
+    for m in re.finditer(rf"\b({_ANY_ACTION}):\s*(.*?)(?=\b(?:{_ANY_ACTION}):|\n|$)", answer or ""):
+        kind, rest = _ACTIONS[m.group(1)], m.group(2).strip()
+        number = re.match(r"(\d+)", rest) if kind != "insight" else None
+        if number or kind in ("merge", "keep") or (kind == "insight" and rest):
+            out.append((kind, int(number.group(1)) if number else None, rest))
     return out
 
 
+def merge_ids(rest: str) -> list[int]:
+    """The ids a MERGE line names before any other text, each once: the first stays, the others go into it."""
+    head = re.match(r"(?:\D{0,3}\d+(?:\s*(?:\+|,|and|&|with|into)\s*)?)*", rest).group()
+    return list(dict.fromkeys(int(x) for x in re.findall(r"\d+", head)))
+
+
 def parsed_insights(answers: DataFrame, keep: list[str], text_col: str, default: float = 0.5) -> DataFrame:
     """``insights_of`` over a table of answers: keep columns, pos, description, confidence."""
 
@@ -245,3 +257,29 @@ def digest(who: dict[str, str], how: dict[str, str], what: dict[str, str], total
     text = "\n".join(parts)
     estimate = len(text) // 2
     return text if estimate <= token_budget else text[: len(text) * token_budget // estimate]
+
+
+def digests(facts: DataFrame, by: list[str], store: DataFrame, token_budget: int = 250) -> DataFrame:
+    """The text a prompt starts with, for each speaker: by columns, text. Set-at-a-time form of ``digest``.
+
+    ``facts`` are profile facts (by columns, ts, facet, key, value). Keys stand
+    in alphabetical order; the store's figures are the same for all.
+    """
+    latest, how = profile_latest(facts, by), profile_how(facts, by)
+    rows = latest.select(*by, "facet", "key", "value").unionByName(how.select(*by, F.lit("how").alias("facet"), "key", "value"))
+    listed = rows.groupBy(*by).agg(*[F.sort_array(F.collect_list(F.when(F.col("facet") == f, F.struct("key", "value")))).alias(f) for f in ("who", "how", "what")])
+    domains = active_domains(store).agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("memory_count"), "domain"))), lambda x: x["domain"]).alias("_d"))
+    total = active(store).agg(F.count(F.lit(1)).alias("_n"))
+    who = F.array_join(F.transform("who", lambda x: F.concat_ws(": ", x["key"], x["value"])), ", ")
+    how_, what = (F.array_join(F.transform(f, lambda x: x["value"]), "; ") for f in ("how", "what"))
+    parts = [
+        F.when(F.size("who") > 0, F.concat(F.lit("User: "), who)),
+        F.when(F.size("how") > 0, F.concat(F.lit("Style: "), how_)),
+        F.when(F.size("what") > 0, F.concat(F.lit("Focus: "), what)),
+        F.when(F.col("_n") > 0, F.concat(F.lit("Memory: "), F.col("_n").cast("string"), F.lit(" entries across "), F.array_join("_d", ", "))),
+    ]
+    text = F.concat_ws("\n", *parts)
+    estimate = F.floor(F.length("_text") / 2)
+    cut_at = F.floor(F.length("_text") * F.lit(token_budget) / estimate).cast("int")
+    figures = listed.crossJoin(F.broadcast(domains.crossJoin(total))).withColumn("_text", text)
+    return figures.select(*by, F.when(estimate <= token_budget, F.col("_text")).otherwise(F.substring(F.col("_text"), F.lit(1), cut_at)).alias("text"))

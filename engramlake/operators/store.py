@@ -96,12 +96,16 @@ def exists(store: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(known, ["content", "domain"], "left_semi")
 
 
-def updated(store: DataFrame, delta: DataFrame) -> DataFrame:
-    """The next snapshot: columns of ``delta`` (id and any others) replace those of the same id where not null."""
+def updated(store: DataFrame, delta: DataFrame, set_nulls: bool = False) -> DataFrame:
+    """The next snapshot: columns of ``delta`` (id and any others) replace those of the same id.
+
+    A null in ``delta`` leaves the value as it is, or, with ``set_nulls``, clears it.
+    """
     change = [c for c in delta.columns if c != "id"]
-    new = delta.select("id", *[F.col(c).alias(f"_{c}") for c in change])
+    new = delta.select("id", F.lit(True).alias("_in"), *[F.col(c).alias(f"_{c}") for c in change])
     joined = store.join(new, "id", "left")
-    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in change else F.col(c) for c in store.columns])
+    value = {c: F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)) if set_nulls else F.coalesce(f"_{c}", c) for c in change}
+    return joined.select(*[value[c].alias(c) if c in value else F.col(c) for c in store.columns])
 
 
 def deleted(store: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions.text import strip
@@ -104,6 +104,33 @@ def front_matter(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     )
 
 
+def import_documents(texts: DataFrame, key: str, text_col: str, known: DataFrame) -> DataFrame:
+    """What importing documents with front matter does: key, outcome (imported, skipped, error), content, domain, name.
+
+    A document's memory is its symptom, fix and context, or the first 200
+    characters of its body; its domain the first one of its header. Without a
+    header it is an error. Of equal (content, domain) the smallest key counts,
+    and what ``known`` (content, domain of active memories) has is skipped.
+    """
+    heads = front_matter(texts, key, text_col)
+    parts = [F.when(F.col(c) != "", F.concat(F.lit(f"{c}: "), F.col(c))) for c in ("symptom", "fix", "context")]
+    said = F.concat_ws(" | ", *parts)
+    first = F.lower(strip(F.element_at(F.split("domain", ","), 1)))
+    rows = heads.select(key, F.when(said != "", said).otherwise(F.substring("body", 1, 200)).alias("content"), F.when(F.col("domain") != "", first).otherwise("community").alias("domain"), F.col("id").alias("name"))
+    rank = F.row_number().over(Window.partitionBy("content", "domain").orderBy(key))
+    there = known.select(F.col("content").alias("_c"), F.col("domain").alias("_d")).distinct().withColumn("_k", F.lit(True))
+    marked = rows.withColumn("_r", rank).join(there, (F.col("content") == F.col("_c")) & (F.col("domain") == F.col("_d")), "left")
+    done = marked.select(key, F.when((F.col("_r") == 1) & F.col("_k").isNull(), "imported").otherwise("skipped").alias("outcome"), "content", "domain", "name")
+    none = F.lit(None).cast("string")
+    broken = texts.join(heads.select(key), key, "left_anti").select(key, F.lit("error").alias("outcome"), none.alias("content"), none.alias("domain"), none.alias("name"))
+    return done.unionByName(broken)
+
+
+def import_uses(imported: DataFrame, at: Column) -> DataFrame:
+    """One use of each imported entry, for the vote log: entry_id, vote, is_usage, ts."""
+    return imported.where("outcome = 'imported' AND name <> ''").select(F.col("name").alias("entry_id"), F.lit(None).cast("int").alias("vote"), F.lit(True).alias("is_usage"), at.alias("ts"))
+
+
 def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Whole text files: file (name), text."""
     rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from engramlake.operators.gate import gate
+from engramlake.operators.gate import gate, profile_facts, user_messages
+from engramlake.operators.triples import from_text
+from engramlake.session import cut, drop
 
 
-def stream_ingest(messages: DataFrame, out: str, checkpoint: str, rules=None) -> StreamingQuery:
-    """Write the gate's memories of a stream of messages to ``out``, each content once.
+def stream_ingest(messages: DataFrame, out: str, checkpoint: str, rules=None, fold: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Take in a stream of messages: memories, each content once, profile facts and triples, in folders of ``out``.
 
-    A micro-batch is anti-joined with what is stored; it writes to a folder
-    named by its id and overwrites it, so a batch run twice leaves one copy.
+    Of what is stored, a micro-batch reads only the keys of contents, 16 bytes
+    each. It writes to folders named by its id and overwrites them, so a batch
+    run twice leaves one copy. ``fold`` is called with the new memories and the
+    batch's id, e.g. to see which domains are due for a summary.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        new = gate(rows, rules) if rules else gate(rows)
-        old = stored(spark, out)
+        rows = cut(rows)  # read several times
+        new = (gate(rows, rules) if rules else gate(rows)).withColumn("key", F.unhex(F.md5("content")))
+        old = stored(spark, f"{out}/memories")
         if old is not None:
-            earlier = old.where(F.col("batch") < number).select("content").distinct()
-            new = new.join(earlier, "content", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            new = new.join(old.where(F.col("batch") < number).select("key"), "key", "left_anti")
+        target = f"{out}/memories/batch={number}"
+        new.write.mode("overwrite").parquet(target)
+        profile_facts(rows, []).write.mode("overwrite").parquet(f"{out}/facts/batch={number}")
+        said = user_messages(rows).where(F.col("content").isNotNull())
+        from_text(said, "content", ["ts"]).write.mode("overwrite").parquet(f"{out}/triples/batch={number}")
+        if fold is not None:
+            fold(spark.read.parquet(target), number)
+        drop(rows)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_votes(votes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of votes to the log, a folder for each month."""
+    rows = votes.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    return rows.writeStream.format("json").partitionBy("month").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stored(spark: SparkSession, out: str) -> DataFrame | None:
     """What a stream has written so far, or None."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root) or not fs.listStatus(root):
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException:
         return None
-    return spark.read.parquet(out)
 
 
 def tumbling(events: DataFrame, width: str = "1 day", at: str = "ts", late: str | None = None) -> DataFrame:

@@ -224,7 +224,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (src / f"{k}.json").write_text("\n".join(f'{{"role": "user", "content": "I like tea number {i}", "ts": {k}.0}}' for i in range(k, k + 4)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
     stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = sorted(r.content for r in stored(spark, str(tmp_path / "out")).collect())
+    got = sorted(r.content for r in stored(spark, str(tmp_path / "out/memories")).collect())
     want = sorted(r.content for r in G.gate(spark.read.schema(schema).json(str(src))).collect())
     assert got == want
 
