@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,21 @@ def nearest(habits: DataFrame, query: Column, k: int = 5, least: float | None =
     """The k habits (with hv) most similar to a query vector; ``least`` is applied after the k."""
     best = habits.withColumn("similarity", F.round(similarity(F.col("hv"), query), 6)).orderBy(F.desc("similarity"), "habit_id").limit(k)
     return best if least is None else best.where(F.col("similarity") > least)
+
+
+def beside(memories_found: DataFrame, habits: DataFrame, query: str, memories: int = 7, k: int = 3) -> DataFrame:
+    """The best memories of a search and the ``k`` habits nearest to the query: id, domain, level, score, in this order.
+
+    A habit's score is its confidence. ``memories_found`` are a hybrid search's
+    rows with its order in level, score, src and pos.
+    """
+    name = F.when(F.col("level") == 2, "principle").when(F.col("level") == 1, "pattern").otherwise("fact")
+    best = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.coalesce("level", F.lit(0))), F.desc("score"), "src", "pos")  # a search's few rows
+    first = memories_found.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= memories)
+    asked = bag_encoded(habits.sparkSession.range(1).select(F.col("id").alias("habit_id"), F.lit(query).alias("description")), "habit_id")
+    near = nearest(bag_encoded(habits, "habit_id").crossJoin(F.broadcast(asked.select(F.col("hv").alias("q")))), F.col("q"), k).select("habit_id", "similarity")
+    rows = habits.join(F.broadcast(near), "habit_id").withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), "habit_id")))
+    both = first.select(F.lit(0).alias("_part"), "_at", "id", "domain", name.alias("level"), "score").unionByName(
+        rows.select(F.lit(1).alias("_part"), "_at", F.col("habit_id").alias("id"), F.lit("habits").alias("domain"), F.lit("habit").alias("level"), F.col("confidence").alias("score"))
+    )
+    return both.orderBy("_part", "_at").limit(memories + k).select("id", "domain", "level", F.round("score", 6).alias("score"))

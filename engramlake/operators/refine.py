@@ -64,7 +64,7 @@ def wander_pool(store: DataFrame, habits: DataFrame, principles: int = 20, patte
 
 def wander_sample(pool: DataFrame, seed: int, n: int = 5) -> DataFrame:
     """n of the pool, the same ones for a seed."""
-    return pool.orderBy(F.xxhash64(F.lit(seed), "kind", "id"), "kind", "id").limit(n)
+    return pool.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "kind", F.col("id").cast("string"))), "kind", "id").limit(n)
 
 
 def prompts(store: DataFrame, per_domain: int = 15, header: str = "What do these notes of one person have in common?") -> DataFrame:
@@ -120,7 +120,8 @@ def actions_of(answer: str | None) -> list[tuple[str, int | None, str]]:
 
 def merge_ids(rest: str) -> list[int]:
     """The ids a MERGE line names before any other text, each once: the first stays, the others go into it."""
-    head = re.match(r"(?:\D{0,3}\d+(?:\s*(?:\+|,|and|&|with|into)\s*)?)*", rest).group()
+    between = r"[\s\[\](){}#,;+&]*"
+    head = re.match(rf"(?:{between}(?:and|with|into)?{between}\d+)*", rest).group()
     return list(dict.fromkeys(int(x) for x in re.findall(r"\d+", head)))
 
 

@@ -11,6 +11,7 @@ from engramlake.functions import rules as R
 from engramlake.functions import text as X
 from engramlake.functions import vectors as V
 from engramlake.functions.embedding import embed
+from engramlake.operators import consolidate as C
 from engramlake.operators import gate as G
 from engramlake.operators import habits as H
 from engramlake.operators import refine as E
@@ -29,7 +30,7 @@ ORACLE: dict[str, str] = {}
 
 #: The time queries run at, and what they look for.
 NOW = 1_751_500_000.0
-WORD, OTHER, PHRASE, SUBSTRING, DOMAIN, AS_OF, SUBJECT = "kettle", "harbour", "night market", "Tea House", "work", 1_700_000_000.0, "user"
+WORD, OTHER, BESIDE, PHRASE, SUBSTRING, DOMAIN, AS_OF, SUBJECT = "kettle", "harbour", "never", "night market", "Tea House", "work", 1_700_000_000.0, "user"
 
 MEMORY_COLUMNS = ["id", "content", "domain", "ts", "level", "parent_id", "status", "privacy", "hit_count", "last_hit_at", "decay_count", "created_at", "metadata"]
 
@@ -109,10 +110,11 @@ def memory_get(spark: SparkSession, sf: str) -> DataFrame:
     return raw(spark, sf, "content", "domain", "level", "status").where(F.col("id") == wanted).limit(1)
 
 
-@query("memory_exists", _WITH + f"SELECT DISTINCT m.msg_id FROM messages m JOIN mem ON mem.content = m.content WHERE mem.{_ACTIVE}")
+@query("memory_exists", _WITH + f"SELECT DISTINCT a.id FROM mem a JOIN mem b ON a.content = b.content AND a.domain = b.domain WHERE a.status = 'archived' AND b.{_ACTIVE}")
 def memory_exists(spark: SparkSession, sf: str) -> DataFrame:
-    known = ST.active(mem(spark, sf, "content", "status")).select("content").distinct()
-    return msgs(spark, sf).join(known, "content", "left_semi").select("msg_id")
+    """The archived memories that were stored again."""
+    rows = raw(spark, sf, "content", "domain", "status")
+    return ST.exists(rows, rows.where("status = 'archived'")).select("id").distinct()
 
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,9 +237,9 @@ def _found(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("id", "domain", "level", F.round("score", 6).alias("score"), *more)
 
 
-@query("fts_and", _fts_sql([WORD, OTHER], "t0 > 0 AND t1 > 0") + f" SELECT {_COLS} FROM hit")
+@query("fts_and", _fts_sql([WORD, BESIDE], "t0 > 0 AND t1 > 0") + f" SELECT {_COLS} FROM hit")
 def fts_and(spark: SparkSession, sf: str) -> DataFrame:
-    return _found(S.scored(index(spark, sf), f"{WORD} {OTHER}"))
+    return _found(S.scored(index(spark, sf), f"{WORD} {BESIDE}"))
 
 
 @query("fts_or", _fts_sql([WORD, OTHER], "(t0 > 0 OR t1 > 0)") + f" SELECT {_COLS} FROM hit")
@@ -445,11 +447,25 @@ def profile_who(spark: SparkSession, sf: str) -> DataFrame:
     return G.profile_latest(G.profile_facts(msgs(spark, sf), ["conv_id"]), ["conv_id"])
 
 
-@query("profile_how")
+_HOW = "SELECT conv_id, key, list_reduce(list(value ORDER BY ts, value), lambda a, x: CASE WHEN contains(a, x) THEN a ELSE a || '; ' || x END) AS value FROM (SELECT conv_id, key, value, min(ts) AS ts FROM f WHERE facet = 'how' GROUP BY ALL) GROUP BY ALL"
+
+
+@query("profile_how", _USER + f", f AS ({_FACTS}) " + _HOW)
 def profile_how(spark: SparkSession, sf: str) -> DataFrame:
     return G.profile_how(G.profile_facts(msgs(spark, sf), ["conv_id"]), ["conv_id"])
 
 
+@query(
+    "digest",
+    _USER + f", f AS ({_FACTS}), {_MEM}, lt AS (SELECT conv_id, facet, key, arg_max(value, (ts, value)) AS value FROM f WHERE facet IN ('who', 'what') GROUP BY ALL UNION ALL SELECT conv_id, 'how', key, value FROM ({_HOW})),"
+    " parts AS (SELECT conv_id, 'User: ' || string_agg(key || ': ' || value, ', ' ORDER BY key) FILTER (facet = 'who') AS w, 'Style: ' || string_agg(value, '; ' ORDER BY key) FILTER (facet = 'how') AS h, 'Focus: ' || string_agg(value, '; ' ORDER BY key) FILTER (facet = 'what') AS g FROM lt GROUP BY 1),"
+    f" d AS (SELECT string_agg(domain, ', ' ORDER BY c DESC, domain) AS d FROM (SELECT domain, count(*) AS c FROM mem WHERE domain <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)), x AS (SELECT conv_id, concat_ws(chr(10), w, h, g, 'Memory: ' || (SELECT count(*) FROM mem WHERE {_ACTIVE}) || ' entries across ' || d.d) AS t FROM parts, d)"
+    " SELECT conv_id, CASE WHEN length(t) // 2 <= 250 THEN t ELSE substr(t, 1, CAST(floor(length(t) * 250 / (length(t) // 2)) AS INTEGER)) END AS text FROM x",
+)
+def digest(spark: SparkSession, sf: str) -> DataFrame:
+    return E.digests(G.profile_facts(msgs(spark, sf), ["conv_id"]), ["conv_id"], mem(spark, sf, "domain", "status"))
+
+
 @query("turn_triggers", f"WITH {_MSG} SELECT msg_id, conv_id, CAST(n AS INTEGER) AS n_turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, msg_id) AS n FROM msg) WHERE n % 10 = 0")
 def turn_triggers(spark: SparkSession, sf: str) -> DataFrame:
     return G.every_n(msgs(spark, sf), 10).select("msg_id", "conv_id", "n_turns")
@@ -533,9 +549,13 @@ def score_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("score_verify", _SCORES + " SELECT entry_id FROM z WHERE usage_count >= 5 AND final_score >= 8")
+#: A time at which enough votes are young.
+VOTED = 1_690_000_000.0
+
+
+@query("score_verify", _SCORES.replace(str(NOW), str(VOTED)) + " SELECT entry_id FROM z WHERE usage_count >= 5 AND final_score >= 8")
 def score_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return VO.scores(votes(spark, sf), NOW).where(VO.proven()).select("entry_id")
+    return VO.scores(votes(spark, sf), VOTED).where(VO.proven()).select("entry_id")
 
 
 @query("score_archivable", _SCORES + f" SELECT entry_id FROM z WHERE (last_vote = 0 AND first_seen > 0 AND ({NOW} - first_seen) / 86400.0 > 180) OR (usage_count >= 10 AND final_score <= 0)")
@@ -619,6 +639,26 @@ def word_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(above, F.col("parent_id") == F.col("_p")).select("id", F.round(X.word_overlap(F.col("ws"), F.col("wp")), 6).alias("overlap"))
 
 
+_LINKED = f"link AS (SELECT a.id AS id_a, b.id AS id_b FROM l a JOIN l b ON a.domain = b.domain AND b.rn > a.rn AND b.rn <= a.rn + 3 WHERE a.rn <= 10 AND round({_OVERLAP}, 6) > 0.6)"
+_MERGED = "SELECT mem.id, decay_count, CAST(greatest(hit_count, (SELECT max(hit_count) FROM mem b JOIN link ON link.id_b = b.id WHERE link.id_a = mem.id)) AS INTEGER) AS hit_count, CASE WHEN mem.id IN (SELECT id_b FROM link) THEN 'archived' ELSE status END AS status FROM mem"
+
+
+@query("redundancy_apply", _WITH + ", " + _LINED + ", " + _LINKED + " " + _MERGED)
+def redundancy_apply(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mem(spark, sf, "content", "domain", "level", "status", "ts", "hit_count", "decay_count")
+    return C.without_redundancy(rows).select("id", "decay_count", "hit_count", "status")
+
+
+@query(
+    "dream_prune",
+    f"WITH all_ AS (SELECT DISTINCT {', '.join(MEMORY_COLUMNS)} FROM memories), due AS (SELECT id FROM all_ WHERE {_ACTIVE} AND level = 0 AND domain <> '' AND {_DECAYS}), mem AS (SELECT all_.* REPLACE (CAST(coalesce(decay_count, 0) + CASE WHEN due.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS decay_count,"
+    " CASE WHEN due.id IS NOT NULL AND coalesce(decay_count, 0) + 1 >= 3 THEN 'archived' ELSE status END AS status) FROM all_ LEFT JOIN due ON due.id = all_.id), " + _LINED + ", " + _LINKED + " " + _MERGED,
+)
+def dream_prune(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mem(spark, sf, "content", "domain", "level", "status", "ts", "hit_count", "decay_count", "last_hit_at", "created_at")
+    return C.pruned(rows, NOW).select("id", "decay_count", "hit_count", "status")
+
+
 def _due_sql(low: int, high: int, least: int, ratio: int, take: int) -> str:
     return (
         f"{_WITH}, n AS (SELECT domain, count(*) FILTER (level = {low}) AS lows, count(*) FILTER (level = {high}) AS highs FROM mem WHERE {_ACTIVE} AND domain <> '' GROUP BY 1)"
@@ -637,6 +677,32 @@ def aggregate_pattern_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return E.pattern_candidates(mem(spark, sf, "domain", "level", "status", "ts"))
 
 
+def _applied_sql(low: int) -> str:
+    due = _due_sql(0, 1, 10, 10, 20) if low == 0 else _due_sql(1, 2, 3, 3, 10)
+    return (
+        f"{_WITH}, due AS ({due.removeprefix(_WITH + ', n AS').replace('(SELECT domain, count', 'WITH n AS (SELECT domain, count', 1)}), got AS (SELECT mem.*, due.rn FROM mem JOIN due ON due.id = mem.id),"
+        " txt AS (SELECT domain, string_agg(content, '; ' ORDER BY rn) AS t FROM got GROUP BY 1), new AS (SELECT domain, t, (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY domain) AS nid FROM txt WHERE trim(t) <> '')"
+        f" SELECT nid AS id, domain, {low + 1} AS level, CAST(NULL AS BIGINT) AS parent_id, md5(t) AS text FROM new"
+        " UNION ALL SELECT got.id, got.domain, got.level, new.nid, md5(content) FROM got JOIN new ON new.domain = got.domain WHERE parent_id IS NULL OR parent_id IN (0, -1)"
+    )
+
+
+def _applied(spark: SparkSession, sf: str, low: int) -> DataFrame:
+    rows = mem(spark, sf)
+    due = E.fact_candidates(rows) if low == 0 else E.pattern_candidates(rows)
+    return C.aggregated(rows, due, low + 1, NOW).select("id", "domain", "level", "parent_id", F.md5("content").alias("text"))
+
+
+@query("aggregate_facts", _applied_sql(0))
+def aggregate_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _applied(spark, sf, 0)
+
+
+@query("aggregate_patterns", _applied_sql(1))
+def aggregate_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return _applied(spark, sf, 1)
+
+
 _POOL = (
     _WITH + ", h AS (SELECT DISTINCT habit_id, description FROM habits), p AS (SELECT 'habit' AS kind, habit_id AS id, '[habit] ' || description AS text FROM h"
     + "".join(f" UNION ALL (SELECT '{t}', id, '[{t}/' || coalesce(domain, '') || '] ' || content FROM mem WHERE {_ACTIVE} AND level = {n} ORDER BY hit_count DESC, ts DESC, id LIMIT 20)" for n, t in ((2, "principle"), (1, "pattern")))
@@ -649,7 +715,7 @@ def wander_pool(spark: SparkSession, sf: str) -> DataFrame:
     return E.wander_pool(mem(spark, sf), ST.once(table(spark, sf, "habits"), "habit_id"))
 
 
-@query("wander_sample")
+@query("wander_sample", _POOL + " SELECT kind, id, text FROM p ORDER BY md5('1:' || kind || ':' || id), kind, id LIMIT 5")
 def wander_sample(spark: SparkSession, sf: str) -> DataFrame:
     return E.wander_sample(wander_pool(spark, sf), seed=1)
 
@@ -714,17 +780,48 @@ def text_embedding(spark: SparkSession, sf: str) -> DataFrame:
 # --- hypervectors -----------------------------------------------------------
 
 
+_TWO64 = "CAST(18446744073709551616 AS HUGEINT)"
+_TOP = "CAST(9223372036854775808 AS HUGEINT)"
+
+
+def _hv_sql(concept: str) -> str:
+    """A concept's 16 numbers, unsigned."""
+    return f"list_transform(generate_series(0, 15), lambda w: CAST(CAST('0x' || substr(sha256({concept} || ':' || CAST(w // 4 AS VARCHAR)), 16 * (w % 4) + 1, 16) AS UBIGINT) AS HUGEINT))"
+
+
+def _signed_sql(x: str) -> str:
+    return f"CAST(CASE WHEN {x} >= {_TOP} THEN {x} - {_TWO64} ELSE {x} END AS BIGINT)"
+
+
+_HABIT = "h AS (SELECT DISTINCT habit_id, description FROM habits WHERE description <> '')"
+_FIRST_WORD = r"(regexp_split_to_array(trim(description), '\s+'))[1]"
+_HABIT_HV = f"hv AS (SELECT habit_id, list_transform(list_zip({_hv_sql(_FIRST_WORD)}, {_hv_sql('description')}), lambda z: xor(CAST(z[1] AS UHUGEINT), CAST(z[2] AS UHUGEINT))) AS v FROM h)"
+
+
+def _majority_sql(rows: str, by: str) -> str:
+    """(by, v) of rows (by, v): the sign of the sums of each place, as 16 numbers."""
+    group = f"{by}, " if by else ""
+    return (
+        f"(SELECT {group}list(n ORDER BY w) AS v FROM (SELECT {group}w, sum(CASE WHEN s < 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END) AS n FROM"
+        f" (SELECT {group}w, i, sum(CASE WHEN (CAST(v[w] AS HUGEINT) >> i) & 1 = 1 THEN -1 ELSE 1 END) AS s FROM {rows}, generate_series(1, 16) a(w), generate_series(0, 63) b(i) GROUP BY {group}w, i) GROUP BY {group}w)" + (f" GROUP BY {by})" if by else ")")
+    )
+
+
+def _near_sql(a: str, b: str) -> str:
+    return f"round(1 - 2 * list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(CAST(CAST(xor(CAST(z[1] AS UHUGEINT), CAST(z[2] AS UHUGEINT)) AS HUGEINT) AS BIT)))) / 1024, 6)"
+
+
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     return H.encoded(ST.once(table(spark, sf, "habits").where("description <> ''"), "habit_id").select("habit_id", "description"))
 
 
-@query("hv_encode")
+@query("hv_encode", f"SELECT concept, CASE WHEN concept IS NOT NULL THEN list_transform({_hv_sql('concept')}, lambda x: {_signed_sql('x')}) END AS hv FROM (SELECT DISTINCT domain AS concept FROM memories)")
 def hv_encode(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "memories").select(F.col("domain").alias("concept")).distinct()
     return words.select("concept", V.encode(F.col("concept")).alias("hv"))
 
 
-@query("habit_encode")
+@query("habit_encode", f"WITH {_HABIT}, {_HABIT_HV} SELECT habit_id, list_transform(v, lambda y: {_signed_sql('CAST(y AS HUGEINT)')}) AS hv FROM hv")
 def habit_encode(spark: SparkSession, sf: str) -> DataFrame:
     return _encoded(spark, sf).select("habit_id", "hv")
 
@@ -757,12 +854,18 @@ def hv_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return H.bundle(_packed(spark, sf), ["label"], 64).select("label", V.signs(F.col("hv")).alias("bundled"))
 
 
-@query("habit_bundle")
+@query("habit_bundle", f"WITH {_HABIT}, {_HABIT_HV} SELECT list_transform(v, lambda y: {_signed_sql('CAST(y AS HUGEINT)')}) AS hv FROM {_majority_sql('hv', '')}")
 def habit_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return H.bundle(_encoded(spark, sf), [])
 
 
-@query("habit_query")
+def _bags_sql(asked: str) -> str:
+    """Words of every habit, and of what is asked as habit 0, with their numbers."""
+    words = _TOKENS.replace("content", "description")
+    return f"hw AS (SELECT habit_id, unnest(list_distinct({words})) AS word FROM (SELECT * FROM h UNION ALL SELECT 0, '{asked}')), wv AS (SELECT habit_id, {_hv_sql('word')} AS v FROM hw), bag AS (SELECT * FROM {_majority_sql('wv', 'habit_id')})"
+
+
+@query("habit_query", f"WITH {_HABIT}, {_bags_sql(f'habit {WORD} {PHRASE}')} SELECT a.habit_id, {_near_sql('a.v', 'q.v')} AS similarity FROM bag a, bag q WHERE q.habit_id = 0 AND a.habit_id <> 0 ORDER BY 2 DESC, 1 LIMIT 5")
 def habit_query(spark: SparkSession, sf: str) -> DataFrame:
     """The habits nearest to a text, by their words."""
     rows = ST.once(table(spark, sf, "habits").where("description <> ''"), "habit_id")
@@ -771,7 +874,7 @@ def habit_query(spark: SparkSession, sf: str) -> DataFrame:
     return H.nearest(bags.crossJoin(F.broadcast(asked.select(F.col("hv").alias("q")))), F.col("q")).select("habit_id", "similarity")
 
 
-@query("habit_query_pairs")
+@query("habit_query_pairs", f"WITH {_HABIT}, {_HABIT_HV} SELECT a.habit_id, {_near_sql('a.v', 'q.v')} AS similarity FROM hv a, hv q WHERE q.habit_id = 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def habit_query_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The habits nearest to a concept pair: the first habit's own."""
     rows = _encoded(spark, sf)
@@ -779,6 +882,21 @@ def habit_query_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return H.nearest(rows.crossJoin(F.broadcast(first)), F.col("q")).select("habit_id", "similarity")
 
 
+_TEN_AND_HABITS = (
+    _HYBRID + f", {_HABIT}, {_bags_sql(WORD)}, near AS (SELECT a.habit_id, {_near_sql('a.v', 'q.v')} AS s FROM bag a, bag q WHERE q.habit_id = 0 AND a.habit_id <> 0 ORDER BY 2 DESC, 1 LIMIT 3),"
+    " best AS (SELECT 0 AS part, row_number() OVER (ORDER BY coalesce(level, 0) DESC, m.score DESC, src, pos) AS rk, id, domain, CASE coalesce(level, 0) WHEN 2 THEN 'principle' WHEN 1 THEN 'pattern' ELSE 'fact' END AS level, score FROM m WHERE coalesce(privacy, 'open') <> 'sealed' QUALIFY rk <= 7),"
+    " hs AS (SELECT 1 AS part, row_number() OVER (ORDER BY s DESC, near.habit_id) AS rk, near.habit_id AS id, 'habits' AS domain, 'habit' AS level, confidence AS score FROM near JOIN (SELECT DISTINCT habit_id, confidence FROM habits) c ON c.habit_id = near.habit_id)"
+    " SELECT id, domain, level, round(score, 6) AS score FROM (SELECT * FROM best UNION ALL SELECT * FROM hs) ORDER BY part, rk LIMIT 10"
+)
+
+
+@query("search_with_habits", _TEN_AND_HABITS)
+def search_with_habits(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories and the habits nearest to the query, as one list."""
+    habits = ST.once(table(spark, sf, "habits").where("description <> ''"), "habit_id")
+    return H.beside(S.hybrid_search(index(spark, sf), WORD, limit=10), habits, WORD, memories=7)
+
+
 # --- sources and streams ----------------------------------------------------
 
 _LINES = (
@@ -801,11 +919,36 @@ def frontmatter_parse(spark: SparkSession, sf: str) -> DataFrame:
     return RD.front_matter(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text").select("doc_id", "id", "domain", "tags", "refs")
 
 
-@query("frontmatter_body")
+_AFTER_HEAD = r"regexp_extract(t, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n(.*)', 2)"
+_BODY = (
+    "d AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents WHERE text IS NOT NULL),"
+    rf" b AS (SELECT doc_id, trim(regexp_extract({_HEAD}, '(?m)^id:(.*)$', 1)) AS name, trim(regexp_extract({_HEAD}, '(?m)^domain:(.*)$', 1)) AS domain, {_STRIP.format(_AFTER_HEAD)} AS body FROM d WHERE regexp_matches(t, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n')),"
+    f" ln AS (SELECT doc_id, i, {_STRIP.format('raw')} AS x FROM (SELECT doc_id, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM b)),"
+    " st AS (SELECT *, last_value(CASE WHEN starts_with(x, 'fix:') THEN 1 WHEN starts_with(x, 'context:') OR starts_with(x, 'symptom:') OR x = '' THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS is_on FROM ln),"
+    f" pt AS (SELECT doc_id, i, x, CASE WHEN starts_with(x, 'fix:') THEN nullif({_STRIP.format('substr(x, 5)')}, '') WHEN is_on = 1 AND starts_with(x, '- ') THEN substr(x, 3) END AS p FROM st),"
+    f" fm AS (SELECT doc_id, coalesce(arg_max({_STRIP.format('substr(x, 9)')}, i) FILTER (starts_with(x, 'context:')), '') AS context, coalesce(arg_max({_STRIP.format('substr(x, 9)')}, i) FILTER (starts_with(x, 'symptom:')), '') AS symptom, coalesce(string_agg(p, '; ' ORDER BY i), '') AS fix FROM pt GROUP BY 1)"
+)
+
+
+@query("frontmatter_body", f"WITH {_BODY} SELECT * FROM fm")
 def frontmatter_body(spark: SparkSession, sf: str) -> DataFrame:
     return RD.front_matter(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text").select("doc_id", "context", "symptom", "fix")
 
 
+@query(
+    "import_documents",
+    f"WITH {_MEM}, {_BODY}, c AS (SELECT b.doc_id, name, CASE WHEN b.domain = '' THEN 'community' ELSE lower({_STRIP.format('split_part(b.domain, chr(44), 1)')}) END AS domain,"
+    " coalesce(nullif(concat_ws(' | ', CASE WHEN symptom <> '' THEN 'symptom: ' || symptom END, CASE WHEN fix <> '' THEN 'fix: ' || fix END, CASE WHEN context <> '' THEN 'context: ' || context END), ''), substr(body, 1, 200)) AS content FROM b JOIN fm ON fm.doc_id = b.doc_id),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY content, domain ORDER BY doc_id) AS rn FROM c)"
+    f" SELECT doc_id, CASE WHEN rn = 1 AND NOT EXISTS (SELECT 1 FROM mem WHERE mem.{_ACTIVE} AND mem.content = r.content AND mem.domain = r.domain) THEN 'imported' ELSE 'skipped' END AS outcome, domain, md5(content) AS text FROM r"
+    " UNION ALL SELECT doc_id, 'error', NULL, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b)",
+)
+def import_documents(spark: SparkSession, sf: str) -> DataFrame:
+    known = ST.active(raw(spark, sf, "content", "domain", "status"))
+    rows = RD.import_documents(table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text"), "doc_id", "text", known)
+    return rows.select("doc_id", "outcome", "domain", F.md5("content").alias("text"))
+
+
 @query(
     "import_counts",
     f"WITH {_LINES} SELECT 'topic' AS source, count(*) AS imported FROM sec WHERE line <> '' AND NOT starts_with(line, '#') AND length(line) > 5"

@@ -254,3 +254,111 @@ def test_habit_examples(spark, small):
     assert got["habit_summary", 0][2] == "Based on our interactions, I like long walks；reads at night"
     assert got["preferences", 0][2] == "I like long walks" and got["habits_list", 0][2] == "- I like long walks\n- reads at night"
     assert {k for k, _ in got} >= {"pattern_summary", "domain"} and "reads at night" in got["domain", 1][0]
+
+
+def test_index_equals_a_scan(spark):
+    df = store(spark, [(i, t, "d", float(i), 0, None, "active" if i != 3 else "archived", "open") for i, t in enumerate([*TEXTS, None], 1)])
+    index = S.build_index(df.unionByName(df.limit(2)))
+    for query in ("cat", "cat dog", "cat OR rat", "cat NOT rat", '"the dog"', '"of the" NOT cat', "nonsense", ""):
+        want = {r.id: round(r.score, 9) for r in S.scored(df, query).collect()}
+        assert {r.id: round(r.score, 9) for r in S.scored(index, query).collect()} == want
+    assert [r.id for r in S.search_like(index, "CAT", 3).collect()] == [7, 2, 1] and S.hybrid_search(index, "cat").count() == 3
+    assert S.scored(S.build_index(df.limit(0)), "cat").collect() == []
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from engramlake.plans import registry
+
+    def scans(df):
+        text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return [line for line in text.split("\n") if "PushedFilters" in line]
+
+    queries = registry.queries()
+    for name, column in (("memory_get", "id"), ("list_by_domain", "domain"), ("search_like", "status"), ("query_entity", "subject")):
+        assert any(column in line for line in scans(queries[name](spark, "/root/testdata/sf0.001"))), name
+
+
+def test_redundant_facts_are_merged(spark):
+    from engramlake.operators import consolidate as C
+
+    rows = [(1, "a b c d e", "x", 3.0, 0, None, "active", "open"), (2, "a b c d f", "x", 2.0, 0, None, "active", "open"), (3, "q r s", "x", 1.0, 0, None, "active", "open"), (4, None, "x", 0.0, 0, None, "active", "open")]
+    df = store(spark, rows).withColumn("hit_count", F.when(F.col("id") == 2, 7).otherwise(F.col("hit_count")))
+    got = {r.id: (r.status, r.hit_count, r.content) for r in C.without_redundancy(df).collect()}
+    assert got[1] == ("active", 7, "a b c d e") and got[2][0] == "archived" and got[3][0] == "active" and len(got) == 4
+    merged = {r.id: r.content for r in C.without_redundancy(df, " + ".join).collect()}
+    assert merged[1] == "a b c d e + a b c d f"
+    same = C.without_redundancy(df, lambda texts: " ")
+    assert {r.status for r in same.collect()} == {"active"}
+    assert C.without_redundancy(df.limit(0)).collect() == []
+    assert {r.id for r in C.pruned(df, now=-1.0).where("status = 'archived'").collect()} == {2}
+
+
+def test_summaries_stand_above_their_facts(spark):
+    from engramlake.operators import consolidate as C
+
+    df = store(spark, [(k, f"fact {k}", "x", float(k), 0, [None, 0, 99][k % 3], "active", "open") for k in range(1, 13)])
+    due = E.fact_candidates(df)
+    changes = {r.id: r for r in C.aggregated(df, due, 1, 50.0).collect()}
+    assert changes[13].level == 1 and changes[13].content == "; ".join(f"fact {k}" for k in range(12, 0, -1)) and changes[13].parent_id is None
+    assert {k: r.parent_id for k, r in changes.items() if k != 13} == {k: 13 for k in range(1, 13) if k % 3 != 2}
+    assert C.with_changes(df, C.aggregated(df, due, 1, 50.0, lambda t: "sum")).count() == 13
+    assert C.aggregated(df, due, 1, 50.0, lambda t: "").collect() == []
+
+
+def test_snapshots_by_version(spark, small, tmp_path):
+    path = str(tmp_path / "t")
+    assert SK.versions(spark, path) == [] and SK.read_snapshot(spark, path, schema=small.schema).collect() == []
+    with pytest.raises(FileNotFoundError):
+        SK.read_snapshot(spark, path)
+    assert SK.save_next(small.limit(3), path) == 1 and SK.save_next(small, path) == 2
+    assert SK.read_snapshot(spark, path).count() == 8 and SK.read_snapshot(spark, path, 1).count() == 3 and SK.versions(spark, path) == [1, 2]
+
+
+def test_imports_with_outcomes(spark, small):
+    doc = "---\nid: sw-1\ndomain: iOS, x\n---\nfix: one\nsymptom: s\n"
+    docs = spark.createDataFrame([(1, doc), (2, doc), (3, "no header"), (4, "---\nid: sw-2\n---\nRan five kilometres by the river"), (5, "---\nid: q\ndomain: health\n---\nRan five kilometres by the river")], "k int, text string")
+    known = small.where("status = 'active'").select("content", "domain")
+    got = {r.k: (r.outcome, r.content, r.domain) for r in RD.import_documents(docs, "k", "text", known).collect()}
+    assert got == {1: ("imported", "symptom: s | fix: one", "ios"), 2: ("skipped", "symptom: s | fix: one", "ios"), 3: ("error", None, None), 4: ("imported", "Ran five kilometres by the river", "community"), 5: ("skipped", "Ran five kilometres by the river", "health")}
+    uses = RD.import_uses(RD.import_documents(docs, "k", "text", known), F.lit("2024-01-01").cast("timestamp")).collect()
+    assert sorted(u.entry_id for u in uses) == ["sw-1", "sw-2"] and all(u.is_usage for u in uses)
+
+
+def test_stream_keeps_facts_and_triples(spark, tmp_path):
+    from engramlake.streaming.ingest import stored, stream_ingest, stream_votes
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/0.json").write_text('{"role": "user", "content": "我喜欢跑步", "ts": 1.0}\n{"role": "assistant", "content": "我喜欢茶", "ts": 2.0}')
+    stream = spark.readStream.schema("role string, content string, ts double").json(str(tmp_path / "in"))
+    seen = []
+    stream_ingest(stream, str(tmp_path / "out"), str(tmp_path / "ck"), fold=lambda new, n: seen.append((n, new.count()))).awaitTermination()
+    assert seen == [(0, 1)]
+    assert [(r.relation, r.object) for r in stored(spark, str(tmp_path / "out/triples")).collect()] == [("likes", "跑步")]
+    assert [r.value for r in stored(spark, str(tmp_path / "out/facts")).collect()] == ["跑步"]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/0.json").write_text('{"entry_id": "e", "vote": 1, "ts": "2024-03-05T00:00:00"}')
+    votes = spark.readStream.schema("entry_id string, vote int, ts timestamp").json(str(tmp_path / "v"))
+    stream_votes(votes, str(tmp_path / "log"), str(tmp_path / "ck2")).awaitTermination()
+    assert [(r.entry_id, r.month) for r in spark.read.json(str(tmp_path / "log")).collect()] == [("e", "2024-03")]
+
+
+def test_updates_may_clear_a_value(spark, small):
+    delta = spark.createDataFrame([(2, None)], "id bigint, content string")
+    assert {r.id: r.content for r in ST.updated(small, delta, set_nulls=True).collect()}[2] is None
+    assert {r.id: r.content for r in ST.updated(small, delta, set_nulls=True).collect()}[1] is not None
+
+
+def test_more_model_actions(spark, small):
+    assert E.actions_of("INSIGHT: drinks tea\nMERGE: 1+2 both run") == [("insight", None, "drinks tea"), ("merge", 1, "1+2 both run")]
+    assert E.merge_ids("1+2 both run 3 times") == [1, 2] and E.merge_ids("[4], [5] and 6: x 7") == [4, 5, 6] and E.merge_ids("none") == []
+    m = Memory(spark, store=small.withColumn("hit_count", F.col("id").cast("int")))
+    m.apply("MERGE: 1 + 2\nINSIGHT: likes rivers")
+    got = {r.id: (r.status, r.hit_count) for r in m.store.collect()}
+    assert got[1] == ("active", 2) and got[2][0] == "archived" and [h.description for h in m.habits.collect()] == ["likes rivers"]
+    assert m.dream(now=1e12)["archived"] >= 0
+
+
+def test_habits_beside_memories(spark, small):
+    habits = spark.createDataFrame([(1, "running every day", 0.9), (2, "tea", 0.2)], "habit_id bigint, description string, confidence double")
+    rows = H.beside(S.hybrid_search(small, "running"), habits, "running", memories=1, k=1).collect()
+    assert [(r.id, r.level) for r in rows] == [(1, "principle"), (1, "habit")] and rows[1].score == 0.9
