@@ -19,13 +19,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.llm.codepoints import alphanumeric, chunks, han, joined
+from engramlake.session import cut
 
-#: Words of items that one pass over the corpus carries (about 50 MB at each executor).
-BLOCK_WORDS = 1_000_000
+#: Characters of items that one pass over the corpus carries (about 50 MB at each executor).
+BLOCK_CHARS = 1_000_000
 
 _BASE_CHAR, _BASE_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
@@ -155,8 +157,7 @@ def tiles(pairs: Sequence[tuple[int, int]], n: int) -> list[tuple[int, int, int]
 _FOUND = "doc_id bigint, item_id bigint, longest int, covered int, item_words int"
 
 
-def _scan(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+def _scan(docs: DataFrame, shared: Broadcast[Seeds]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s: Seeds = shared.value
@@ -190,7 +191,7 @@ def find_leaks(
     items: DataFrame,
     min_words: int = 12,
     min_coverage: float = 0.0,
-    block_words: int = BLOCK_WORDS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Which documents contain which items: doc_id, item_id, longest, covered, item_words.
 
@@ -202,20 +203,32 @@ def find_leaks(
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     wanted = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    # each text once, however many items have it
+    texts_of = cut(wanted.groupBy("text").agg(F.min("item_id").alias("rep")))
     out = None
     block: list[tuple[int, str]] = []
     size = 0
-    # the items come one by one, a block of bounded size is held at a time
-    for row in wanted.distinct().orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= block_words:
-            found = _scan(texts, Seeds(block, min_words))
-            out = found if out is None else out.unionByName(found)
+
+    def scanned(block: list[tuple[int, str]], more: bool) -> DataFrame:
+        # with several blocks each one's seeds leave memory before the next come
+        shared = docs.sparkSession.sparkContext.broadcast(Seeds(block, min_words))
+        found = _scan(texts, shared)
+        if more or out is not None:
+            found = cut(found)
+            shared.destroy()
+        return found if out is None else out.unionByName(found)
+
+    # the texts come one by one, a block of bounded size is held at a time
+    for row in texts_of.orderBy("rep", "text").toLocalIterator():
+        block.append((row.rep, row.text))
+        size += len(row.text)
+        if size >= block_chars:
+            out = scanned(block, True)
             block, size = [], 0
     if block or out is None:
-        found = _scan(texts, Seeds(block, min_words))
-        out = found if out is None else out.unionByName(found)
+        out = scanned(block, False)
+    members = wanted.join(texts_of, "text").select(F.col("rep").alias("_rep"), F.col("item_id").alias("_item")).distinct()
+    out = out.join(members, F.col("item_id") == F.col("_rep")).withColumn("item_id", F.col("_item")).drop("_rep", "_item")
     best = F.max(F.struct("covered", "longest", "item_words"))
     return (
         out.groupBy("doc_id", "item_id")

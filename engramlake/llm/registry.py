@@ -42,6 +42,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_tiles(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_mostly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold at least half of an item, in whatever order its passages stand."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), min_coverage=0.5)
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items and the documents that hold some of each."""
+    return leak_report(p9_tiles(spark, sf_dir)).select("item_id", "n_docs")
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_report(p9_tiles(spark, sf_dir))
 
@@ -102,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_tiles": p9_tiles,
     "p9_report": p9_report,
+    "p9_mostly": p9_mostly,
+    "p9_items": p9_items,
 }
 
 _WORDS = """
@@ -174,6 +186,7 @@ ORACLE: dict[str, str] = {
     "p5_groups": _NEAR + " SELECT a AS id, min(b) AS group_id FROM r GROUP BY a",
     "p5_sizes": _NEAR + " SELECT group_id, count(*) AS n FROM (SELECT a, min(b) AS group_id FROM r GROUP BY a) GROUP BY 1",
     "p9_found": _LEAKS + " SELECT * FROM found",
+    "p9_items": _LEAKS + " SELECT item_id, count(*) AS n_docs FROM found GROUP BY 1",
     "p6_forms": _FORMS + " SELECT src, row_id, canonical FROM form",
     "p6_found": _FORMS
     + " SELECT a.src, least(a.row_id, b.row_id) AS id_a, greatest(a.row_id, b.row_id) AS id_b FROM form a JOIN form b"

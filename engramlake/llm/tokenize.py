@@ -149,10 +149,14 @@ def slice_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return start
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    """A rank file: one base64 piece and its id per line."""
+def load_ranks(data: bytes) -> dict[bytes, int]:
+    """The content of a rank file: one base64 piece and its id per line."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
+def read_file(path: str) -> bytes:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
 
 
 def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -184,12 +188,14 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """A vocabulary with its slice cache; one per Python worker and path."""
+    """A vocabulary, from the content of its rank file, with its slice cache; one per Python worker."""
 
-    def __init__(self, path: str):
-        ranks = load_ranks(path)
+    def __init__(self, data: bytes, compiled: bool = True):
+        ranks = load_ranks(data)
         self.bytes_of = {v: k for k, v in ranks.items()}
         try:  # the same merges in compiled form, one slice at a time
+            if not compiled:
+                raise ImportError
             import tiktoken
 
             core = tiktoken.Encoding("slices", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -228,8 +234,8 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(data: bytes) -> Encoder:
+    return Encoder(data)
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -242,15 +248,18 @@ def encode_corpus(
 ) -> DataFrame:
     """The token ids of every row: id_col, ids array<int>.
 
-    ``path`` names a rank file that all workers can read. With ``offsets``,
+    ``path`` names a rank file (about a megabyte) that is read here and sent to
+    the workers. With ``offsets``,
     also slice_start (first character of each slice) and slice_ids (its number
     of ids): the ids of slice k are the next slice_ids[k] ones. Empty and null
     texts give empty lists; repeated rows are encoded each, rows keep a null
     id, other columns are dropped. Nothing is shuffled.
     """
 
+    shared = df.sparkSession.sparkContext.broadcast(read_file(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for batch in batches:
             for first, texts in chunks(batch.column(1).to_pylist()):
                 flat, sizes, starts, per_text = enc.encode(texts)
@@ -271,8 +280,10 @@ def encode_corpus(
 def decode_corpus(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The text of every row's ids: id_col, text. Null lists give null, empty ones ''; an unknown id fails."""
 
+    shared = df.sparkSession.sparkContext.broadcast(read_file(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for batch in batches:
             texts = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])

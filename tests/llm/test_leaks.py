@@ -35,7 +35,7 @@ def test_against_brute_force(spark, block):
     docs += docs[:3]
     d = spark.createDataFrame([(a, b, "e") for a, b in docs], "doc_id bigint, text string, item_id string")
     i = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id bigint, text string, doc_id int")
-    got = [(r.doc_id, r.item_id) for r in L.find_leaks(d, i, 5, block_words=block).collect()]
+    got = [(r.doc_id, r.item_id) for r in L.find_leaks(d, i, 5, block_chars=block).collect()]
     assert len(got) == len(set(got)) and set(got) == brute([x for x in docs if x[0] is not None], items, 5)
 
 
@@ -63,3 +63,11 @@ def test_empty_tables(spark):
     i = spark.createDataFrame([], "item_id bigint, text string")
     assert L.find_leaks(d, i).collect() == []
     assert L.find_leaks(spark.createDataFrame([(1, "a " * 50)], "doc_id bigint, text string"), i).collect() == []
+
+
+def test_many_items_of_one_text(spark):
+    text = " ".join(f"w{k}" for k in range(14))
+    d = spark.createDataFrame([(1, f"so {text} it goes"), (2, "none")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, text) for k in range(3000)] + [(0, "other " + text)], "item_id bigint, text string")
+    got = L.find_leaks(d, i).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, k) for k in range(3000)} and len(got) == 3000
