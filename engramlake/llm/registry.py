@@ -13,7 +13,7 @@ from engramlake.llm.knn import neighbour_pairs, neighbours
 from engramlake.llm.leaks import find_leaks, leak_report
 from engramlake.llm.near import group_pairs, group_sizes, near_groups
 from engramlake.llm.pii import kinds_found, scan_pii
-from engramlake.llm.sentences import fit_on, split_sentences
+from engramlake.llm.sentences import split_sentences
 from engramlake.llm.tokenize import encode_corpus
 from engramlake.session import table
 
@@ -93,8 +93,7 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return split_sentences(docs, fit_on(docs))
+    return split_sentences(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
