@@ -2,7 +2,9 @@
 
 The distinct non-null foreign keys of all referring tables are anti-joined
 with the parent keys, so a key that a third of the rows share crosses the
-shuffle once. The few unresolved keys are then joined back to their rows.
+shuffle once. The unresolved keys are then joined back to their rows: those of
+many rows where the rows are, by a broadcast whose size is bounded by rows
+over ``HOT_ROWS``, the others by a shuffle in which no key fills a task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.session import cut
+
+#: Rows of one key from which on they are not brought together: at most rows / HOT_ROWS keys have so many.
+HOT_ROWS = 100_000
 #: Keys that mean "no reference".
 NO_KEY = (0, -1)
 
@@ -36,7 +42,7 @@ def utc_month(epoch: Column) -> Column:
     return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM")
 
 
-def orphan_references(referrers: Sequence[Referrer], parents: DataFrame, deletions: DataFrame) -> DataFrame:
+def orphan_references(referrers: Sequence[Referrer], parents: DataFrame, deletions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per unresolved reference: ref_table, row_id, kind, period.
 
     ``parents`` has id and created_at, ``deletions`` memory_id. Kinds:
@@ -67,21 +73,26 @@ def orphan_references(referrers: Sequence[Referrer], parents: DataFrame, deletio
     )
     gone = deletions.select(F.col("memory_id").cast("long").alias("gone")).where("gone IS NOT NULL").distinct()
     # one row per distinct key: its parent's time, or that it has none; the latest referrer decides if any can be late
-    keys = refs.groupBy("key").agg(F.min(F.when(F.col("check_late"), F.col("stored_at"))).alias("earliest"))
+    keys = refs.groupBy("key").agg(F.min(F.when(F.col("check_late"), F.col("stored_at"))).alias("earliest"), F.count(F.lit(1)).alias("rows"))
     unresolved = (
         keys.join(known, F.col("key") == F.col("known"), "left_anti")
         .join(gone, F.col("key") == F.col("gone"), "left")
-        .select("key", F.when(F.col("gone").isNotNull(), "deleted").otherwise("missing").alias("kind"))
+        .select("key", F.when(F.col("gone").isNotNull(), "deleted").otherwise("missing").alias("kind"), "rows")
     )
     late = (
         keys.join(known, F.col("key") == F.col("known"))
         .where(F.col("since") > F.col("earliest"))
-        .select("key", F.lit("late").alias("kind"), "since")
+        .select("key", F.lit("late").alias("kind"), "rows", "since")
     )
-    cases = unresolved.withColumn("since", F.lit(None).cast("double")).unionByName(late)
+    cases = cut(unresolved.withColumn("since", F.lit(None).cast("double")).unionByName(late))
+    hot, cold = cases.where(F.col("rows") >= hot_rows).drop("rows"), cases.where(F.col("rows") < hot_rows).drop("rows")
+    if hot.isEmpty():
+        found = refs.join(cold, "key")
+    else:
+        marked = refs.join(F.broadcast(hot), "key", "left")
+        found = marked.where(F.col("kind").isNotNull()).unionByName(marked.where(F.col("kind").isNull()).drop("kind", "since").join(cold, "key"))
     return (
-        refs.join(cases, "key")
-        .where((F.col("kind") != "late") | (F.col("check_late") & (F.col("stored_at") < F.col("since"))))
+        found.where((F.col("kind") != "late") | (F.col("check_late") & (F.col("stored_at") < F.col("since"))))
         .select("ref_table", "row_id", "kind", utc_month(F.col("stored_at")).alias("period"))
     )
 
