@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.models import Model
 from engramlake.operators import consolidate as co
 from engramlake.operators import gate as g
 from engramlake.operators import habits as h
@@ -16,12 +17,13 @@ from engramlake.operators import store as st
 from engramlake.operators import triples as tr
 from engramlake.session import cut, drop
 
-#: A language model: (prompt, system) -> answer. None: nothing that needs one is done.
-Model = Callable[[str, str], str]
 
 
 class Memory:
-    """A store with its habits and triples. Every change gives new snapshots in place of the old ones."""
+    """A store with its habits and triples. Every change gives new snapshots in place of the old ones.
+
+    Without a model nothing that needs one is done.
+    """
 
     def __init__(self, spark: SparkSession, store: DataFrame | None = None, habits: DataFrame | None = None, model: Model | None = None):
         self.spark, self.model = spark, model
@@ -73,7 +75,25 @@ class Memory:
         before = self.stats()["archived"]
         merge = None if self.model is None else lambda texts: self.model("\n".join(texts), "Merge into one sentence.")
         self.store = cut(co.pruned(self.store, now, merge))
-        return {"archived": self.stats()["archived"] - before}
+        return {"archived": self.stats()["archived"] - before, "insights": len(self.wander())}
+
+    def wander(self, seed: int = 1, size: int = 5) -> list[tuple[str, float]]:
+        """Ask the model what a few habits, principles and patterns have to do with each other; its insights become habits."""
+        if self.model is None:
+            return []
+        texts = [x.text for x in r.wander_sample(r.wander_pool(self.store, self.habits), seed, size).collect()]  # a handful
+        if len(texts) < 3:
+            return []
+        found = r.insights_of(self.model("\n".join(f"{k}. {t}" for k, t in enumerate(texts, 1)), "Name what connects these, as INSIGHT: lines, or NONE."), 0.4)
+        self._keep(found)
+        return found
+
+    def _keep(self, found: list[tuple[str, float]]) -> None:
+        """New habits, with ids after the highest one."""
+        if found:
+            top = self.habits.agg(F.coalesce(F.max("habit_id"), F.lit(0))).first()[0]
+            rows = [(top + k + 1, d, "candidate", c, []) for k, (d, c) in enumerate(found)]
+            self.habits = self.habits.unionByName(self.spark.createDataFrame(rows, self.habits.schema), allowMissingColumns=True)
 
     def search(self, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
         """Memories for a query: content, domain, level, score, method."""
@@ -114,10 +134,7 @@ class Memory:
         found = []
         for row in asked.where(F.col("domain").isin(names)).orderBy("domain").collect():  # at most five prompts
             found += r.insights_of(self.model(row.prompt, "Answer with INSIGHT: and CONFIDENCE: lines, or NONE."))
-        if found:
-            top = self.habits.agg(F.coalesce(F.max("habit_id"), F.lit(0))).first()[0]
-            rows = [(top + k + 1, d, "candidate", c, []) for k, (d, c) in enumerate(found)]
-            self.habits = self.habits.unionByName(self.spark.createDataFrame(rows, self.habits.schema), allowMissingColumns=True)
+        self._keep(found)
         return found
 
     def apply(self, answer: str) -> list[tuple[str, int | None, str]]:
@@ -128,11 +145,7 @@ class Memory:
             pairs = self.spark.createDataFrame([(ids[0], other) for ids in merges for other in ids[1:]], "id bigint, other bigint")
             hits = pairs.join(self.store.select(F.col("id").alias("other"), "hit_count"), "other").groupBy("id").agg(F.max("hit_count").alias("_h"))
             self.store = self.store.join(hits, "id", "left").withColumn("hit_count", F.greatest("hit_count", "_h")).select(*self.store.columns)
-        insights = [rest for kind, _, rest in actions if kind == "insight"]
-        if insights:
-            top = self.habits.agg(F.coalesce(F.max("habit_id"), F.lit(0))).first()[0]
-            rows = [(top + k + 1, text, "candidate", 0.5, []) for k, text in enumerate(insights)]
-            self.habits = self.habits.unionByName(self.spark.createDataFrame(rows, self.habits.schema), allowMissingColumns=True)
+        self._keep([(rest, 0.5) for kind, _, rest in actions if kind == "insight"])
         gone = [(i,) for kind, i, _ in actions if kind == "archive" and i is not None] + [(i,) for ids in merges for i in ids[1:]]
         if gone:
             delta = self.spark.createDataFrame(gone, "id bigint").distinct().withColumn("status", F.lit(st.ARCHIVED))

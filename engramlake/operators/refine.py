@@ -244,6 +244,18 @@ def train_valid(examples: DataFrame, key: str = "id", valid_share: int = 5) -> D
     return examples.withColumn("split", F.when(F.pmod(F.xxhash64("kind", key), F.lit(valid_share)) == 0, "valid").otherwise("train"))
 
 
+def first_as_valid(examples: DataFrame, order: list[str], batch: int = 4) -> DataFrame:
+    """The validation lines of a tuner that needs whole batches: the first max(batch, a fifth) by ``order``, from the start again if there are fewer."""
+    n = examples.count()
+    k = max(batch, n // 5)
+    first = examples.orderBy(*order).limit(min(k, n))
+    if n >= k or not n:
+        return first
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1  # fewer rows than a batch
+    times = F.explode(F.sequence(F.lit(0), F.lit((k - 1) // n)))
+    return first.withColumn("_at", at).withColumn("_t", times).where(F.col("_t") * n + F.col("_at") < k).drop("_at", "_t")
+
+
 def digest(who: dict[str, str], how: dict[str, str], what: dict[str, str], total: int, domains: list[str], token_budget: int = 250) -> str:
     """The text a prompt starts with, cut to a budget of tokens (two characters each)."""
     parts = []

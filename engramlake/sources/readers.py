@@ -137,6 +137,12 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
 
 
+def file_counts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """Files and their bytes in a folder, one row: n_files, n_bytes (from the listing, no file is read)."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
+    return rows.agg(F.count_distinct("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
     """A registry file {"projects": {name: {...}}}: one row per project, name and its fields as JSON."""
     rows = spark.read.text(path, wholetext=True)

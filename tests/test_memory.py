@@ -362,3 +362,36 @@ def test_habits_beside_memories(spark, small):
     habits = spark.createDataFrame([(1, "running every day", 0.9), (2, "tea", 0.2)], "habit_id bigint, description string, confidence double")
     rows = H.beside(S.hybrid_search(small, "running"), habits, "running", memories=1, k=1).collect()
     assert [(r.id, r.level) for r in rows] == [(1, "principle"), (1, "habit")] and rows[1].score == 0.9
+
+
+def test_router_falls_back_and_counts():
+    from engramlake.models import Router, first_model
+
+    def broken(prompt, system):
+        raise RuntimeError
+
+    router = Router([("cloud", 2, lambda p, s: "far"), ("local", 0, broken), ("mute", 1, lambda p, s: " ")])
+    assert router("hi", "x") == "far" and [m[0] for m in Router(router.models, tier=1).order()] == ["mute", "cloud", "local"]
+    assert router.used["local"].failed == router.used["mute"].failed == 1 and router.totals().calls == 3 and router.totals().answered == 3
+    assert Router([])("hi") == "" and first_model(None, broken) is broken and first_model(None) is None
+
+
+def test_config(tmp_path):
+    from engramlake.config import Config
+
+    path = str(tmp_path / "c.json")
+    assert Config.load(path).get("decay.days") == 30 and Config().get("no.such", 7) == 7
+    Config().set("decay.days", 9).save(path)
+    assert Config.load(path).get("decay.days") == 9 and Config.load(path).get("decay.strikes") == 3
+
+
+def test_wandering_and_validation_lines(spark, small, tmp_path):
+    m = Memory(spark, store=small, model=lambda prompt, system: "INSIGHT: all is running")
+    m.habits = spark.createDataFrame([(1, "walks", "candidate", 0.5, [])], m.habits.schema)
+    assert m.wander() == [("all is running", 0.4)] and m.habits.count() == 2
+    assert Memory(spark, store=small).wander() == []
+    df = spark.range(3).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in E.first_as_valid(df, ["k"], 7).collect()) == [0, 0, 0, 1, 1, 2, 2]
+    assert [r.k for r in E.first_as_valid(spark.range(50).withColumnRenamed("id", "k"), ["k"]).collect()] == list(range(10))
+    (tmp_path / "a.md").write_text("abc")
+    assert tuple(RD.file_counts(spark, str(tmp_path)).first()) == (1, 3)
