@@ -46,9 +46,9 @@ class Memory:
         rows = new.select(*[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name) for f in st.MEMORY_SCHEMA])
         rows = cut(rows)
         n = rows.count()
-        # a snapshot of its own, so plans do not grow with every call; the one before is not read any more
-        before, self.store = self.store, cut(self.store.unionByName(rows))
-        drop(before, rows)
+        # a snapshot of its own, so plans do not grow with every call; results of earlier searches may still read the one before
+        self.store = cut(self.store.unionByName(rows))
+        drop(rows)
         user = g.user_messages(messages)
         found = tr.from_text(user, "content", ["ts"]).withColumnRenamed("ts", "valid_from")
         self.triples = cut(self.triples.unionByName(found.select("subject", "relation", "object", "valid_from")))
