@@ -563,18 +563,19 @@ def score_archivable(spark: SparkSession, sf: str) -> DataFrame:
     return VO.scores(votes(spark, sf), NOW).where(VO.stale()).select("entry_id")
 
 
-# RE2 has no look-around and only ASCII classes: the neighbours of a match are matched too, classes are spelled out
-_NO_DIGIT, _NO_WORD = (r"(?:^|[^\p{Nd}])", r"(?:$|[^\p{Nd}])"), (r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])")
-_RE2 = {
-    "phone_cn": r"1[3-9]\p{Nd}{9}".join(_NO_DIGIT),
-    "phone_us": r"\p{Nd}{3}[-.]?\p{Nd}{3}[-.]?\p{Nd}{4}".join(_NO_DIGIT),
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}".join(_NO_WORD),
-    "id_card_cn": r"\p{Nd}{15,18}[Xx]?".join(_NO_WORD),
-    "ssn_us": r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}".join(_NO_WORD),
-    "file_path": r"/(?:Users|home)/[^/\s]+",
-    "api_key": r"(?:sk-|api[_-]?key[=:]\s*)[A-Za-z0-9_-]{20,}",
-    "password": r"(?:password|passwd|pwd)[=:]\s*\S+",
-}
+def _re2(pattern: str) -> str:
+    """A sharing rule for RE2, which has no look-around and only ASCII classes: what stands beside a match is matched too, classes are spelled out."""
+    digit, word = r"\p{Nd}", r"\p{L}\p{N}_"
+    for edge, before, after in (("(?<!\\d)", digit, ""), ("(?!\\d)", "", digit)):
+        pattern = pattern.replace(edge, f"(?:^|[^{before}])" if before else f"(?:$|[^{after}])")
+    if pattern.startswith(r"\b"):
+        pattern = f"(?:^|[^{word}])" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?:$|[^{word}])"
+    return pattern.replace(r"\d", digit)
+
+
+_RE2 = {kind: _re2(p) for p, kind in R.SHARING_PII}
 
 
 def _pii_sql(col: str) -> str:
