@@ -742,6 +742,47 @@ def training_examples(spark: SparkSession, sf: str) -> DataFrame:
     return E.training_examples(store).unionByName(E.habit_examples(store, table(spark, sf, "habits")))
 
 
+def _safe_sql(col: str) -> str:
+    return f"CASE WHEN {_pii_sql(col)} THEN '' ELSE {_clean_sql(col)} END"
+
+
+def _training_sql() -> str:
+    """The examples' texts: habits first by id, notes newest first, texts with personal information left out."""
+    ask = E._ASK_HABITS["en"]
+
+    def joined(rows: str, order: str, k: int, sep: str, lead: str = "") -> str:
+        return f"(SELECT string_agg('{lead}' || t, {sep} ORDER BY {order}) FROM (SELECT * FROM {rows} WHERE t <> '' ORDER BY {order} LIMIT {k}))"
+
+    about = f"'You know this person from earlier conversations.' || chr(10) || 'Habits: ' || {joined('h', 'habit_id', 5, chr(39) + '；' + chr(39))} || chr(10) || 'Active domains: ' || (SELECT string_agg(domain, ', ' ORDER BY domain) FROM dm)"
+    listed = {
+        "habit_summary": joined("h", "habit_id", 10, "'；'"),
+        "preferences": joined("liked", "habit_id", 5, "'；'"),
+        "habits_list": joined("h", "habit_id", 10, "chr(10)", "- "),
+        "pattern_summary": joined("(SELECT * FROM note WHERE level = 1)", "ts DESC, id", 5, "chr(10)", "- "),
+    }
+    singles = " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(0 AS BIGINT) AS id, '{ask[k][0]}' AS question, replace('{ask[k][1]}', '{{}}', {a}) AS answer" for k, a in listed.items())
+    liked = " OR ".join(f"contains(description, '{w}')" for w in E.PREFERENCE_WORDS)
+    levels = " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{tag}' AS kind, id, 'You know this person from earlier conversations.' AS system, replace('{q}', '{{}}', coalesce(domain, '')) AS question, t AS answer FROM (SELECT * FROM note WHERE level = {n} ORDER BY hit_count DESC, ts DESC, id LIMIT {k}) WHERE t <> '')"
+        for n, tag, k, q in ((2, "principle", 10, "Which rule shows in what you know about {}?"), (1, "pattern", 20, "What stands out about {}?"))
+    )
+    return (
+        f"{_WITH}, h AS (SELECT *, {_safe_sql('description')} AS t FROM habits), liked AS (SELECT * FROM h WHERE {liked}), note AS (SELECT *, {_safe_sql('content')} AS t FROM mem WHERE {_ACTIVE} AND content IS NOT NULL),"
+        " dm AS (SELECT domain, count(*) AS c FROM mem WHERE domain <> '' GROUP BY 1), top AS (SELECT domain, row_number() OVER (ORDER BY c DESC, domain) AS id FROM dm QUALIFY id <= 3),"
+        " near AS (SELECT domain, level, t, ts, id, row_number() OVER (PARTITION BY domain, level ORDER BY ts DESC, id) AS rn FROM note WHERE t <> '' AND level IN (0, 1) AND domain IN (SELECT domain FROM top) QUALIFY rn <= 3),"
+        " ins AS (SELECT domain, arg_max(a, level) AS a FROM (SELECT domain, level, string_agg(t, '；' ORDER BY rn) AS a FROM near GROUP BY 1, 2) GROUP BY 1),"
+        f" q AS ({singles} UNION ALL SELECT 'domain', top.id, replace('{ask['domain'][0]}', '{{}}', top.domain), ins.a FROM top JOIN ins ON ins.domain = top.domain)"
+        f" SELECT kind, id, {about} AS system, question, answer FROM q WHERE answer IS NOT NULL UNION ALL {levels}"
+    )
+
+
+@query("training_texts", _training_sql())
+def training_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The three texts of every training example."""
+    rows = training_examples(spark, sf)
+    return rows.select("kind", "id", *[F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("system", "question", "answer"))])
+
+
 @query("engine_stats", _WITH + f", {_TRI} SELECT (SELECT count(*) FROM mem WHERE {_ACTIVE}) AS memories, (SELECT count(*) FROM tri WHERE valid_until IS NULL) AS triples, (SELECT count(DISTINCT habit_id) FROM habits) AS habits, (SELECT count(DISTINCT vote_id) FROM votes) AS votes")
 def engine_stats(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
