@@ -20,7 +20,7 @@ from engramlake.operators import store as ST
 from engramlake.operators import triples as TR
 from engramlake.operators import votes as VO
 from engramlake.operators.history import SINGLE_VALUED
-from engramlake.session import table
+from engramlake.session import scratch, table
 from engramlake.sources import readers as RD
 from engramlake.streaming import ingest as IN
 
@@ -368,6 +368,22 @@ def messages_scan(spark: SparkSession, sf: str) -> DataFrame:
     return msgs(spark, sf).where("role IS NOT NULL AND content IS NOT NULL").select("msg_id", "conv_id", "turn", "role", "content")
 
 
+@query("messages_jsonl", f"WITH {_MSG} SELECT role, content, ts FROM msg WHERE role IS NOT NULL AND content IS NOT NULL")
+def messages_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as JSON lines and read back."""
+    path = scratch(spark)
+    msgs(spark, sf).select("role", "content", F.col("ts").alias("timestamp")).write.json(path)
+    return RD.read_messages(spark, path).select("role", "content", "ts")
+
+
+@query("transcript_humans", f"WITH {_MSG} SELECT count(*) AS n_human FROM msg WHERE role = 'user' OR conv_id % 2 = 0")
+def transcript_humans(spark: SparkSession, sf: str) -> DataFrame:
+    """Human messages of transcripts of both kinds: those that name a type, those that name a role."""
+    path = scratch(spark)
+    msgs(spark, sf).select(F.when(F.col("conv_id") % 2 == 0, "human").alias("type"), "role", "content").write.json(path)
+    return RD.human_messages(RD.read_transcript(spark, path))
+
+
 @query("human_message_count", f"WITH {_MSG} SELECT count(*) FILTER (role = 'user') AS n_human FROM msg")
 def human_message_count(spark: SparkSession, sf: str) -> DataFrame:
     return RD.human_messages(msgs(spark, sf))
@@ -783,6 +799,12 @@ def training_texts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("kind", "id", *[F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("system", "question", "answer"))])
 
 
+@query("training_valid", f"WITH x AS ({_training_sql()}) SELECT kind, id FROM (SELECT kind, id, row_number() OVER (ORDER BY kind, id) AS rn FROM x) WHERE rn <= (SELECT greatest(4, count(*) // 5) FROM x)")
+def training_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """The validation lines of a tuner."""
+    return E.first_as_valid(training_examples(spark, sf), ["kind", "id"]).select("kind", "id")
+
+
 @query("engine_stats", _WITH + f", {_TRI} SELECT (SELECT count(*) FROM mem WHERE {_ACTIVE}) AS memories, (SELECT count(*) FROM tri WHERE valid_until IS NULL) AS triples, (SELECT count(DISTINCT habit_id) FROM habits) AS habits, (SELECT count(DISTINCT vote_id) FROM votes) AS votes")
 def engine_stats(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
@@ -953,6 +975,13 @@ def topic_lines(spark: SparkSession, sf: str) -> DataFrame:
     return RD.topic_lines(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
+@query("topic_tags", "SELECT doc_id, 0 AS line_no, 'kept under ' || coalesce(source, 'no source') AS content, kind AS source_project, CAST(doc_id AS VARCHAR) AS section FROM documents")
+def topic_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tagged lines: the tag is split off."""
+    said = F.concat(F.lit("[source:"), F.col("kind"), F.lit("] kept under "), F.coalesce("source", F.lit("no source")), F.lit("\n# heading\n\nabc"))
+    return RD.topic_lines(table(spark, sf, "documents").select("doc_id", said.alias("text")), "doc_id", "text")
+
+
 _HEAD = r"regexp_extract(t, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n', 1)"
 
 

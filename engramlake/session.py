@@ -84,6 +84,11 @@ def _leave(spark: SparkSession, app: str) -> None:
         shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in this session's folder, which all executors share."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and go on from its files.
 
