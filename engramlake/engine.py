@@ -16,6 +16,7 @@ from engramlake.operators import search as s
 from engramlake.operators import store as st
 from engramlake.operators import triples as tr
 from engramlake.session import cut, drop
+from engramlake.sources import readers as sources
 
 
 
@@ -39,22 +40,26 @@ class Memory:
             messages = self.spark.createDataFrame(rows, "role string, content string, ts double")
         fresh = g.gate(messages)
         new = st.add_new(self.store, fresh.select("content", "domain", "ts", "level", "privacy", F.to_json(F.create_map(F.lit("category"), "category", F.lit("source"), "source")).alias("metadata")))
+        n = self._append(new)
+        user = g.user_messages(messages)
+        found = tr.from_text(user, "content", ["ts"]).withColumnRenamed("ts", "valid_from")
+        self.triples = cut(self.triples.unionByName(found.select("subject", "relation", "object", "valid_from")))
+        self.facts = cut(self.facts.unionByName(g.profile_facts(messages, [])))
+        if self.model is not None:
+            self.aggregate()
+        return n
+
+    def _append(self, new: DataFrame) -> int:
+        """Add rows to the store, the columns they lack being those of new memories."""
         filled = {
             "status": F.lit(st.ACTIVE), "parent_id": F.lit(None).cast("bigint"), "embedding": F.lit(None).cast("array<float>"),
             "hit_count": F.lit(0), "last_hit_at": F.lit(0.0), "decay_count": F.lit(0), "created_at": F.col("ts"),
         }
-        rows = new.select(*[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name) for f in st.MEMORY_SCHEMA])
-        rows = cut(rows)
+        rows = cut(new.select(*[(filled[f.name] if f.name in filled else F.col(f.name)).cast(f.dataType).alias(f.name) for f in st.MEMORY_SCHEMA]))
         n = rows.count()
         # a snapshot of its own, so plans do not grow with every call; results of earlier searches may still read the one before
         self.store = cut(self.store.unionByName(rows))
         drop(rows)
-        user = g.user_messages(messages)
-        found = tr.from_text(user, "content", ["ts"]).withColumnRenamed("ts", "valid_from")
-        self.triples = cut(self.triples.unionByName(found.select("subject", "relation", "object", "valid_from")))
-        self.facts = cut(self.facts.unionByName(g.profile_facts(messages, [])))
-        if self.model is not None:
-            self.aggregate()
         return n
 
     def aggregate(self) -> int:
@@ -126,17 +131,27 @@ class Memory:
         return r.digest(pick["who"], dict(sorted(how.items())), pick["what"], self.stats()["total_active"], domains, token_budget)
 
     def refine(self, domain: str | None = None) -> list[tuple[str, float]]:
-        """Ask the model about each of the largest domains (or one) and keep its insights as habits."""
+        """Debate each of the largest domains (or one) with the model and keep the insights as habits."""
         if self.model is None:
             return []
         asked = r.prompts(self.store)
         names = [domain] if domain else [x.domain for x in r.active_domains(self.store).collect()]
         found = []
         for row in asked.where(F.col("domain").isin(names)).orderBy("domain").collect():  # at most five prompts
-            found += r.insights_of(self.model(row.prompt, "Answer with INSIGHT: and CONFIDENCE: lines, or NONE."))
+            found += r.debated(self.model, row.prompt)
         self._keep(found)
         return found
 
+    def take_in(self, texts: DataFrame, key: str = "file", text_col: str = "text") -> dict[str, int]:
+        """Import documents with front matter as patterns. Returns how many were imported, skipped and in error."""
+        known = self.store.where(F.col("status") == st.ACTIVE).select("content", "domain")
+        rows = cut(sources.import_documents(texts, key, text_col, known))
+        fresh = rows.where("outcome = 'imported'").select("content", "domain", F.lit(0.0).alias("ts"), F.lit(st.PATTERN).alias("level"), F.lit("open").alias("privacy"), F.to_json(F.create_map(F.lit("source"), F.lit("community"), F.lit("name"), "name")).alias("metadata"))
+        self._append(st.add_new(self.store, fresh))
+        n = {x.outcome: x["count"] for x in rows.groupBy("outcome").count().collect()}
+        drop(rows)
+        return {k: n.get(k, 0) for k in ("imported", "skipped", "error")}
+
     def apply(self, answer: str) -> list[tuple[str, int | None, str]]:
         """Carry out a model's MERGE, ARCHIVE, DECAY and INSIGHT lines."""
         actions = r.actions_of(answer)

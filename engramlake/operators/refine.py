@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -100,6 +100,17 @@ def insights_of(answer: str | None, default: float = 0.5) -> list[tuple[str, flo
     return out
 
 
+#: Views a debate hears before it is summed up.
+ROLES = ("Keep to what is well supported; object to the rest.", "Look for what is new or connects things.", "Say it in as few words as possible.")
+
+
+def debated(model: Callable[[str, str], str], prompt: str) -> list[tuple[str, float]]:
+    """The insights of a debate: each role's answer to the prompt, then one answer that sums them up."""
+    said = [model(prompt, role) for role in ROLES]
+    heard = "\n\n".join(f"{k}. {x.strip()}" for k, x in enumerate(said, 1) if x and x.strip())
+    return insights_of(model(f"{prompt}\n\n{heard}", "Sum up with INSIGHT: and CONFIDENCE: lines, or NONE.")) if heard else []
+
+
 _ACTIONS = {"MERGE": "merge", "KEEP": "keep", "ARCHIVE": "archive", "DECAY": "decay", "INSIGHT": "insight"}
 _ANY_ACTION = "|".join(_ACTIONS)
 

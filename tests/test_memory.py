@@ -395,3 +395,26 @@ def test_wandering_and_validation_lines(spark, small, tmp_path):
     assert [r.k for r in E.first_as_valid(spark.range(50).withColumnRenamed("id", "k"), ["k"]).collect()] == list(range(10))
     (tmp_path / "a.md").write_text("abc")
     assert tuple(RD.file_counts(spark, str(tmp_path)).first()) == (1, 3)
+
+
+def test_debate_and_imports_of_the_facade(spark):
+    heard = []
+
+    def model(prompt, system):
+        heard.append(system)
+        return "INSIGHT: so it is" if "Sum up" in system else "a view"
+
+    assert E.debated(model, "p") == [("so it is", 0.5)] and len(heard) == 4
+    assert E.debated(lambda p, s: "", "p") == []
+    m = Memory(spark)
+    docs = spark.createDataFrame([("a", "---\nid: 1\n---\nbody text"), ("b", "---\nid: 2\n---\nbody text"), ("c", "none")], "file string, text string")
+    assert m.take_in(docs) == {"imported": 1, "skipped": 1, "error": 1} and m.take_in(docs) == {"imported": 0, "skipped": 2, "error": 1}
+    assert [(r.id, r.level, r.domain) for r in m.store.collect()] == [(1, 1, "community")]
+
+
+def test_scalar_functions_in_sql(spark):
+    from engramlake.functions.register import register
+
+    register(spark)
+    row = spark.sql("SELECT hv_similarity(array(1L), array(1L)) AS a, hv_similarity(array(0L), array(-1L)) AS b, word_overlap(array('x', 'y'), array('x')) AS c, word_overlap(array(), array('x')) AS d, score_at(8, 125) AS e").first()
+    assert (row.a, row.b, row.c, row.d) == (1.0, -1.0, 1.0, 0.0) and abs(row.e - 4) < 1e-9
