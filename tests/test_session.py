@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import subprocess
 import sys
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from engramlake import session as S
 
@@ -49,3 +52,20 @@ def test_core_stays_without_the_subpackage_or_its_library(blocked):
         "names = e.queries(); assert 'p1_found' in names and 'p2_found' not in names; assert 'p1_found' in e.oracle_sql()"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files() -> set[str]:
+        return {str(f) for d in folders for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    setting, before = spark.conf.get(S.CLEANUP, None), files()
+    rows = spark.range(10_000).withColumn("k", F.col("id") % 97).repartition("k")
+    table = S.cut(rows)
+    assert spark.conf.get(S.CLEANUP, None) == setting
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and table.count() == 10_000
