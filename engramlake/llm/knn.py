@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ FIT_ROWS, HEAVIEST = 64, 2.0
 GRAPH_LINKS, WALK_WIDTH = 64, 16
 #: Each layer of the graph against the one below.
 LAYER = 8
+#: Similarities that are held at a time while centroids are fitted and linked.
+PRODUCT = 4_000_000
 #: Queries that one pass over all rows carries.
 QUERY_ROWS = 16_384
 
@@ -109,17 +112,19 @@ def even_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The nearest centroid of each row: exact for few centroids, by the graph for many."""
-    if len(c) > 4096:
-        return CentroidGraph(c).search(x)[0][:, 0]
-    return np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    """The nearest centroid of each row, by products of bounded size."""
+    step = max(16, min(4096, PRODUCT // max(1, len(c))))
+    return np.concatenate([(x[i : i + step] @ c.T).argmax(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 class CentroidGraph:
     """Centroids with links to near and some far ones, in layers; a walk starts at the few centroids of the top one."""
 
-    def __init__(self, centroids: np.ndarray, links: int = GRAPH_LINKS, seed: int = 11):
+    def __init__(self, centroids: np.ndarray, links: int = GRAPH_LINKS, seed: int = 11, layers: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.c = centroids
+        if layers is not None:
+            self.layers = layers
+            return
         n = len(centroids)
         rng = np.random.default_rng(seed)
         order = rng.permutation(n)
@@ -129,7 +134,8 @@ class CentroidGraph:
             nodes = np.sort(order[:size])
             x = centroids[nodes]
             near = min(links, size)
-            rows = [np.argpartition(-(x[i : i + 1024] @ x.T), near - 1, axis=1)[:, :near] for i in range(0, size, 1024)]
+            step = max(16, min(1024, PRODUCT // max(1, size)))
+            rows = [np.argpartition(-(x[i : i + step] @ x.T), near - 1, axis=1)[:, :near].astype(np.int32) for i in range(0, size, step)]
             far = rng.integers(0, max(1, size), (size, 4))  # long links keep the graph connected
             self.layers.append((nodes, np.concatenate([np.concatenate(rows) if rows else np.zeros((0, 0), int), far], 1).astype(np.int32)))
             if size <= max(16, math.isqrt(n)):
@@ -304,18 +310,39 @@ def _hashed(id_col: str = "id") -> Column:
     return F.xxhash64(id_col, F.lit(17))
 
 
-def _sample(vectors: DataFrame, n: int, rows: int, dim: int) -> np.ndarray:
+def _sample(vectors: DataFrame, n: int, rows: int) -> DataFrame:
     """The vectors of the ``rows`` smallest hashes of ids: the same ones however the rows are stored."""
     part = min(1.0, 1.5 * rows / max(1, n) + 1e-3)
     cutoff = -(1 << 63) + math.ceil(part * ((1 << 64) - 1))
     near = vectors.where(_hashed() <= F.lit(min(cutoff, (1 << 63) - 1))).select(_hashed().alias("h"), "id", "vec")
-    got = near.orderBy("h", "id").limit(rows).select("vec").toArrow()
-    return unit(_matrix(got.column(0), dim)) if len(got) else np.ones((1, dim), np.float32) / math.sqrt(dim)
+    return near.orderBy("h", "id").limit(rows)
 
 
-def _posted(spots: DataFrame, graph: CentroidGraph, dim: int, ratio: float, most: int) -> DataFrame:
+def _fitted(sample: DataFrame, lists: int, dim: int) -> CentroidGraph:
+    """The graph of the sample's centroids, fitted by one task: only centroids and links come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        x = unit(_matrix(pa.Table.from_batches(held).sort_by([("h", "ascending"), ("id", "ascending")]).column(2), dim))
+        held.clear()
+        graph = CentroidGraph(even_centroids(x, max(1, min(len(x) // 4, lists))))
+        parts = [graph.c, *[part for layer in graph.layers for part in layer]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(parts)), pa.int32()), pa.array([p.dtype.str for p in parts]), pa.array([list(p.shape) for p in parts], pa.list_(pa.int64())), pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())],
+            ["part", "kind", "shape", "data"],
+        )
+
+    got = sample.coalesce(1).mapInArrow(run, "part int, kind string, shape array<bigint>, data binary").toArrow().sort_by("part").to_pydict()
+    if not got["part"]:  # no rows
+        return CentroidGraph(np.ones((1, dim), np.float32) / np.float32(math.sqrt(dim)))
+    c, *parts = [np.frombuffer(d, k).reshape(s) for k, s, d in zip(got["kind"], got["shape"], got["data"], strict=True)]
+    return CentroidGraph(c, layers=list(zip(parts[::2], parts[1::2], strict=True)))
+
+
+def _posted(spots: DataFrame, shared: Broadcast[CentroidGraph], dim: int, ratio: float, most: int) -> DataFrame:
     """The vectors under the cells of a graph: cell, id, vec."""
-    shared = spots.sparkSession.sparkContext.broadcast(graph)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,15 +407,15 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, dim: int = 64, k: in
     vectors = usable_vectors(df, id_col, vector_col, dim)
     spots = points(vectors)
     n = df.count()
-    x = _sample(vectors, n, sample_rows, dim)
-    graph = CentroidGraph(even_centroids(x, max(1, min(len(x) // 4, n // list_rows))))
-    posted = _posted(spots, graph, dim, ratio, most)
-    cells = len(graph.c)
+    graph = _fitted(_sample(vectors, n, sample_rows), n // list_rows, dim)
+    cells, shared = len(graph.c), df.sparkSession.sparkContext.broadcast(graph)
+    del graph
+    posted = _posted(spots, shared, dim, ratio, most)
     if n * most > cells * block_rows:
         spots = cut(spots)
         subs = -(-n // (cells * list_rows))
         share = min(1.0, FIT_ROWS * subs * cells / n)
-        posted = _cut_cells(_posted(spots, graph, dim, ratio, most), _posted(spots, graph, dim, ratio, 1), subs, share, dim, ratio, most)
+        posted = _cut_cells(_posted(spots, shared, dim, ratio, most), _posted(spots, shared, dim, ratio, 1), subs, share, dim, ratio, most)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_cell(batches):

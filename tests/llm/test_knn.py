@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -104,3 +106,21 @@ def test_the_same_rows_in_other_files_give_the_same_result(spark):
 def test_walks_start_at_few_centroids():
     g = K.CentroidGraph(K.unit(np.random.default_rng(4).normal(size=(3000, 16))))
     assert len(g.layers) > 1 and len(g.layers[-1][0]) <= max(16, 3000**0.5)
+
+
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    ids, x = _clusters()
+    want = {tuple(r) for r in K.neighbours(frame(spark, ids, x), "id", "embedding", dim=16, k=3, least=0.8, list_rows=50).collect()}
+    monkeypatch.setattr(K.CentroidGraph, "search", None)  # workers have modules of their own
+    monkeypatch.setattr(K, "_kmeans", None)
+    got = {tuple(r) for r in K.neighbours(frame(spark, ids, x), "id", "embedding", dim=16, k=3, least=0.8, list_rows=50).collect()}
+    assert got == want and want
+
+
+def test_linking_many_centroids_holds_bounded_products():
+    c = K.unit(np.random.default_rng(3).normal(size=(8000, 16)))
+    tracemalloc.start()
+    K.CentroidGraph(c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 1,024 rows at a time held 131 MB
